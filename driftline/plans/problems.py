@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.names import plain_name, plain_op
-from driftline.operators import replay, skew
+from driftline.operators import dedup, inlining, replay, skew, table_diff
 from driftline.session import table
 
 
@@ -32,7 +32,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Tables that hold at least 4 % of all dml rows of change_feed."""
     vf = skew.value_frequencies(_named(spark, d).select("db", "tbl", "event_ts"), ["db", "tbl"], F.to_date("event_ts"))
     per = skew.from_frequencies(vf, ["db", "tbl"])
-    total = per.agg(F.sum("n_rows"))
+    total = table(spark, d, "change_feed").where(plain_op(F.col("msg_type")) == "dml").agg(F.count(F.lit(1)))
     return per.where(F.col("n_rows") >= HOT_SHARE * total.scalar()).where("db is not null and tbl is not null").select("db", "tbl")
 
 
@@ -44,7 +44,7 @@ def p6_table_stats(spark: SparkSession, d: str) -> DataFrame:
 
     vf = keyed.select("db", "tbl", key_text(key_entries(F.col("pks_json"))).alias("value"), "n", "_at").groupBy("db", "tbl", "value").agg(F.sum("n").alias("n"), F.max("_at").alias("_at"))
     per = skew.from_frequencies(vf, ["db", "tbl"], F.max("_at").alias("latest_ts"))
-    return per.join(skew.weighted_mode(vf, ["db", "tbl"]).drop("mode_n"), ["db", "tbl"]).select("db", "tbl", F.col("n_rows").cast("bigint").alias("n_messages"), "latest_ts", "n_distinct", F.col("mode").alias("hot_pk"), F.col("mode_n").cast("bigint").alias("hot_pk_messages"))
+    return per.join(skew.weighted_mode(vf, ["db", "tbl"]), ["db", "tbl"]).select("db", "tbl", F.col("n_rows").cast("bigint").alias("n_messages"), "latest_ts", "n_distinct", F.col("mode").alias("hot_pk"), F.col("mode_n").cast("bigint").alias("hot_pk_messages"))
 
 
 def p6_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -54,11 +54,81 @@ def p6_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.weighted_percentiles(vf, ["db", "tbl"], [0.5, 0.9, 0.99]).select("db", "tbl", "p", F.col("value").alias("delay_s"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of dcp_messages that are later copies of another record."""
+    m = table(spark, d, "dcp_messages")
+    return dedup.repeated_records(m, "rec_no", F.col("msg_id"), F.col("msg_tag"), F.col("msg_time")).select("rec_no")
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """dcp_messages with exactly one copy of each message."""
+    m = table(spark, d, "dcp_messages")
+    return m.join(p3_found(spark, d), "rec_no", "left_anti").select("rec_no", "msg_id", "msg_tag", "payload_id", "msg_time")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and fields in which dcp_source and dcp_target differ."""
+    return table_diff.table_differences(table(spark, d, "dcp_source"), table(spark, d, "dcp_target"))
+
+
+def _students(spark: SparkSession, d: str) -> DataFrame:
+    """The document of each insert (data_json) and update (row_json)."""
+    ops = table(spark, d, "oplog_ops")
+    op = plain_op(F.col("operation"))
+    return ops.select("op_no", "obj_id", F.when(op == "i", F.col("data_json")).when(op == "u", F.col("row_json")).alias("doc"))
+
+
+STUDENT_TABLES = [
+    "student_parent",
+    "student_parent.phones",
+    "student_class",
+    "student_class.terms",
+    "student_class.terms.marks",
+    "student_class.terms.marks.remarks",
+    "student_detail.awards",
+]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every object in an array of the student documents with its place."""
+    docs = _students(spark, d)
+    graph = inlining.schema_graph(docs, F.col("doc"))
+    rows = inlining.child_rows(docs, ["op_no"], F.col("doc"), graph)
+    return rows.where(F.col("path").isin(STUDENT_TABLES)).select("op_no", F.col("path").alias("child_path"), F.col("index").alias("child_index"))
+
+
+def p5_marks(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of marks, tied to its term by parent_index."""
+    docs = _students(spark, d)
+    graph = inlining.schema_graph(docs, F.col("doc"))
+    return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "student_class.terms.marks")
+
+
+def p5_students(spark: SparkSession, d: str) -> DataFrame:
+    """The root table with all singleton parts inlined."""
+    docs = _students(spark, d)
+    graph = inlining.schema_graph(docs, F.col("doc"))
+    return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
 
 _NAMES = "lower(trim(replace(trim(db), '`', ''))) as db, lower(trim(replace(trim(tbl), '`', ''))) as tbl"
 
+_COPIES = r"""
+    with f as (
+      select rec_no, msg_id, msg_tag, payload_id, msg_time,
+             regexp_extract(lower(msg_id), '([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})[^0-9a-f]*:[ \t\n]*0*([0-9]+)', 1) as u,
+             regexp_extract(lower(msg_id), '([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})[^0-9a-f]*:[ \t\n]*0*([0-9]+)', 2) as n
+      from dcp_messages
+    ), r as (
+      select *, case when u <> '' then row_number() over (partition by msg_tag, replace(u, '-', ''), n order by msg_time nulls last, rec_no) else 1 end as rn from f
+    )
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": _COPIES + " select rec_no from r where rn > 1",
+    "p3_kept": _COPIES + " select rec_no, msg_id, msg_tag, payload_id, msg_time from r where rn = 1",
     "p6_found": f"""
         with f as (select {_NAMES} from change_feed where msg_type = 'dml')
         select db, tbl from f group by db, tbl having count(*) >= 0.04 * (select count(*) from f)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.names import plain_name, plain_op
-from driftline.operators import dedup, inlining, replay, skew, table_diff
+from driftline.operators import dedup, inlining, replay, schema_drift, skew, table_diff
 from driftline.session import table
 
 
@@ -54,6 +54,11 @@ def p6_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.weighted_percentiles(vf, ["db", "tbl"], [0.5, 0.9, 0.99]).select("db", "tbl", "p", F.col("value").alias("delay_s"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a field or table name in schema_feed."""
+    return schema_drift.schema_changes(table(spark, d, "schema_feed"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of dcp_messages that are later copies of another record."""
     m = table(spark, d, "dcp_messages")
@@ -111,7 +116,7 @@ def p5_students(spark: SparkSession, d: str) -> DataFrame:
     return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
 
 _NAMES = "lower(trim(replace(trim(db), '`', ''))) as db, lower(trim(replace(trim(tbl), '`', ''))) as tbl"
 

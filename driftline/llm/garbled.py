@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import cut
+from driftline.session import cut, shuffle_partitions
 
 WORD = r"[^\s!-/:-@\[-`{-~]+"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -38,11 +38,14 @@ BROADCAST_WORDS = 200_000
 WRONG_FOR_UTF8 = ["cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "iso8859-2", "cp852", "cp1251", "koi8-r", "cp866"]
 FAMILIES = {
     "western": ["cp1252", "mac_roman", "cp850", "cp437"],
-    "central": ["cp1250", "iso8859-2", "cp852", "mac_latin2", "cp1252"],
-    "cyrillic": ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"],
+    "central": ["cp1250", "iso8859-2", "cp852", "cp1252"],
+    "cyrillic": ["cp1251", "koi8-r", "cp866"],
 }
 CYRILLIC_READ_AS = ["cp1252", "mac_roman"]
+LATIN_READINGS = WRONG_FOR_UTF8[:8]
 _SIGNS = set("—–‐“”„‘’‚«»‹›…№§¡¿ºª°£¢½¼¾×†€·©®")
+# Signs that scanners put in place of letters; alone they prove no wrong encoding.
+MISREAD = set("§†¢¥£½¼×¬")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -78,9 +81,23 @@ def _swap(wrong: str, right: str) -> dict[int, str]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _sequence(wrong: str) -> re.Pattern:
+    """Finds where a UTF-8 sequence read as ``wrong`` can begin."""
+    lead, tail = [], []
+    for c, b in _bytes_of(wrong).items():
+        if 0xC2 <= b <= 0xF4:
+            lead.append(re.escape(c))
+        elif b < 0xC0:
+            tail.append(re.escape(c))
+    return re.compile(f"[{''.join(lead)}][{''.join(tail)}]")
+
+
 def _unread(text: str, wrong: str) -> tuple[str, int]:
     """Undoes UTF-8 read as ``wrong`` wherever characters form whole UTF-8
     sequences of plausible characters; (text, characters restored)."""
+    if not _sequence(wrong).search(text):
+        return text, 0
     table = _bytes_of(wrong)
     out, n, i = [], 0, 0
     while i < len(text):
@@ -129,6 +146,8 @@ def undo(text: str, name: str) -> tuple[str, int]:
 
 def _undo_runs(text: str, wrong: str) -> str:
     """As _unread, with any characters, for the inner of two readings."""
+    if not _sequence(wrong).search(text):
+        return text
     table = _bytes_of(wrong)
     out, i = [], 0
     while i < len(text):
@@ -203,35 +222,61 @@ def word_types(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(words(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-_CANDIDATE = "word string, df bigint, restored string, ts array<string>, spoilt int, strong boolean"
+_CANDIDATE = "word string, df bigint, restored string, ts array<string>, spoilt int, strong boolean, sure boolean"
+
+
+def _restorations(batch_words: list[str]) -> list[dict[str, list[str]]]:
+    """Per word: restored form to the transformations that give it.  Byte
+    swaps run over all words at once, as they keep lengths."""
+    by: list[dict[str, list[str]]] = [{} for _ in batch_words]
+    joined = "\n".join(batch_words)
+    for t in transformations():
+        if t.startswith("utf-8"):
+            first = _sequence(t.split(">")[1])
+            for i, w in enumerate(batch_words):
+                if first.search(w):
+                    r, n = undo(w, t)
+                    if n:
+                        by[i].setdefault(r, []).append(t)
+        else:
+            right, wrong = t.split(">")
+            for i, (w, r) in enumerate(zip(batch_words, joined.translate(_swap(wrong, right)).split("\n"))):
+                if r != w:
+                    by[i].setdefault(r, []).append(t)
+    return by
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = transformations()
-    schema = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("ts", pa.list_(pa.string())), ("spoilt", pa.int32()), ("strong", pa.bool_())])
+    schema = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("ts", pa.list_(pa.string())), ("spoilt", pa.int32()), ("strong", pa.bool_()), ("sure", pa.bool_())])
     for b in batches:
         out = []
-        for word, df in zip(*[c.to_pylist() for c in b.columns]):
-            by: dict[str, list] = {}
-            for t in names:
-                r, n = undo(word, t)
-                if n and r != word:
-                    by.setdefault(r, [[], n])[0].append(t)
-            for r, (ts, n) in by.items():
-                letters = sum(c.isalpha() for c in r)
-                strong = letters >= 3 or ts[0].startswith("utf-8")
-                out.append((word, df, r, ts, n, strong))
+        batch_words, dfs = (c.to_pylist() for c in b.columns)
+        for word, df, by in zip(batch_words, dfs, _restorations(batch_words)):
+            for r, ts in by.items():
+                if ts[0].startswith("utf-8"):
+                    n = undo(word, ts[0])[1]
+                    # longer sequences stand for dashes and quotes and turn up in no clean text
+                    out.append((word, df, r, ts, n, True, len(word) - len(r) > n))
+                else:
+                    changed = [c for c, d in zip(word, r) if c != d]
+                    strong = sum(map(str.isalpha, r)) >= 3 and any(c not in MISREAD for c in changed)
+                    out.append((word, df, r, ts, len(changed), strong, False))
         cols = list(zip(*out)) if out else [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def learned_words(types: DataFrame) -> DataFrame:
-    """(word, ts, spoilt, strong): words that a transformation turns into a
-    word of MORE_COMMON times as many documents."""
+    """(word, ts, spoilt, strong, known): words that a transformation turns
+    into a word of MORE_COMMON times as many documents (known), and words with
+    sequences of three or more characters for a Latin letter or sign, which
+    speak for themselves (not known)."""
     vocabulary = types.where("df >= 2").select(F.col("word").alias("restored"), F.col("df").alias("restored_df"))
-    hit = types.mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored").where(F.col("restored_df") >= MORE_COMMON * F.col("df"))
-    best = F.struct("restored_df", "restored")
-    return hit.groupBy("word").agg(F.max_by(F.struct("restored", "ts", "spoilt", "strong"), best).alias("_b")).select("word", "_b.restored", "_b.ts", "_b.spoilt", "_b.strong")
+    found = types.repartition(shuffle_partitions(types.sparkSession)).mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored", "left")
+    known = F.coalesce(F.col("restored_df") >= MORE_COMMON * F.col("df"), F.lit(False))
+    latin = F.filter("ts", lambda t: t.isin([f"utf-8>{w}" for w in LATIN_READINGS]))
+    rows = found.withColumn("known", known).withColumn("ts", F.when(known, F.col("ts")).when(F.col("sure") & ~F.col("restored").rlike(r"[\u0400-\u045F]"), latin)).where(F.size("ts") > 0)
+    best = F.struct("known", "restored_df", "restored")
+    return rows.groupBy("word").agg(F.max_by(F.struct("restored", "ts", "spoilt", "strong", "known"), best).alias("_b")).select("word", "_b.restored", "_b.ts", "_b.spoilt", F.expr("_b.strong and _b.known").alias("strong"), "_b.known")
 
 
 def accepted_transformations(learned: DataFrame, twins: DataFrame) -> list[str]:
@@ -260,10 +305,11 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
     types = cut(word_types(docs, text))
     learned = cut(learned_words(types))
     names = accepted_transformations(learned, twin_evidence(docs, text))
-    known = learned.withColumn("ts", F.array_intersect("ts", F.array(*[F.lit(n) for n in names]).cast("array<string>"))).where(F.size("ts") > 0).select("word", "ts", "spoilt", "strong")
-    if known.count() <= BROADCAST_WORDS:
-        known = F.broadcast(known)
-    tokens = docs.select("doc_id", F.explode(words(text)).alias("word")).join(known, "word")
+    usable = F.array_intersect("ts", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    mapped = learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong")
+    if mapped.count() <= BROADCAST_WORDS:
+        mapped = F.broadcast(mapped)
+    tokens = docs.select("doc_id", F.explode(words(text)).alias("word")).join(mapped, "word")
     per = (
         tokens.select("doc_id", "word", "spoilt", "strong", F.explode("ts").alias("transformation"))
         .groupBy("doc_id", "transformation", "word")
@@ -271,14 +317,16 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "transformation")
         .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"))
     )
-    per = cut(per.where(F.col("strong") >= F.when(F.col("transformation").startswith("utf-8"), 1).otherwise(2)))
-    sure = per.where(F.col("spoilt") >= LEAST_SPOILT).select("doc_id", "transformation", "spoilt")
+    utf8 = F.col("transformation").startswith("utf-8")
+    per = cut(per.where(utf8 | (F.col("strong") >= 2)))
+    enough = (F.col("spoilt") >= LEAST_SPOILT) & (F.col("strong") >= 1)
+    sure = per.where(enough)
     # few known words: count every sequence of the text under the same transformation
-    doubtful = per.where(F.col("spoilt") < LEAST_SPOILT).where(F.col("transformation").startswith("utf-8"))
-    recounted = docs.select("doc_id", "text").join(doubtful.select("doc_id", "transformation"), "doc_id").select("doc_id", "transformation", "text").mapInArrow(_spoilt_utf8, "doc_id bigint, transformation string, spoilt bigint")
-    lost = docs.select("doc_id", F.lit(None).cast("string").alias("transformation"), (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).cast("bigint").alias("spoilt"))
+    doubtful = per.where(~enough & utf8)
+    recounted = docs.select("doc_id", "text").join(doubtful.select("doc_id", "transformation"), "doc_id").select("doc_id", "transformation", "text").mapInArrow(_spoilt_utf8, "doc_id bigint, transformation string, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
+    lost = docs.select("doc_id", F.lit(None).cast("string").alias("transformation"), (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).cast("bigint").alias("spoilt"), F.lit(0).cast("bigint").alias("strong"))
     found = sure.unionByName(recounted).unionByName(lost).where(F.col("spoilt") >= LEAST_SPOILT)
-    return found.groupBy("doc_id").agg(F.max_by("transformation", F.struct("spoilt", F.col("transformation"))).alias("transformation"), F.max("spoilt").alias("spoilt"))
+    return found.groupBy("doc_id").agg(F.max_by("transformation", F.struct("strong", F.col("transformation").isNotNull(), "spoilt", "transformation")).alias("transformation"), F.max("spoilt").alias("spoilt"))
 
 
 def restored_documents(docs: DataFrame, garbled: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def capitalise(c: Column) -> Column:
 def unsigned(c: Column, bits: int) -> Column:
     """A signed value of ``bits`` read as unsigned (exact, also for 64 bits)."""
     wide = c.cast("decimal(20,0)")
-    return F.when(wide < 0, wide + F.lit(2**bits).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+    return F.when(wide < 0, wide + F.lit(str(2**bits)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
 def trimmed_time(ts: Column) -> Column:

@@ -417,7 +417,7 @@ def encode_mongo(spark, d):
 
 @query("with {feed} select seq, 26 + strlen(cast(pk as varchar)) + strlen(event_type) as size from feed")
 def encode_message_size(spark, d):
-    return derived_feed(spark, d).select("seq", encode.message_size(F.col("pk").cast("string"), F.col("event_type")).alias("size"))
+    return derived_feed(spark, d).select("seq", encode.message_size(F.col("pk").cast("string"), F.col("event_type")).cast("bigint").alias("size"))
 
 
 @query("select c_custkey, c_name, 'none' as note, cast(null as int) as score from customer")

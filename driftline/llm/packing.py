@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import cut
+
 OPEN = 64  # open windows of a task and pack
 FULL = 0.995  # share from which a window is emitted at once
 MERGE = 32  # tasks of one stage whose leftovers one task of the next merges
@@ -100,11 +102,17 @@ def _packer(stage: int, last: bool):
     return run
 
 
-def items_of(sized: DataFrame, specs: DataFrame) -> DataFrame:
+MAX_SPECS = 1_000
+
+
+def items_of(sized: DataFrame, specs: list[tuple[str, str | None, int]]) -> DataFrame:
     """(pack_id, capacity, size, items): the items of each pack; an item
-    larger than the capacity is cut into pieces of exactly the capacity and a rest."""
-    s = specs.where("capacity_tokens > 0").select("pack_id", F.col("lang").alias("_lang"), F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    joined = sized.join(F.broadcast(s), F.col("_lang").isNull() | (F.col("_lang") == F.col("lang")))
+    larger than the capacity is cut into pieces of exactly the capacity and a
+    rest.  Specs are settings, so each document looks its packs up in a
+    literal array and nothing is joined."""
+    literal = F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(lang).cast("string").alias("lang"), F.lit(c).cast("bigint").alias("capacity")) for p, lang, c in specs])
+    mine = F.filter(literal, lambda s: s["lang"].isNull() | F.coalesce(s["lang"] == F.col("lang"), F.lit(False)))
+    joined = sized.select("doc_id", "n_tokens", F.explode(mine).alias("_s")).select("doc_id", "n_tokens", "_s.pack_id", "_s.capacity")
     pieces = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("int")
     each = joined.select("pack_id", "capacity", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("part"))
     start = F.col("part").cast("bigint") * F.col("capacity")
@@ -112,27 +120,24 @@ def items_of(sized: DataFrame, specs: DataFrame) -> DataFrame:
     return each.select("pack_id", "capacity", size.alias("size"), F.array(F.struct("doc_id", "part", start.alias("start_token"), size.alias("n_tokens"))).alias("items"))
 
 
-MAX_SPECS = 10_000
-
-
 def pack(sized: DataFrame, specs: DataFrame, tasks: int) -> DataFrame:
     """(pack_id, capacity, container, doc_id, part, start_token, n_tokens): each
     token of each document of a pack in exactly one container.
 
     ``sized``: doc_id, lang, n_tokens; ``specs``: pack_id, lang (null: all),
-    capacity_tokens.  Specs without a positive capacity make nothing.  Texts
-    without tokens are items of size 0.  Repeated doc_ids are items of their
-    own.  Empty tables give no rows.
+    capacity_tokens, at most MAX_SPECS rows.  Specs without an id or a positive
+    capacity make nothing.  Texts without tokens are items of size 0.
+    Repeated doc_ids are items of their own.  Empty tables give no rows.
     """
-    if specs.limit(MAX_SPECS + 1).count() > MAX_SPECS:
+    rows = specs.where("capacity_tokens > 0 and pack_id is not null").select("pack_id", "lang", "capacity_tokens").limit(MAX_SPECS + 1).collect()
+    if len(rows) > MAX_SPECS:
         raise ValueError(f"more than {MAX_SPECS} pack specs")
-    items = items_of(sized.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.col("n_tokens").cast("bigint").alias("n_tokens")), specs)
+    known = sized.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    items = items_of(known, [tuple(r) for r in rows]) if rows else known.where("false").select(F.lit("").alias("pack_id"), F.lit(1).cast("bigint").alias("capacity"), F.col("n_tokens").alias("size"), F.array().cast(f"array<{_ITEM}>").alias("items"))
     # documents are spread by id, so hot languages and packs spread too
-    spread = items.repartition(tasks, F.xxhash64(F.col("items")[0]["doc_id"]))
+    spread = items.repartition(tasks, F.xxhash64(F.get("items", F.lit(0))["doc_id"]))
     done, n, stage = None, tasks, 0
     current = spread.mapInArrow(_packer(0, tasks == 1), _SCHEMA)
-    from driftline.session import cut
-
     while True:
         current = cut(current)
         closed = current.where("closed")
@@ -142,7 +147,7 @@ def pack(sized: DataFrame, specs: DataFrame, tasks: int) -> DataFrame:
         n, stage = max(1, n // MERGE), stage + 1
         left = current.where("not closed").select("pack_id", "capacity", F.col("fill").alias("size"), "items", F.xxhash64("container").alias("_h"))
         keys = ["pack_id"] if n == 1 else ["pack_id", F.pmod("_h", F.lit(n))]
-        moved = left.repartition(max(n, 1) if n > 1 else tasks, *keys).select("pack_id", "capacity", "size", "items")
+        moved = left.repartition(n if n > 1 else tasks, *keys).select("pack_id", "capacity", "size", "items")
         current = moved.mapInArrow(_packer(stage, n == 1), _SCHEMA)
     return done.select("pack_id", "capacity", "container", F.explode("items").alias("_i")).select("pack_id", "capacity", "container", "_i.doc_id", "_i.part", "_i.start_token", "_i.n_tokens")
 

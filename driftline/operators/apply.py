@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.ordering import running
+
 
 def _last(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     picked = F.max_by(F.struct("op", *columns, order), order)
@@ -101,12 +103,11 @@ def conflicts(df: DataFrame, keys: Sequence[str], order: str, image: Column, old
     """Adds ``conflict``: an insert conflicts if the row is there, an update if
     the row isn't there as its old image says.  Conflicting writes override
     the row, so the row before a change is the image of the change before it."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag("op").over(w)
-    there = before.isNotNull() & (before != "delete")
-    differs = F.lit(False) if old is None else ~F.lag(image).over(w).eqNullSafe(old)
+    seen = running(df.withColumn("_image", image), keys, [order], F.col(order), _op=("lag", F.col("op")), _before=("lag", F.col("_image")))
+    there = F.col("_op").isNotNull() & (F.col("_op") != "delete")
+    differs = F.lit(False) if old is None else ~F.col("_before").eqNullSafe(old)
     found = F.when(F.col("op") == "insert", there).when(F.col("op") == "update", ~there | differs).otherwise(F.lit(False))
-    return df.withColumn("conflict", F.coalesce(found, F.lit(False)))
+    return seen.withColumn("conflict", F.coalesce(found, F.lit(False))).drop("_op", "_before", "_image")
 
 
 def conflicts_kept(df: DataFrame, keys: Sequence[str], order: str, image: str, old: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.ordering import running
+
 
 def split_key_updates(df: DataFrame, key_changed: Column) -> DataFrame:
     """An update that changes the key becomes a delete of the old row and an
@@ -32,14 +34,13 @@ def fail_on_tag(df: DataFrame, pipeline: Column, bad: Column) -> DataFrame:
 
 
 def stream_sequence(df: DataFrame, stream: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Sequence numbers from 1 in each stream."""
-    return df.withColumn("seq_no", F.row_number().over(Window.partitionBy(*stream).orderBy(*order)).cast("bigint"))
+    """Sequence numbers from 1 in each stream; the first order column is a number."""
+    return running(df, stream, order, F.col(order[0]), seq_no=("row_number",))
 
 
 def statement_epochs(df: DataFrame, stream: Sequence[str], order: str, is_ddl: Column) -> DataFrame:
     """The number of schema changes of the stream up to each message."""
-    w = Window.partitionBy(*stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("epoch", F.sum(F.when(is_ddl, 1).otherwise(0)).over(w))
+    return running(df, stream, [order], F.col(order), epoch=("sum", F.when(is_ddl, 1).otherwise(0)))
 
 
 def dependency_keys(db: Column, tbl: Column, unique_keys: dict[str, Sequence[tuple[Column, Column | None]]]) -> Column:
@@ -70,9 +71,9 @@ def dependency_keys(db: Column, tbl: Column, unique_keys: dict[str, Sequence[tup
 
 def batch_islands(df: DataFrame, order: str, partition: Sequence[str] = ()) -> DataFrame:
     """Runs of non-deletes share an island, every delete is one of its own."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    alone = (F.col("op") == "delete") | F.coalesce(F.lag("op").over(w) == "delete", F.lit(True))
-    return df.withColumn("_new", alone.cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    seen = running(df, partition, [order], F.col(order), _op=("lag", F.col("op")))
+    alone = (F.col("op") == "delete") | F.coalesce(F.col("_op") == "delete", F.lit(True))
+    return running(seen.withColumn("_new", alone.cast("int")), partition, [order], F.col(order), island=("sum", F.col("_new"))).drop("_new", "_op")
 
 
 def committed_prefix(acks: DataFrame, stream: str, seq: str, acked: Column) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.ordering import running
+
 
 def range_counts(source: DataFrame, target: DataFrame, key: str, width: int) -> DataFrame:
     """(b, src, tgt, diff) of key ranges whose counts differ.  One pass over
@@ -21,7 +23,7 @@ def bisect_counts(source: DataFrame, target: DataFrame, key: str, lo: int, width
     from one count of the finest ranges rolled up."""
     fine = width >> levels
     diffs = range_counts(source.withColumn("_k", F.col(key) - lo), target.withColumn("_k", F.col(key) - lo), "_k", fine).select("b", "diff")
-    spread = diffs.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("b", F.shiftright(F.col("b"), 1) if levels == 0 else F.expr(f"cast(floor(b / power(2, {levels} - lvl)) as bigint)"))
+    spread = diffs.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("b", F.expr(f"cast(floor(b / power(2, {levels} - lvl)) as bigint)"))
     per = spread.groupBy("lvl", "b").agg(F.sum("diff").alias("diff")).where("diff <> 0")
     size = F.expr(f"cast({width} / power(2, lvl) as bigint)")
     return per.withColumns({"lo": F.lit(lo) + F.col("b") * size, "hi": F.lit(lo) + (F.col("b") + 1) * size - 1})
@@ -49,16 +51,25 @@ def table_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def segments(messages: DataFrame, tag: str, seq: str, barrier: str) -> DataFrame:
     """Adds ``seg``: the last barrier before each message of its tag; messages
     before the first barrier have none."""
-    w = Window.partitionBy(tag).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("seg", F.last(barrier, ignorenulls=True).over(w))
+    return running(messages, [tag], [seq], F.col(seq), seg=("last", F.col(barrier)))
 
 
-def compare_segments(source: DataFrame, target: DataFrame, timeout_after: Column | None = None) -> DataFrame:
+def compare_segments(source: DataFrame, target: DataFrame) -> DataFrame:
     """(seg, verdict): same, diff or timeout (a segment the target lacks).
-    Within a segment each payload's checksums are compared in the order of
-    (ts, id).  Inputs: seg, payload_id, ts, id, checksum."""
-    content = lambda df, n: df.groupBy("seg", "payload_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "checksum"))), lambda x: x["checksum"]).alias(n))
-    a, b = content(source, "a"), content(target, "b")
-    there = target.select("seg").distinct().withColumn("_there", F.lit(True))
-    per = a.join(b, ["seg", "payload_id"], "full_outer").groupBy("seg").agg(F.bool_and(F.coalesce(F.col("a").eqNullSafe(F.col("b")), F.lit(False))).alias("ok"))
-    return per.join(there, "seg", "left").select("seg", F.when(F.col("_there").isNull(), "timeout").when(F.col("ok"), "same").otherwise("diff").alias("verdict"))
+    Within a segment each payload's checksums are compared place by place in
+    the order of (ts, id), so no payload's messages are gathered into one row.
+    Inputs: seg, payload_id, ts, id, checksum; null checksums are equal."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        time = F.col("ts").cast("double") if dict(df.dtypes)["ts"] not in ("timestamp", "timestamp_ntz") else F.unix_micros(F.to_timestamp("ts"))
+        return running(df.select("seg", "payload_id", "ts", "id", "checksum"), ["seg", "payload_id"], ["ts", "id"], time, place=("row_number",)).drop("ts", "id")
+
+    keys = ["seg", "payload_id", "place"]
+    a, b = placed(source).alias("a"), placed(target).alias("b")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = a.join(b, on, "full_outer")
+    equal = F.col("a.place").isNotNull() & F.col("b.place").isNotNull() & F.col("a.checksum").eqNullSafe(F.col("b.checksum"))
+    per = both.groupBy(F.when(F.col("a.place").isNotNull(), F.col("a.seg")).otherwise(F.col("b.seg")).alias("seg")).agg(F.bool_and(equal).alias("ok"), F.max(F.col("b.place").isNotNull()).alias("there"))
+    return per.select("seg", F.when(~F.col("there"), "timeout").when(F.col("ok"), "same").otherwise("diff").alias("verdict"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import scalar
-from driftline.operators import apply, changes, documents, encode, filters, predicates, routing, snapshot, verify
+from driftline.operators import apply, changes, documents, encode, filters, ordering, predicates, routing, snapshot, verify
 from driftline.session import table
 from driftline.sources.feeds import derived_feed
 
@@ -96,20 +96,15 @@ def cdc_conflicts_override(spark, d):
     when op = 'update' and (b is null or b = 'delete' or bk is distinct from old_k) then 1 else 0 end) as bigint) as conflicts from b group by op
 """)
 def cdc_conflicts_old_image(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pk").orderBy("seq")
-    feed = derived_feed(spark, d).withColumn("old_k", F.lag("k", 2).over(w))
+    feed = ordering.running(derived_feed(spark, d), ["pk"], ["seq"], F.col("seq"), before=("lag", F.col("k")))
+    feed = ordering.running(feed, ["pk"], ["seq"], F.col("seq"), old_k=("lag", F.col("before")))
     found = apply.conflicts(feed, ["pk"], "seq", F.col("k"), F.col("old_k"))
     return found.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("conflict").cast("bigint")).alias("conflicts"))
 
 
 @query()
 def cdc_conflicts_kept(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pk").orderBy("seq")
-    feed = derived_feed(spark, d).withColumn("old_k", F.lag("k", 1).over(w))
+    feed = ordering.running(derived_feed(spark, d), ["pk"], ["seq"], F.col("seq"), old_k=("lag", F.col("k")))
     found = apply.conflicts_kept(feed, ["pk"], "seq", "k", "old_k")
     return found.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("conflict").cast("bigint")).alias("conflicts"))
 
@@ -186,10 +181,8 @@ def cdc_ddl_epochs(spark, d):
     + case when op = 'update' and uk is distinct from old_uk and old_uk is not null then 1 else 0 end as n_hashes from b
 """)
 def cdc_dependency_count(spark, d):
-    from pyspark.sql import Window
-
-    before = F.when(F.col("op") == "update", F.lag("uk").over(Window.partitionBy("pk").orderBy("seq"))).otherwise(F.col("uk"))
-    feed = derived_feed(spark, d).withColumn("old_uk", before)
+    feed = ordering.running(derived_feed(spark, d), ["pk"], ["seq"], F.col("seq"), before=("lag", F.col("uk")))
+    feed = feed.withColumn("old_uk", F.when(F.col("op") == "update", F.col("before")).otherwise(F.col("uk")))
     keys = changes.dependency_keys(F.col("db"), F.col("tbl"), {"PRIMARY": [(F.col("pk"), F.col("pk"))], "uk": [(F.col("uk"), F.col("old_uk"))]})
     return feed.select("seq", F.size(keys).alias("n_hashes"))
 

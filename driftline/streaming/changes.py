@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.ordering import running
+
 
 class VersionedTable:
     """Parquet versions below ``path`` and the number of the current one."""
@@ -91,7 +93,6 @@ def is_healthy(watermark: Column, now: Column, limit_s: int = 60) -> Column:
 
 def drop_repeated_ddl(ddl: DataFrame, table: str, ts: str, within_s: int = 30) -> DataFrame:
     """Drops a statement on a table within ``within_s`` of the one before."""
-    from pyspark.sql import Window
-
-    before = F.lag(ts).over(Window.partitionBy(table).orderBy(ts))
-    return ddl.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_timestamp(ts) - F.unix_timestamp("_b") > within_s)).drop("_b")
+    seconds = F.unix_micros(F.to_timestamp(ts)) / 1_000_000
+    seen = running(ddl.withColumn("_s", seconds), [table], [ts], F.col("_s"), _b=("lag", F.col("_s")))
+    return seen.where(F.col("_b").isNull() | (F.col("_s") - F.col("_b") > within_s)).drop("_b", "_s")

@@ -112,7 +112,7 @@ def _unread(text: str, wrong: str) -> tuple[str, int]:
                         c = seq.decode("utf-8")
                     except UnicodeDecodeError:
                         c = ""
-                    if c and plausible(c):
+                    if c and (plausible(c) or c in MISREAD):
                         out.append(c)
                         n += 1
                         i += size
@@ -315,10 +315,13 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "transformation", "word")
         .agg(F.sum("spoilt").alias("spoilt"), F.first("strong").alias("strong"))
         .groupBy("doc_id", "transformation")
-        .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"))
+        .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"), F.sum((F.col("spoilt") > 0).cast("int")).alias("known"))
     )
     utf8 = F.col("transformation").startswith("utf-8")
-    per = cut(per.where(utf8 | (F.col("strong") >= 2)))
+    # any Cyrillic word is some other Cyrillic word's bytes, so one says less
+    cyrillic = F.col("transformation").isin([f"{r}>{w}" for r in FAMILIES["cyrillic"] for w in FAMILIES["cyrillic"] if r != w])
+    proven = (F.col("strong") >= 2) | ((F.col("strong") >= 1) & (F.col("known") >= 2) & ~cyrillic)
+    per = cut(per.where(utf8 | proven).drop("known"))
     enough = (F.col("spoilt") >= LEAST_SPOILT) & (F.col("strong") >= 1)
     sure = per.where(enough)
     # few known words: count every sequence of the text under the same transformation

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from driftline.functions.ddl import actions
 from driftline.functions.names import plain_name, plain_op
+from driftline.operators.ordering import running
 from driftline.session import cut
 
-BROADCAST_NAMES = 20_000  # names with statements up to which their epochs are broadcast (some 100 bytes each)
+BROADCAST_EVENTS = 100_000  # statements (some 50 bytes each) up to which the epochs of names are broadcast
 KEPT_SHARE = 0.5  # of the ids with values on both sides, the share that must agree in a rename
 MAX_HOPS = 40
 
@@ -54,25 +55,35 @@ def statements(feed: DataFrame) -> DataFrame:
     return rows.mapInArrow(_parse, _ACTION)
 
 
-def name_epochs(acts: DataFrame) -> DataFrame:
-    """(db, tbl, events): for each name the sorted (ts, seq, start) of its
-    statements; start marks that a new table begins to bear the name."""
+def name_events(acts: DataFrame) -> DataFrame:
+    """(db, tbl, ts, seq, start): places at which a statement touches a name;
+    start marks that a new table begins to bear it."""
     own = acts.select("db", "tbl", "ts", "seq", (F.col("kind") == "create").alias("start"))
     into = acts.where("kind = 'rename_table'").select(F.col("new_db").alias("db"), F.col("new_name").alias("tbl"), "ts", "seq", F.lit(True).alias("start"))
-    events = own.unionByName(into).groupBy("db", "tbl", "ts", "seq").agg(F.max("start").alias("start"))
-    return events.groupBy("db", "tbl").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "start"))).alias("events"))
-
-
-def _place(df: DataFrame, epochs: DataFrame, small: bool) -> DataFrame:
-    """Adds inst (how many tables bore the name before or now) and the ord of
-    the epoch's first statement."""
-    joined = df.join(F.broadcast(epochs) if small else epochs, ["db", "tbl"], "left")
-    past = F.filter(F.coalesce("events", F.array().cast("array<struct<ts:bigint,seq:bigint,start:boolean>>")), lambda e: (e["ts"] < F.col("ts")) | ((e["ts"] == F.col("ts")) & (e["seq"] <= F.col("seq"))))
-    return (
-        joined.withColumn("_past", past)
-        .withColumns({"inst": F.size(F.filter("_past", lambda e: e["start"])), "e_ts": F.coalesce(F.try_element_at("_past", F.lit(-1))["ts"], F.lit(-(2**62))), "e_seq": F.coalesce(F.try_element_at("_past", F.lit(-1))["seq"], F.lit(-(2**62)))})
-        .drop("events", "_past")
-    )
+    return own.unionByName(into).groupBy("db", "tbl", "ts", "seq").agg(F.max("start").alias("start"))
+
+
+def _place(df: DataFrame, events: DataFrame, small: bool) -> DataFrame:
+    """Adds inst (how many tables bore the name before or now) and the place
+    of the last statement (e_ts, e_seq).  Few statements are broadcast as one
+    sorted array a name; many are merged with the rows in running sums over
+    binned streams, so neither a hot table nor one with very many statements
+    is gathered."""
+    never = F.lit(-(2**62)).cast("bigint")
+    if small:
+        per = events.groupBy("db", "tbl").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "start"))).alias("_events"))
+        joined = df.join(F.broadcast(per), ["db", "tbl"], "left")
+        past = F.filter(F.coalesce("_events", F.array().cast("array<struct<ts:bigint,seq:bigint,start:boolean>>")), lambda e: (e["ts"] < F.col("ts")) | ((e["ts"] == F.col("ts")) & (e["seq"] <= F.col("seq"))))
+        last = F.try_element_at("_past", F.lit(-1))
+        return (
+            joined.withColumn("_past", past)
+            .withColumns({"inst": F.size(F.filter("_past", lambda e: e["start"])).cast("bigint"), "e_ts": F.coalesce(last["ts"], never), "e_seq": F.coalesce(last["seq"], never)})
+            .drop("_events", "_past")
+        )
+    both = df.withColumn("_row", F.lit(1)).unionByName(events.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    here = F.when(F.col("_row") == 0, F.struct("ts", "seq"))
+    ran = running(both, ["db", "tbl"], ["ts", "seq", "_row"], F.col("ts"), inst=("sum", F.col("start").cast("int")), _last=("last", here))
+    return ran.where("_row = 1").withColumns({"e_ts": F.coalesce(F.col("_last.ts"), never), "e_seq": F.coalesce(F.col("_last.seq"), never)}).drop("_row", "start", "_last")
 
 
 def images(feed: DataFrame) -> DataFrame:
@@ -120,16 +131,71 @@ def file_statistics(placed: DataFrame) -> DataFrame:
     return rows.groupBy("src_file", "db", "tbl", "inst", "e_ts", "e_seq", F.col("_p.field").alias("field"), F.col("_p.kind").alias("kind")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
+def kinds_by_file(feed: DataFrame) -> DataFrame:
+    """(src_file, db, tbl, field, kind, n): how often each file carries each
+    field with which JSON kind."""
+    named = feed.where("db is not null and tbl is not null")
+    rows = path_values(images(named)).select("src_file", "db", "tbl", F.explode("paths").alias("_p"))
+    return rows.groupBy("src_file", "db", "tbl", F.col("_p.field").alias("field"), F.col("_p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def failed_casts(feed: DataFrame) -> DataFrame:
+    """(db, tbl, field, kind, n, failed): the values of each field cast to the
+    kind most of its typed values have (numbers as decimals, all else as text),
+    with the number of casts that fail.  Values of the version that writes
+    text are cast like the others."""
+    named = feed.where("db is not null and tbl is not null")
+    kinds = kinds_by_file(named).where("kind <> ''").groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n"))
+    best = kinds.groupBy("db", "tbl", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    raw = images(named).select("db", "tbl", F.explode(F.map_entries(F.from_json("data_json", "map<string,string>"))).alias("_e")).select("db", "tbl", F.lower(F.btrim("_e.key")).alias("field"), F.col("_e.value").alias("value"))
+    # equal values are counted before they meet their kind
+    counted = raw.where("value is not null").groupBy("db", "tbl", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("kind").isin("i", "f")
+    bad = number & F.col("value").try_cast("decimal(38,6)").isNull()
+    return counted.join(best, ["db", "tbl", "field"]).groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("failed"))
+
+
+def consistent_rows(feed: DataFrame, changes: DataFrame) -> DataFrame:
+    """(db, tbl, id, event_ts, field, value): everything in one set of rows
+    with the newest field and table names.  ``changes`` are those of
+    schema_changes.  Names that were given twice in different lineages keep
+    their own, as far as (db, table, field) tells them apart."""
+    tables = newest_names(changes.where("kind = 'table_renamed'").select("db", F.lit("").alias("scope"), F.col("tbl").alias("name"), F.col("new_name").alias("next")))
+    named = feed.where("db is not null and tbl is not null")
+    rows = images(named).select("db", "tbl", "ts", F.explode(F.map_entries(F.from_json("data_json", "map<string,string>"))).alias("_e"), F.get_json_object("data_json", "$.id").alias("id"))
+    flat = rows.select("db", "tbl", "id", "ts", F.lower(F.btrim("_e.key")).alias("field"), F.col("_e.value").alias("value"))
+    t = tables.select("db", F.col("name").alias("tbl"), F.col("newest").alias("_t"))
+    flat = flat.join(t, ["db", "tbl"], "left").withColumn("tbl", F.coalesce("_t", "tbl")).drop("_t")
+    renamed = changes.where("kind = 'renamed'").join(t, ["db", "tbl"], "left").select("db", F.coalesce("_t", "tbl").alias("scope"), F.col("field").alias("name"), F.col("new_name").alias("next"))
+    f = newest_names(renamed).select("db", F.col("scope").alias("tbl"), F.col("name").alias("field"), F.col("newest").alias("_f"))
+    flat = flat.join(f, ["db", "tbl", "field"], "left").withColumn("field", F.coalesce("_f", "field")).drop("_f")
+    return flat.select("db", "tbl", "id", F.timestamp_micros("ts").cast("timestamp_ntz").alias("event_ts"), "field", "value")
+
+
+def newest_names(links: DataFrame) -> DataFrame:
+    """(db, scope, name, newest) from (db, scope, name, next), by pointer
+    jumping; a name that comes back to itself keeps the last before it does."""
+    at = cut(links.dropDuplicates(["db", "scope", "name"]).select("db", "scope", "name", F.col("next").alias("newest")))
+    for _ in range(MAX_HOPS):
+        up = at.select("db", "scope", F.col("name").alias("newest"), F.col("newest").alias("_up"))
+        moved = F.col("_up").isNotNull() & (F.col("_up") != F.col("name"))
+        jumped = cut(at.join(up, ["db", "scope", "newest"], "left").select("db", "scope", "name", F.when(moved, F.col("_up")).otherwise(F.col("newest")).alias("newest"), moved.alias("_moved")))
+        at = jumped.drop("_moved")
+        if jumped.where("_moved").isEmpty():
+            break
+    return at
+
+
 def _node(db: str = "db", tbl: str = "tbl", inst: str = "inst") -> Column:
     return F.concat_ws("\x01", db, tbl, F.col(inst).cast("string"))
 
 
-def lineages(acts: DataFrame, epochs: DataFrame, small: bool) -> DataFrame:
+def lineages(acts: DataFrame, events: DataFrame, small: bool) -> DataFrame:
     """(node, root) for each name that a rename gave to a table, by pointer
     jumping; names that begin with CREATE are their own root."""
     ren = acts.where("kind = 'rename_table'").select("db", "tbl", "ts", "seq", "new_db", "new_name")
-    before = _place(ren.withColumn("seq", F.col("seq") - 1), epochs, small).withColumn("seq", F.col("seq") + 1).select(_node().alias("root"), F.col("new_db").alias("db"), F.col("new_name").alias("tbl"), "ts", "seq")
-    links = cut(_place(before, epochs, small).select(_node().alias("node"), "root").where("node <> root").dropDuplicates(["node"]))
+    before = _place(ren.withColumn("seq", F.col("seq") - 1), events, small).withColumn("seq", F.col("seq") + 1).select(_node().alias("root"), F.col("new_db").alias("db"), F.col("new_name").alias("tbl"), "ts", "seq")
+    links = cut(_place(before, events, small).select(_node().alias("node"), "root").where("node <> root").dropDuplicates(["node"]))
     for _ in range(MAX_HOPS):
         up = links.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         jumped = cut(links.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")))
@@ -276,7 +342,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def schema_changes(feed: DataFrame, id_field: str = "id") -> DataFrame:
+def schema_changes(feed: DataFrame, id_field: str = "id", broadcast_events: int = BROADCAST_EVENTS) -> DataFrame:
     """``db, tbl, kind, field, new_name``: every change of a field or table
     name after CREATE TABLE, told by a statement or, without one, by messages.
 
@@ -287,14 +353,14 @@ def schema_changes(feed: DataFrame, id_field: str = "id") -> DataFrame:
     """
     named = feed.where("db is not null and tbl is not null")
     acts = cut(statements(named))
-    epochs = cut(name_epochs(acts))
-    small = epochs.count() <= BROADCAST_NAMES
-    links = lineages(acts, epochs, small)
-    placed = _place(images(named), epochs, small)
+    events = cut(name_events(acts))
+    small = events.count() <= broadcast_events
+    links = lineages(acts, events, small)
+    placed = _place(images(named), events, small)
     by_file = file_statistics(placed)
     stats = by_file.groupBy("db", "tbl", "inst", "e_ts", "e_seq", "field", "kind").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     # a rename acts on the table that bore the old name before it
-    acted = _place(acts, epochs, small)
+    acted = _place(acts, events, small)
     none = F.lit(None).cast("string")
     at = "struct<ts:bigint,seq:bigint>"
     rows = acted.select(_node().alias("node"), "db", "tbl", "ts", "seq", F.lit(0).alias("stat"), "pos", F.col("kind").alias("a"), "field", "new_name", "type_word", "columns", none.alias("kind"), F.lit(None).cast(at).alias("first"), F.lit(None).cast(at).alias("last"))

@@ -59,6 +59,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.schema_changes(table(spark, d, "schema_feed"))
 
 
+def p2_kinds_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """How often each file carries each field with which JSON kind."""
+    return schema_drift.kinds_by_file(table(spark, d, "schema_feed"))
+
+
+def p2_failed_casts(spark: SparkSession, d: str) -> DataFrame:
+    """Values that don't fit the kind most values of their field have."""
+    return schema_drift.failed_casts(table(spark, d, "schema_feed"))
+
+
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of schema_feed under the newest names."""
+    feed = table(spark, d, "schema_feed")
+    return schema_drift.consistent_rows(feed, schema_drift.schema_changes(feed))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of dcp_messages that are later copies of another record."""
     m = table(spark, d, "dcp_messages")
@@ -116,7 +132,7 @@ def p5_students(spark: SparkSession, d: str) -> DataFrame:
     return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p2_kinds_by_file, p2_failed_casts, p2_rows, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
 
 _NAMES = "lower(trim(replace(trim(db), '`', ''))) as db, lower(trim(replace(trim(tbl), '`', ''))) as tbl"
 

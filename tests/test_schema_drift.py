@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from driftline.functions.ddl import actions
-from driftline.operators.schema_drift import schema_changes
+from driftline.operators.schema_drift import consistent_rows, failed_casts, newest_names, schema_changes
 
 SCHEMA = "rec_no bigint, src_file string, msg_version string, stream_key string, seq_no bigint, msg_type string, db string, tbl string, event_ts timestamp_ntz, dml_op string, data_json string, ddl_sql string"
 T0 = datetime(2023, 3, 1)
@@ -36,7 +36,10 @@ class Feed:
     def changes(self):
         df = self.spark.createDataFrame(self.rows, SCHEMA)
         df = df.union(df.where("rec_no % 3 = 0")).withColumns({"root": F.lit("clash"), "kind": F.lit(1)}).repartition(5)
-        return sorted(tuple(r)[1:] for r in schema_changes(df).collect())
+        one = sorted(tuple(r)[1:] for r in schema_changes(df).collect())
+        # many statements take the other way
+        assert sorted(tuple(r)[1:] for r in schema_changes(df, broadcast_events=-1).collect()) == one
+        return one
 
 
 def test_told_changes(spark):
@@ -89,3 +92,25 @@ def test_nulls_and_empty(spark):
     rows = [(1, "f", None, None, None, "dml", None, None, None, "insert", "{bad", None), (2, "f", None, "s", 1, "dml", "d", "t", T0, "insert", "{bad", None)]
     assert schema_changes(spark.createDataFrame(rows, SCHEMA)).collect() == []
     assert schema_changes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_and_casts(spark):
+    f = Feed(spark)
+    f.add("ddl", "create table t (id int, a int)")
+    f.add("dml", {"id": 1, "a": 5})
+    f.add("dml", {"id": 1, "a": "6"}, version="0.1")
+    f.add("ddl", "alter table t change a b int")
+    f.add("dml", {"id": 2, "b": 7})
+    f.add("ddl", "rename table t to u")
+    f.add("dml", {"id": 3, "b": "no number"}, tbl="u", version="0.1")
+    f.add("dml", {"id": 3, "b": 8}, tbl="u")
+    df = spark.createDataFrame(f.rows, SCHEMA)
+    rows = consistent_rows(df, schema_changes(df)).collect()
+    assert sorted((r.tbl, r.id, r.field, r.value) for r in rows if r.field != "id") == [("u", "1", "b", "5"), ("u", "1", "b", "6"), ("u", "2", "b", "7"), ("u", "3", "b", "8"), ("u", "3", "b", "no number")]
+    assert [(r.n, r.failed) for r in failed_casts(df).where("tbl = 'u' and field = 'b'").collect()] == [(2, 1)]
+
+
+def test_newest_names(spark):
+    links = spark.createDataFrame([("d", "t", "a", "b"), ("d", "t", "b", "c"), ("d", "t", "c", "e"), ("d", "u", "a", "z"), ("d", "v", "x", "y"), ("d", "v", "y", "x")], "db string, scope string, name string, next string")
+    got = {(r.scope, r["name"]): r.newest for r in newest_names(links).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "v"} == {("t", "a"): "e", ("t", "b"): "e", ("t", "c"): "e", ("u", "a"): "z"}

@@ -147,7 +147,79 @@ _COPIES = r"""
     )
 """
 
+_VALUE = """
+      case json_type(j, '$."' || k || '"')
+        when 'NULL' then null
+        when 'VARCHAR' then case
+          when v like '0000-00-00%' then 'z' || replace(replace(v, 'T', ' '), 'Z', '')
+          when regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?Z?$')
+            then 't' || epoch_us(cast(replace(replace(v, 'T', ' '), 'Z', '') as timestamp))
+          else 's' || v end
+        when 'BOOLEAN' then 'b' || v
+        when 'OBJECT' then 'j' || v
+        when 'ARRAY' then 'j' || v
+        else 'n' || cast(cast(v as decimal(38,15)) as varchar) end
+"""
+
+
+def _held(side: str, name: str) -> str:
+    return f"""
+    {name} as (
+      select tbl, payload_id, substr(payload_content, strpos(payload_content, ' ') + 1) as j from (
+        select *, row_number() over (partition by tbl, payload_id order by msg_time desc nulls last, rec_no desc) as rn from {side}
+      ) where rn = 1 and split_part(payload_content, ' ', 1) <> 'DELETE'
+    ),
+    {name}_cells as (
+      select * from (
+        select tbl, payload_id, k as field, {_VALUE} as value from (
+          select tbl, payload_id, j, k, json_extract_string(j, '$."' || k || '"') as v from (select tbl, payload_id, j, unnest(json_keys(j)) as k from {name})
+        )
+      ) where value is not null
+    )"""
+
+
+def _part(x: str, field: str) -> str:
+    at = f"'$.{field}'"
+    return f"case when json_type({x}, {at}) = 'VARCHAR' then json_extract_string({x}, {at}) else json_extract({x}, {at}) end"
+
+
+def _child_sql() -> str:
+    ctes = ["docs as (select op_no, case operation when 'i' then data_json else row_json end as obj, '' as idx from oplog_ops where operation in ('i', 'u'))", f"details as (select op_no, {_part('obj', 'student_detail')} as obj, '' as idx from docs where obj is not null)"]
+    out = []
+    for path in STUDENT_TABLES:
+        parent, _, field = path.rpartition(".")
+        name = path.replace(".", "_")
+        above = {"": "docs", "student_detail": "details"}.get(parent, parent.replace(".", "_"))
+        ctes.append(f"""
+          {name}_parts as (select op_no, idx, {_part('obj', field)} as x from {above} where obj is not null),
+          {name}_kinds as (select op_no, idx, x, json_type(x) as t from {name}_parts where x is not null),
+          {name}_each as (select op_no, idx, x, t, unnest(range(0, case t when 'ARRAY' then cast(json_array_length(x) as bigint) when 'OBJECT' then 1 else 0 end)) as i from {name}_kinds),
+          {name}_elements as (select op_no, case when idx = '' then '' else idx || '.' end || i as idx, case t when 'ARRAY' then {_part('x', '').replace("'$.'", "'$[' || i || ']'")} else x end as obj from {name}_each),
+          {name} as (select op_no, idx, obj from {name}_elements where obj is not null and json_type(obj) = 'OBJECT')""")
+        out.append(f"select op_no, '{path}' as child_path, idx as child_index from {name}")
+    return "with " + ",".join(ctes) + " union all ".join([" " + o for o in out])
+
+
 SQL: dict[str, str] = {
+    "p4_found": f"""
+      with {_held('dcp_source', 's')}, {_held('dcp_target', 't')}
+      select s.tbl, s.payload_id, 'missing_in_target' as kind, '' as field from s left join t on s.tbl = t.tbl and s.payload_id = t.payload_id where t.tbl is null
+      union all
+      select t.tbl, t.payload_id, 'missing_in_source', '' from t left join s on s.tbl = t.tbl and s.payload_id = t.payload_id where s.tbl is null
+      union all
+      select coalesce(a.tbl, b.tbl), coalesce(a.payload_id, b.payload_id), 'value_differs', coalesce(a.field, b.field)
+      from s_cells a full join t_cells b on a.tbl = b.tbl and a.payload_id = b.payload_id and a.field = b.field
+      where a.value is distinct from b.value
+        and exists (select 1 from s where s.tbl = coalesce(a.tbl, b.tbl) and s.payload_id = coalesce(a.payload_id, b.payload_id))
+        and exists (select 1 from t where t.tbl = coalesce(a.tbl, b.tbl) and t.payload_id = coalesce(a.payload_id, b.payload_id))
+    """,
+    "p5_found": _child_sql(),
+    "p2_kinds_by_file": r"""
+      with m as (select src_file, lower(trim(replace(db, '`', ''))) as db, lower(trim(replace(tbl, '`', ''))) as tbl, data_json as j, msg_version <> '0.1' as typed from schema_feed where msg_type = 'dml' and dml_op in ('insert', 'update') and data_json is not null),
+      e as (select *, unnest(json_keys(j)) as k from m)
+      select src_file, db, tbl, lower(k) as field, case when not typed then '' else case json_type(j, '$."' || k || '"') when 'NULL' then '' when 'VARCHAR' then 't' when 'BOOLEAN' then 'b' when 'OBJECT' then 'o' when 'ARRAY' then 'o' when 'DOUBLE' then 'f' else 'i' end end as kind, count(*) as n
+      from e group by 1, 2, 3, 4, 5
+    """,
     "p3_found": _COPIES + " select rec_no from r where rn > 1",
     "p3_kept": _COPIES + " select rec_no, msg_id, msg_tag, payload_id, msg_time from r where rn = 1",
     "p6_found": f"""

@@ -174,6 +174,12 @@ def fill_missing(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataF
     return df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(v).cast(t).alias(c) for c, (t, v) in columns.items()])
 
 
+def tagged(df: DataFrame, pipeline: str, slots: int = 999) -> DataFrame:
+    """Marks written rows with the pipeline that wrote them and a slot from 1
+    to ``slots``, so that a pipeline the other way knows them."""
+    return df.withColumns({"txn_tag": F.lit(pipeline), "txn_slot": (F.pmod(F.crc32(F.lit(pipeline).cast("binary")), F.lit(slots)) + 1).cast("int")})
+
+
 def with_generated(df: DataFrame, generated: dict[str, Column]) -> DataFrame:
     """Generated columns are computed anew, never copied."""
     return df.withColumns(generated)

@@ -19,6 +19,14 @@ def split_key_updates(df: DataFrame, key_changed: Column) -> DataFrame:
     return df.withColumn("_s", F.explode(F.when(split, both).otherwise(one))).withColumns({"sub": F.col("_s.sub"), "op": F.col("_s.op")}).drop("_s")
 
 
+def transaction_batches(df: DataFrame, txn: str, order: str, limit: int = 1024) -> DataFrame:
+    """Adds ``batch``: a transaction is handed on whole, or in batches of
+    ``limit`` messages if it is longer; ``last`` marks the message that ends it."""
+    n = running(df, [txn], [order], F.col(order), _n=("row_number",))
+    ends = df.groupBy(txn).agg(F.max(order).alias("_end"))
+    return n.join(ends, txn).withColumns({"batch": F.floor((F.col("_n") - 1) / limit), "last": F.col(order) == F.col("_end")}).drop("_n", "_end")
+
+
 def suppress_loops(df: DataFrame, txn: str, is_tag: Column, order: str) -> DataFrame:
     """Of a transaction with a tag row only the last message stays, as the
     changes were written by a pipeline of our own.  Tags and last messages are

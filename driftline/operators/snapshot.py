@@ -72,6 +72,11 @@ def chunk_bounds(df: DataFrame, key: str, chunks: int) -> DataFrame:
     return ranked.withColumn("chunk", chunk.cast("bigint")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
 
 
+def is_empty(df: DataFrame, where: str | None = None) -> bool:
+    """Looks for one row only."""
+    return (df.where(where) if where else df).isEmpty()
+
+
 def replicate(snapshot: DataFrame, changes: DataFrame, start: int, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """Snapshot first, then the log after the position taken before the scan."""
     first = snapshot.select(*keys, *columns).withColumns({"op": F.lit("insert"), order: F.lit(-1).cast("bigint")})

@@ -12,9 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions import scalar
-from driftline.operators import apply, changes, documents, encode, filters, ordering, predicates, routing, snapshot, verify
+from driftline.functions import mysql_types, scalar
+from driftline.functions.names import plain_name, plain_op
+from driftline.functions.retarget import retarget
+from driftline.operators import apply, changes, documents, encode, filters, oplog, ordering, predicates, routing, snapshot, verify
 from driftline.session import table
+from driftline.sources import sinks
 from driftline.sources.feeds import derived_feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,8 +456,6 @@ def verify_range_prune(spark, d):
   select name, 'source' as side from (select name from a except select name from b) union all select name, 'target' from (select name from b except select name from a)
 """)
 def verify_table_set(spark, d):
-    from driftline.functions.names import plain_name
-
     names = lambda t: table(spark, d, t).where("tbl is not null").select(plain_name(F.col("tbl")).alias("name")).distinct()
     return verify.table_set_difference(names("change_feed"), names("schema_feed"))
 
@@ -541,3 +542,104 @@ def stream_cdc_lww(spark, d):
     target = VersionedTable(spark, f"{base}/target")
     run_to_end(stream, f"{base}/checkpoint", apply_batches(target, ["pk"], "seq", ["value", "event_type"], events_as_changes))
     return live_rows(target).select("pk", "value", "event_type", "seq")
+
+
+@query("""
+  with {feed}, n as (select seq, txn_id, row_number() over (partition by txn_id order by seq) as n, max(seq) over (partition by txn_id) as m from feed)
+  select seq, txn_id, cast(floor((n - 1) / 3.0) as bigint) as batch, seq = m as last from n
+""")
+def cdc_transaction_batches(spark, d):
+    return changes.transaction_batches(derived_feed(spark, d).select("seq", "txn_id"), "txn_id", "seq", 3).select("seq", "txn_id", "batch", "last")
+
+
+@query("""
+  with f as (select rec_no, lower(trim(replace(db, '`', ''))) as db, lower(trim(replace(tbl, '`', ''))) as tbl, json_extract_string(pks_json, '$.name') as name from change_feed where msg_type = 'dml')
+  select rec_no from f where not (db = 'mysql' or tbl in ('positions', 'dead_signals') or (regexp_matches(tbl, 'heartbeat') and coalesce(name, '') <> 'gw-main'))
+""")
+def cdc_internal_traffic(spark, d):
+    feed = table(spark, d, "change_feed").where("msg_type = 'dml'").select("rec_no", plain_name(F.col("db")).alias("db"), plain_name(F.col("tbl")).alias("tbl"), F.from_json("pks_json", "map<string,string>").alias("pks"))
+    return changes.internal_traffic(feed, "gw-main").select("rec_no")
+
+
+@query("""
+  select op_no, case operation when 'i' then 'insert' when 'u' then 'update' when 'd' then 'delete' else 'drop' end as op, split_part(op_ns, '.', 1) as db,
+    case when operation = 'c' then json_extract_string(data_json, '$.drop') else regexp_replace(op_ns, '^[^.]*[.]?', '') end as coll,
+    case when operation in ('i', 'd') then coalesce(json_extract_string(data_json, '$._id."$oid"'), obj_id) when operation = 'u' then obj_id end as id
+  from oplog_ops where operation in ('i', 'u', 'd') or (operation = 'c' and json_extract_string(data_json, '$.drop') is not null)
+""")
+def oplog_changes(spark, d):
+    return oplog.parse(table(spark, d, "oplog_ops")).drop("body")
+
+
+@query("""
+  with p as (select split_part(op_ns, '.', 1) || '|' || regexp_replace(op_ns, '^[^.]*[.]?', '') as ns, case when operation in ('i', 'd') then coalesce(json_extract_string(data_json, '$._id."$oid"'), obj_id) else obj_id end as id from oplog_ops where operation in ('i', 'u', 'd'))
+  select 'log' as ordering, cast(1 as bigint) as streams union all select 'namespace', count(distinct ns) from p union all select 'document', count(distinct ns || '|' || coalesce(id, '')) from p
+""")
+def oplog_ordering(spark, d):
+    p = oplog.parse(table(spark, d, "oplog_ops")).where("op <> 'drop'")
+    each = p.select(F.explode(F.create_map(*[c for o in oplog.ORDERINGS for c in (F.lit(o), oplog.ordering_key(o, F.col("db"), F.col("coll"), F.col("id")))])).alias("ordering", "k"))
+    return each.groupBy("ordering").agg(F.count_distinct("k").alias("streams"))
+
+
+@query("""
+  with h as (select lower(trim(replace(db, '`', ''))) as db, (epoch_us(recv_ts) - epoch_us(event_ts)) / 1000000.0 as s from change_feed where msg_type = 'dml' and lower(tbl) like '%heartbeat%')
+  select db, count(*) as n, cast(min(s) as double) as least_s, cast(max(s) as double) as most_s, cast(sum(case when s > 60 then 1 else 0 end) as bigint) as unhealthy from h group by db
+""")
+def heartbeat_latency(spark, d):
+    from driftline.streaming.changes import is_healthy
+
+    h = table(spark, d, "change_feed").where("msg_type = 'dml'").where(F.lower("tbl").contains("heartbeat"))
+    s = (F.unix_micros(F.to_timestamp("recv_ts")) - F.unix_micros(F.to_timestamp("event_ts"))) / 1_000_000
+    sick = ~is_healthy(F.to_timestamp("event_ts"), F.to_timestamp("recv_ts")) | (s > 60)
+    return h.groupBy(plain_name(F.col("db")).alias("db")).agg(F.count(F.lit(1)).alias("n"), F.min(s).alias("least_s"), F.max(s).alias("most_s"), F.sum(sick.cast("bigint")).alias("unhealthy"))
+
+
+@query()
+def ddl_retarget(spark, d):
+    """Statements of schema_feed as they run at a target schema ``copy``."""
+
+    def rewrite(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = [(n, s) for n, db, sql in zip(*[c.to_pylist() for c in b.columns]) for s in retarget(sql or "", db or "", lambda _, t: ("copy", t))]
+            yield pa.RecordBatch.from_pydict({"rec_no": pa.array([o[0] for o in out], pa.int64()), "statement": pa.array([o[1] for o in out], pa.string())})
+
+    ddl = table(spark, d, "schema_feed").where(plain_op(F.col("msg_type")) == "ddl")
+    return ddl.select("rec_no", "db", "ddl_sql").mapInArrow(rewrite, "rec_no bigint, statement string")
+
+
+@query("select o_orderkey, cast(o_totalprice as decimal(12,2)) as price, cast(o_custkey as decimal(20,0)) as cust, o_orderdate as placed, cast(null as timestamp) as zero from orders")
+def decode_types(spark, d):
+    o = table(spark, d, "orders")
+    text = o.select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("p"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderdate").cast("string").alias("t"), F.lit("0000-00-00 00:00:00").alias("z"))
+    return text.select("o_orderkey", mysql_types.decode(F.col("p"), "decimal(12,2)").alias("price"), mysql_types.decode(F.col("c"), "bigint(20) unsigned").alias("cust"), mysql_types.decode(F.col("t"), "datetime(6)").alias("placed"), mysql_types.decode(F.col("z"), "datetime").alias("zero"))
+
+
+@query("""
+  with {feed}, r as (select *, row_number() over (partition by tbl, pk order by seq desc) as rn from feed)
+  select tbl as index, cast(pk as varchar) as doc_id, '{"pk":' || pk || ',"event_type":"' || event_type || '","uk":' || coalesce(cast(uk as varchar), 'null') || '}' as document from r where rn = 1 and op <> 'delete'
+""")
+def doc_index_table(spark, d):
+    return sinks.documents(derived_feed(spark, d), ["pk"], "seq", ["event_type", "uk"])
+
+
+@query("""
+  with {feed}, r as (select *, row_number() over (partition by pk, k order by seq desc) as rn from feed),
+  l as (select pk, k, event_type from r where rn = 1 and op <> 'delete')
+  select c.c_custkey as pk, coalesce(string_agg(l.k || '=' || l.event_type, ',' order by l.k), '') as parts from customer c left join l on l.pk = c.c_custkey group by 1
+""")
+def doc_children_of_changes(spark, d):
+    """Children folded per own key, then gathered in their parent's document."""
+    live = apply.replace_rows(derived_feed(spark, d).where("k is not null"), ["pk", "k"], "seq", ["event_type"])
+    docs = documents.attach_many(table(spark, d, "customer").select(F.col("c_custkey").alias("pk")), live, ["pk"], "parts", [("k", "k"), ("event_type", "t")], ["k"])
+    return docs.select("pk", F.array_join(F.transform("parts", lambda p: F.concat(p["k"].cast("string"), F.lit("="), p["t"])), ",").alias("parts"))
+
+
+@query("""
+  with {feed}, p as (select distinct pk from feed where op <> 'delete') select c_custkey as pk, c_custkey in (select pk from p) as there from customer
+""")
+def txn_tagged_rows(spark, d):
+    marked = apply.tagged(derived_feed(spark, d).where("op <> 'delete'").select("pk").distinct(), "pipe-a")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pk"))
+    return c.join(marked, "pk", "left").select("pk", F.col("txn_tag").isNotNull().alias("there"))

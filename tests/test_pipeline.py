@@ -198,3 +198,48 @@ def test_repeated_statements(spark):
     rows = [("t", datetime(2023, 3, 1, 0, 0, 0)), ("t", datetime(2023, 3, 1, 0, 0, 20)), ("t", datetime(2023, 3, 1, 0, 5, 0)), ("u", datetime(2023, 3, 1, 0, 0, 1))]
     df = spark.createDataFrame(rows, "tbl string, ts timestamp")
     assert streaming.drop_repeated_ddl(df, "tbl", "ts").count() == 3
+
+
+def test_mysql_types():
+    from driftline.functions.mysql_types import column_kind, spark_type
+
+    kinds = {"double(25,3)": "float", "decimal(11,3)": "decimal", "enum('a')": "enum", "datetime(6)": "datetime", "timestamp": "timestamp", "time": "time", "date": "date", "bit(1)": "bit", "json": "json", "mediumint(8) unsigned": "mediumint", "bigint(20)": "number", "year(4)": "number", "varchar(9)": "string", "tinyblob": "string"}
+    assert {t: column_kind(t) for t in kinds} == kinds
+    types = {"decimal(11,3)": "decimal(11,3)", "decimal": "decimal(10,0)", "bigint unsigned": "decimal(20,0)", "int unsigned": "bigint", "tinyint(4)": "tinyint", "int(11)": "int", "double": "double", "float(11,3)": "float", "datetime(6)": "timestamp_ntz", "time": "string", "text": "string"}
+    assert {t: spark_type(t) for t in types} == types
+
+
+def test_retarget():
+    from driftline.functions.retarget import retarget
+
+    to = lambda db, t: None if t == "skip" else ("x", t)
+    run = lambda s: retarget(s, "d", to)
+    assert run("create table a.t (id int(11) default '1,2', primary key (`id`)) engine=InnoDB;") == ["CREATE TABLE IF NOT EXISTS `x`.`t` (id int(11) default '1,2', primary key(`id`)) engine = InnoDB"]
+    assert run("CREATE TABLE t LIKE u") == ["CREATE TABLE IF NOT EXISTS `x`.`t` LIKE `x`.`u`"]
+    assert run("drop table if exists t, skip, e.v") == ["DROP TABLE IF EXISTS `x`.`t`", "DROP TABLE IF EXISTS `x`.`v`"]
+    assert run("alter table t add column c int") == ["ALTER TABLE `x`.`t` add column c int"]
+    assert run("rename table t to v, skip to w") == ["RENAME TABLE `x`.`t` TO `x`.`v`"]
+    assert run("create database if not exists d") == ["CREATE DATABASE IF NOT EXISTS `x`"]
+    assert run("truncate table t") == run("create index i on t (a)") == run("") == run("alter table skip drop a") == []
+
+
+def test_run_pipeline(spark, tmp_path):
+    from driftline.__main__ import run
+    from driftline.sources.feeds import ENVELOPE
+
+    rows = [("s", 1, "dml", "d", "t", None, "insert", {"a": "1"}, None, {"a": "1"}, 1), ("s", 2, "dml", "d", "u", None, "insert", {"a": None}, None, None, 1), ("s", 3, "ctl", None, None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, ENVELOPE).write.parquet(str(tmp_path / "in"))
+    for mode in ("batch", "stream"):
+        out = str(tmp_path / mode)
+        p = Pipeline.of({"name": "p", "input": {"format": "parquet", "path": str(tmp_path / "in"), "mode": mode, "checkpoint": str(tmp_path / "c")}, "filters": [{"type": "reject", "config": {"match-table": "u"}}], "output": {"sink": "parquet", "options": {"path": out}, "routes": [{"match-table": "*", "target-table": "all"}]}})
+        assert run(spark, p)["stage"] == "ended"
+        assert [(r.tbl, r.tgt_tbl, r.data) for r in spark.read.parquet(out).collect()] == [("t", "all", {"a": "1"})]
+
+
+def test_document_sink_needs_keys(spark):
+    from driftline.sources.sinks import documents as index
+
+    df = spark.createDataFrame([("-T", 1, "insert", 1, "x"), ("-T", None, "insert", 2, "y")], "tbl string, pk int, op string, seq bigint, v string")
+    assert [tuple(r) for r in index(df, ["pk"], "seq", ["v"], ignore_without_key=True).collect()] == [("t", "1", '{"pk":1,"v":"x"}')]
+    with pytest.raises(Exception, match="without primary key"):
+        index(df, ["pk"], "seq", ["v"]).collect()

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.joins import null_safe_join
 from driftline.operators.ordering import running
 
 
@@ -28,25 +29,27 @@ def replace_rows(df: DataFrame, keys: Sequence[str], order: str, columns: Sequen
 
 def replace_with_unique_keys(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], unique: Sequence[Sequence[str]]) -> DataFrame:
     """As replace_rows; besides, a row falls to a later write of another key
-    that has the same non-null value in a unique key.  The latest and the
-    latest-but-one writer of each unique value are aggregated, so a hot value
-    never pairs its writers."""
+    that has the same non-null value in a unique key.  Only the
+    latest writer of each unique value is kept, by one aggregate with map-side
+    combine, so a hot value never pairs its writers."""
     live = replace_rows(df, keys, order, columns)
     writes = df.where("op <> 'delete'")
     for uk in unique:
+        some = " and ".join(f"{c} is not null" for c in uk)
         me = F.concat_ws("\x01", *[F.col(k).cast("string") for k in keys])
-        held = writes.where(" and ".join(f"{c} is not null" for c in uk)).select(*uk, me.alias("_pk"), F.col(order).alias("_o"))
-        latest = held.groupBy(*uk, "_pk").agg(F.max("_o").alias("_o")).groupBy(*uk).agg(F.max_by("_pk", "_o").alias("_pk"), F.max("_o").alias("_o"))
-        live = live.withColumn("_me", me).join(latest, list(uk), "left").where(F.col("_pk").isNull() | (F.col("_pk") == F.col("_me")) | (F.col("_o") < F.col(order)))
-        live = live.drop("_me", "_pk", "_o")
+        held = writes.where(some).select(*uk, me.alias("_pk"), F.col(order).alias("_o"))
+        latest = held.groupBy(*uk).agg(F.max_by("_pk", "_o").alias("_pk"), F.max("_o").alias("_o"))
+        kept = live.where(some).withColumn("_me", me).join(latest, list(uk), "left").where(F.col("_pk").isNull() | (F.col("_pk") == F.col("_me")) | (F.col("_o") < F.col(order)))
+        # rows without the value can't fall and stay out of the join
+        live = kept.select(*live.columns).unionByName(live.where(f"not ({some})"))
     return live.select(*keys, *columns, order)
 
 
 def insert_ignore(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """Inserts and updates take effect only where no row is: the first write
-    after the last delete of the key."""
+    after the last delete of the key.  A null key is a key of its own."""
     last_delete = df.where("op = 'delete'").groupBy(*keys).agg(F.max(order).alias("_d"))
-    writes = df.where("op <> 'delete'").join(last_delete, list(keys), "left").where(F.col("_d").isNull() | (F.col(order) > F.col("_d")))
+    writes = null_safe_join(df.where("op <> 'delete'"), last_delete, keys, "left").where(F.col("_d").isNull() | (F.col(order) > F.col("_d")))
     return writes.groupBy(*keys).agg(F.min_by(F.struct(*columns, order), order).alias("_r")).select(*keys, "_r.*")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.ddl import actions
 from driftline.functions.names import plain_name, plain_op
+from driftline.functions.times import from_micros, micros
 from driftline.operators.ordering import running
 from driftline.session import cut
 
@@ -44,14 +45,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
 
-def _micros(c: str) -> Column:
-    return F.unix_micros(F.to_timestamp(c))
-
-
 def statements(feed: DataFrame) -> DataFrame:
     """Actions of the statements, each delivered statement once."""
     ddl = feed.where(plain_op(F.col("msg_type")) == "ddl").where("ddl_sql is not null").dropDuplicates(["stream_key", "seq_no"])
-    rows = ddl.select(plain_name(F.col("db")).alias("db"), plain_name(F.col("tbl")).alias("tbl"), _micros("event_ts").alias("ts"), F.col("seq_no").alias("seq"), "ddl_sql")
+    rows = ddl.select(plain_name(F.col("db")).alias("db"), plain_name(F.col("tbl")).alias("tbl"), micros("event_ts").alias("ts"), F.col("seq_no").alias("seq"), "ddl_sql")
     return rows.mapInArrow(_parse, _ACTION)
 
 
@@ -93,7 +90,7 @@ def images(feed: DataFrame) -> DataFrame:
     return feed.where((plain_op(F.col("msg_type")) == "dml") & op.isin("insert", "update") & F.col("data_json").isNotNull()).select(
         plain_name(F.col("db")).alias("db"),
         plain_name(F.col("tbl")).alias("tbl"),
-        _micros("event_ts").alias("ts"),
+        micros("event_ts").alias("ts"),
         F.col("seq_no").alias("seq"),
         "src_file",
         F.coalesce(F.col("msg_version") != "0.1", F.lit(True)).alias("typed"),
@@ -169,7 +166,7 @@ def consistent_rows(feed: DataFrame, changes: DataFrame) -> DataFrame:
     renamed = changes.where("kind = 'renamed'").join(t, ["db", "tbl"], "left").select("db", F.coalesce("_t", "tbl").alias("scope"), F.col("field").alias("name"), F.col("new_name").alias("next"))
     f = newest_names(renamed).select("db", F.col("scope").alias("tbl"), F.col("name").alias("field"), F.col("newest").alias("_f"))
     flat = flat.join(f, ["db", "tbl", "field"], "left").withColumn("field", F.coalesce("_f", "field")).drop("_f")
-    return flat.select("db", "tbl", "id", F.timestamp_micros("ts").cast("timestamp_ntz").alias("event_ts"), "field", "value")
+    return flat.select("db", "tbl", "id", from_micros(F.col("ts")).alias("event_ts"), "field", "value")
 
 
 def newest_names(links: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def weighted_mode(vf: DataFrame, keys: Sequence[str]) -> DataFrame:
 def weighted_percentiles(vf: DataFrame, keys: Sequence[str], ps: Sequence[float], bins: int = 256) -> DataFrame:
     """(keys, p, value): exact discrete percentiles (the smallest value with at
     least p of the weight at or below it) of numeric values; nulls are left
-    out, a key without values gives no row.
+    out, a key without values or with a null column gives no row.
 
     Values are cut into ``bins`` equal ranges between the key's least and
     greatest value.  Weights of whole bins (at most ``bins`` rows a key)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.times import micros
 from driftline.operators.ordering import running
 
 
@@ -61,7 +62,7 @@ def compare_segments(source: DataFrame, target: DataFrame) -> DataFrame:
     Inputs: seg, payload_id, ts, id, checksum; null checksums are equal."""
 
     def placed(df: DataFrame) -> DataFrame:
-        time = F.col("ts").cast("double") if dict(df.dtypes)["ts"] not in ("timestamp", "timestamp_ntz") else F.unix_micros(F.to_timestamp("ts"))
+        time = F.col("ts").cast("double") if dict(df.dtypes)["ts"] not in ("timestamp", "timestamp_ntz") else micros("ts")
         return running(df.select("seg", "payload_id", "ts", "id", "checksum"), ["seg", "payload_id"], ["ts", "id"], time, place=("row_number",)).drop("ts", "id")
 
     keys = ["seg", "payload_id", "place"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftline.functions import mysql_types, scalar
 from driftline.functions.names import plain_name, plain_op
 from driftline.functions.retarget import retarget
+from driftline.functions.times import micros
 from driftline.operators import apply, changes, documents, encode, filters, oplog, ordering, predicates, routing, snapshot, verify
 from driftline.session import table
 from driftline.sources import sinks
@@ -589,7 +590,7 @@ def heartbeat_latency(spark, d):
     from driftline.streaming.changes import is_healthy
 
     h = table(spark, d, "change_feed").where("msg_type = 'dml'").where(F.lower("tbl").contains("heartbeat"))
-    s = (F.unix_micros(F.to_timestamp("recv_ts")) - F.unix_micros(F.to_timestamp("event_ts"))) / 1_000_000
+    s = (micros("recv_ts") - micros("event_ts")) / 1_000_000
     sick = ~is_healthy(F.to_timestamp("event_ts"), F.to_timestamp("recv_ts")) | (s > 60)
     return h.groupBy(plain_name(F.col("db")).alias("db")).agg(F.count(F.lit(1)).alias("n"), F.min(s).alias("least_s"), F.max(s).alias("most_s"), F.sum(sick.cast("bigint")).alias("unhealthy"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.names import plain_name, plain_op
+from driftline.functions.names import key_entries, key_text, plain_name, plain_op
+from driftline.functions.times import micros
 from driftline.operators import dedup, inlining, replay, schema_drift, skew, table_diff
 from driftline.session import table
 
@@ -40,8 +41,6 @@ def p6_table_stats(spark: SparkSession, d: str) -> DataFrame:
     """Per table: messages, latest event, distinct keys and the key changed most often."""
     named = _named(spark, d).select("db", "tbl", "event_ts", "pks_json")
     keyed = named.select("db", "tbl", F.col("event_ts").alias("_at"), "pks_json").groupBy("db", "tbl", "pks_json").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("_at"))
-    from driftline.functions.names import key_entries, key_text
-
     vf = keyed.select("db", "tbl", key_text(key_entries(F.col("pks_json"))).alias("value"), "n", "_at").groupBy("db", "tbl", "value").agg(F.sum("n").alias("n"), F.max("_at").alias("_at"))
     per = skew.from_frequencies(vf, ["db", "tbl"], F.max("_at").alias("latest_ts"))
     return per.join(skew.weighted_mode(vf, ["db", "tbl"]), ["db", "tbl"]).select("db", "tbl", F.col("n_rows").cast("bigint").alias("n_messages"), "latest_ts", "n_distinct", F.col("mode").alias("hot_pk"), F.col("mode_n").cast("bigint").alias("hot_pk_messages"))
@@ -49,7 +48,7 @@ def p6_table_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per table: exact 50th, 90th and 99th percentile of the delivery delay in seconds."""
-    named = _named(spark, d).select("db", "tbl", (F.unix_micros(F.to_timestamp("recv_ts")) - F.unix_micros(F.to_timestamp("event_ts"))).alias("delay"))
+    named = _named(spark, d).select("db", "tbl", (micros("recv_ts") - micros("event_ts")).alias("delay"))
     vf = skew.value_frequencies(named, ["db", "tbl"], F.floor(F.col("delay") / 1_000_000).cast("bigint"))
     return skew.weighted_percentiles(vf, ["db", "tbl"], [0.5, 0.9, 0.99]).select("db", "tbl", "p", F.col("value").alias("delay_s"))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.times import micros
 from driftline.operators.ordering import running
 
 
@@ -93,6 +94,6 @@ def is_healthy(watermark: Column, now: Column, limit_s: int = 60) -> Column:
 
 def drop_repeated_ddl(ddl: DataFrame, table: str, ts: str, within_s: int = 30) -> DataFrame:
     """Drops a statement on a table within ``within_s`` of the one before."""
-    seconds = F.unix_micros(F.to_timestamp(ts)) / 1_000_000
+    seconds = micros(ts) / 1_000_000
     seen = running(ddl.withColumn("_s", seconds), [table], [ts], F.col("_s"), _b=("lag", F.col("_s")))
     return seen.where(F.col("_b").isNull() | (F.col("_s") - F.col("_b") > within_s)).drop("_b", "_s")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def document_id(*key: Column) -> Column:
@@ -25,6 +26,25 @@ def pick_columns(columns: Sequence[str], include: Sequence[str] = (), exclude: S
     return [(c, convert.get(c) or prefix + c) for c in kept]
 
 
+# Types of a document index for Spark types.
+INDEX_TYPES = {"string": "keyword", "bigint": "long", "int": "integer", "smallint": "short", "tinyint": "byte", "double": "double", "float": "float", "boolean": "boolean", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "binary": "binary"}
+
+
+def index_mapping(schema: T.StructType) -> dict:
+    """The mapping of a document table: nested for arrays of objects, object
+    for objects, decimals as text so that they stay exact."""
+
+    def one(t: T.DataType) -> dict:
+        if isinstance(t, T.ArrayType):
+            inner = one(t.elementType)
+            return {**inner, "type": "nested"} if "properties" in inner else inner
+        if isinstance(t, T.StructType):
+            return {"type": "object", "properties": {f.name: one(f.dataType) for f in t}}
+        return {"type": INDEX_TYPES.get(t.simpleString(), "keyword")}
+
+    return {"properties": {f.name: one(f.dataType) for f in schema}}
+
+
 def attach_object(main: DataFrame, other: DataFrame, on: Sequence[str], name: str, columns: list[tuple[str, str]]) -> DataFrame:
     """One-to-one as a nested object, null where there is none."""
     o = other.select(*on, F.struct(*[F.col(c).alias(n) for c, n in columns]).alias(name))

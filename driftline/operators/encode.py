@@ -59,6 +59,13 @@ def mongo_json(version: str, op: Column, ns: Column, data: Column, row: Column)
     return F.to_json(F.struct(*parts, *([] if version == "0.1" else [row.alias("row")])), KEEP_NULLS)
 
 
+def protobuf(value: Column, message: str, descriptor: str) -> Column:
+    """Messages of a descriptor file; needs Spark's protobuf module."""
+    from pyspark.sql.protobuf.functions import to_protobuf
+
+    return to_protobuf(value, message, descFilePath=descriptor)
+
+
 def message_size(key: Column, value: Column) -> Column:
     return F.lit(26) + F.coalesce(F.octet_length(key), F.lit(0)) + F.coalesce(F.octet_length(value), F.lit(0))
 

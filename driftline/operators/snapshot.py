@@ -77,6 +77,24 @@ def is_empty(df: DataFrame, where: str | None = None) -> bool:
     return (df.where(where) if where else df).isEmpty()
 
 
+def sampled_bounds(df: DataFrame, key: str, chunks: int, sample: float = 0.05, threshold: int = 50_000) -> list:
+    """Inner bounds of about equal chunks from a sample of a numeric key: at
+    most ``chunks`` - 1 numbers.  Tables under the threshold are one chunk.
+    Ranges are [lower, upper), so no row is in two chunks."""
+    if chunks < 2 or df.limit(threshold + 1).count() <= threshold:
+        return []
+    at = [i / chunks for i in range(1, chunks)]
+    row = df.where(F.col(key).isNotNull()).sample(sample, seed=1).agg(F.percentile_approx(key, at, 10_000).alias("q")).first()
+    return sorted(set(row.q or []))
+
+
+def table_message(name: str, df: DataFrame, key: Sequence[str] = ()) -> str:
+    """The statement that makes a table for a snapshot, told before its rows."""
+    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    tail = [f"PRIMARY KEY ({', '.join(f'`{k}`' for k in key)})"] if key else []
+    return f"CREATE TABLE IF NOT EXISTS `{name}` ({', '.join(cols + tail)})"
+
+
 def replicate(snapshot: DataFrame, changes: DataFrame, start: int, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """Snapshot first, then the log after the position taken before the scan."""
     first = snapshot.select(*keys, *columns).withColumns({"op": F.lit("insert"), order: F.lit(-1).cast("bigint")})

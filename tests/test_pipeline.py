@@ -243,3 +243,63 @@ def test_document_sink_needs_keys(spark):
     assert [tuple(r) for r in index(df, ["pk"], "seq", ["v"], ignore_without_key=True).collect()] == [("t", "1", '{"pk":1,"v":"x"}')]
     with pytest.raises(Exception, match="without primary key"):
         index(df, ["pk"], "seq", ["v"]).collect()
+
+
+def test_positions(spark, tmp_path):
+    from driftline.streaming.positions import Position, PositionStore, pending_tables, retry
+
+    store = PositionStore(spark, str(tmp_path / "p"))
+    assert store.get("a", start=5) == Position("a", start=5, value=5)
+    for i in range(8):
+        store.put(Position("a", stage="stream", start=5, value={"seq": i}, done=["t"]))
+    p = store.get("a", start=5)
+    assert (p.stage, p.value, pending_tables(["t", "u"], p)) == ("stream", {"seq": 7}, ["u"])
+    assert store.get("a", start=6).value == 6
+    store.reset("a")
+    assert store.get("a").value is None
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert retry(flaky, wait_s=0) == "ok" and len(calls) == 3
+    with pytest.raises(OSError):
+        retry(lambda: (_ for _ in ()).throw(OSError()), times=1, wait_s=0)
+
+
+def test_snapshot_planning(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    assert snapshot.sampled_bounds(df, "k", 4) == []
+    bounds = snapshot.sampled_bounds(df, "k", 4, threshold=100)
+    assert len(bounds) == 3 and all(abs(b - 5000 * (i + 1)) < 1200 for i, b in enumerate(bounds))
+    assert snapshot.table_message("t", df, ["k"]) == "CREATE TABLE IF NOT EXISTS `t` (`k` bigint, PRIMARY KEY (`k`))"
+    assert snapshot.is_empty(df, "k < 0") and not snapshot.is_empty(df)
+    parts = snapshot.ranged_scan(df, ["k"], 4).select(F.spark_partition_id().alias("p"), "k").groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(parts, parts[1:]))
+
+
+def test_index_mapping(spark):
+    df = spark.createDataFrame([], "id bigint, o struct<a:string>, many array<struct<n:int>>, tags array<string>, d decimal(9,2)")
+    assert documents.index_mapping(df.schema)["properties"] == {
+        "id": {"type": "long"},
+        "o": {"type": "object", "properties": {"a": {"type": "keyword"}}},
+        "many": {"type": "nested", "properties": {"n": {"type": "integer"}}},
+        "tags": {"type": "keyword"},
+        "d": {"type": "keyword"},
+    }
+
+
+def test_oplog(spark):
+    from driftline.operators import oplog
+
+    rows = [(1, "x1", "i", "d.c.sub", '{"_id":"x1"}'), (2, "x2", "u", "d.c", '{"$set":{}}'), (3, None, "c", "d.$cmd", '{"drop":"t"}'), (4, None, "c", "d.$cmd", '{"create":"t"}'), (5, "x", "i", None, "{}"), (6, "x", "?", "d.c", None), (7, None, "d", "d.c", '{"_id":{"$oid":"x9"}}')]
+    df = spark.createDataFrame(rows, "op_no bigint, obj_id string, operation string, op_ns string, data_json string")
+    got = sorted((r.op_no, r.op, r.db, r.coll, r.id) for r in oplog.parse(df).collect())
+    assert got == [(1, "insert", "d", "c.sub", "x1"), (2, "update", "d", "c", "x2"), (3, "drop", "d", "t", None), (7, "delete", "d", "c", "x9")]
+    spread = oplog.spread(oplog.parse(df), "document", 3, "op_no")
+    assert spread.count() == 4
+    with pytest.raises(ValueError):
+        oplog.ordering_key("other", F.col("db"), F.col("coll"), F.col("id"))

@@ -375,11 +375,14 @@ def _silent_renames(found: DataFrame, placed: DataFrame, links: DataFrame, id_fi
     """(root, db, tbl, field, new_name) of fields that go in the message in
     which another comes, ids keeping their values.  Only the first field that
     comes after a field's last message can be its new name."""
-    removed = found.where("silent and kind = 'removed'").select("root", F.col("field").alias("f"), F.struct("ts", "seq").alias("f_last"))
-    added = found.where("silent and kind = 'added'").select("root", "db", "tbl", F.col("field").alias("g"), F.struct("ts", "seq").alias("g_first"))
-    pairs = removed.join(added, "root").where("f_last < g_first")
-    nearest = pairs.groupBy("root", "f").agg(F.min("g_first").alias("g_first"))
-    pairs = cut(pairs.join(nearest, ["root", "f", "g_first"]))
+    at = F.struct("ts", "seq")
+    added = found.where("silent and kind = 'added'").select("root", "db", "tbl", F.col("field").alias("g"), at.alias("g_first"))
+    ends = found.where("silent and kind in ('added', 'removed')").select("root", F.col("field").alias("f"), at.alias("f_last"), (F.col("kind") == "added").alias("_comes"))
+    # from the latest on, the last one that came is the nearest that comes after
+    later = Window.partitionBy("root").orderBy(F.desc("f_last"), "_comes").rowsBetween(Window.unboundedPreceding, 0)
+    nearest = ends.withColumn("g_first", F.last(F.when(F.col("_comes"), F.col("f_last")), ignorenulls=True).over(later))
+    removed = nearest.where("not _comes and g_first is not null").select("root", "f", "f_last", "g_first")
+    pairs = cut(removed.join(added, ["root", "g_first"]))
     tables = pairs.select("root", "f", "g", "f_last", "g_first")
     messages = placed.withColumn("node", _node()).join(links, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tables.select("root").distinct(), "root", "left_semi")
     low = F.from_json(F.lower(F.get_json_object("data_json", "$")), "map<string,string>")

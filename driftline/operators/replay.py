@@ -167,12 +167,13 @@ def replay_changes(
     return merged.select(*keys, "seq", "image")
 
 
-def keyed_changes(feed: DataFrame) -> DataFrame:
+def keyed_changes(feed: DataFrame, with_data: bool = True) -> DataFrame:
     """Change messages as (db, tbl, pk, event_ts, seq_no, stream_key, op,
     data_json), one row per row key touched: an update whose old image holds
     another primary key also ends the row of the old key.  Names are in
     canonical form.  Messages that are no dml, lack a name, or whose key is
-    missing or not a JSON object touch no row."""
+    missing or not a JSON object touch no row.  Without ``with_data`` the
+    bodies are null and not read."""
     from driftline.functions.names import key_entries, key_text, plain_name, plain_op
 
     dml = feed.where(plain_op(F.col("msg_type")) == "dml").select(
@@ -182,7 +183,7 @@ def keyed_changes(feed: DataFrame) -> DataFrame:
         "seq_no",
         "stream_key",
         plain_op(F.col("dml_op")).alias("op"),
-        "data_json",
+        (F.col("data_json") if with_data else F.lit(None).cast("string")).alias("data_json"),
         key_entries(F.col("pks_json")).alias("_new"),
         F.when(plain_op(F.col("dml_op")) == "update", F.from_json("old_json", "map<string,string>")).alias("_old"),
     )
@@ -190,13 +191,15 @@ def keyed_changes(feed: DataFrame) -> DataFrame:
         F.col("_new"),
         lambda e: F.struct(e["key"].alias("key"), F.when(F.map_contains_key("_old", e["key"]), F.element_at("_old", e["key"])).otherwise(e["value"]).alias("value")),
     )
-    keyed = dml.where("db is not null and tbl is not null and size(_new) > 0").withColumns(
+    keyed = dml.where("db is not null and tbl is not null").withColumns(
         {"pk": key_text(F.col("_new")), "_old_pk": F.when(F.col("_old").isNotNull(), key_text(old_key))}
     )
     moved = F.col("_old_pk").isNotNull() & (F.col("_old_pk") != F.col("pk"))
     this = F.struct(F.col("pk"), F.col("op"), F.col("data_json"))
     ended = F.struct(F.col("_old_pk").alias("pk"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("data_json"))
-    return keyed.select("db", "tbl", "event_ts", "seq_no", "stream_key", F.explode(F.when(moved, F.array(this, ended)).otherwise(F.array(this))).alias("_c")).select(
+    # tested here: as a filter it would be pushed down and parse the key once more
+    touched = F.when(F.size("_new") > 0, F.when(moved, F.array(this, ended)).otherwise(F.array(this)))
+    return keyed.select("db", "tbl", "event_ts", "seq_no", "stream_key", F.explode(touched).alias("_c")).select(
         "db", "tbl", "_c.pk", "event_ts", "seq_no", "stream_key", "_c.op", "_c.data_json"
     )
 
@@ -204,7 +207,7 @@ def keyed_changes(feed: DataFrame) -> DataFrame:
 def current_rows(feed: DataFrame, with_image: bool = False, partial: bool = True) -> DataFrame:
     """Rows that each table of a change feed holds after all messages:
     db, tbl, pk, seq_no and, with ``with_image``, the row as JSON."""
-    changes = keyed_changes(feed)
+    changes = keyed_changes(feed, with_image)
     rows = replay_changes(
         changes,
         ["db", "tbl", "pk"],

@@ -21,16 +21,18 @@ def value_frequencies(df: DataFrame, keys: Sequence[str], value: Column, *also:
 
 
 def from_frequencies(vf: DataFrame, keys: Sequence[str], *also: Column) -> DataFrame:
-    """Exact per-key results of weighted values: ``n_rows`` and ``n_distinct``
-    (nulls don't count as a value).  The aggregate combines on the map side, so
-    a hot key sends one row per task."""
-    return vf.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"), *also)
-
-
-def weighted_mode(vf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, mode, mode_n): the most frequent non-null value, the smallest of ties."""
-    best = vf.where("value is not null").groupBy(*keys, "n").agg(F.min("value").alias("mode"))
-    return best.groupBy(*keys).agg(F.max_by("mode", "n").alias("mode"), F.max("n").alias("mode_n"))
+    """Exact per-key results of weighted values: ``n_rows``, ``n_distinct``
+    (nulls don't count as a value), ``mode`` (the smallest of equally frequent
+    values, null if all are) and ``mode_n``.  One aggregate that combines on
+    the map side, so a hot key sends one row per task."""
+    real = F.col("value").isNotNull()
+    return vf.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"),
+        F.count("value").alias("n_distinct"),
+        F.min_by("value", F.when(real, F.struct(-F.col("n"), F.col("value")))).alias("mode"),
+        F.max(F.when(real, F.col("n"))).alias("mode_n"),
+        *also,
+    )
 
 
 def weighted_percentiles(vf: DataFrame, keys: Sequence[str], ps: Sequence[float], bins: int = 256) -> DataFrame:

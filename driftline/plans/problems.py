@@ -43,7 +43,7 @@ def p6_table_stats(spark: SparkSession, d: str) -> DataFrame:
     keyed = named.select("db", "tbl", F.col("event_ts").alias("_at"), "pks_json").groupBy("db", "tbl", "pks_json").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("_at"))
     vf = keyed.select("db", "tbl", key_text(key_entries(F.col("pks_json"))).alias("value"), "n", "_at").groupBy("db", "tbl", "value").agg(F.sum("n").alias("n"), F.max("_at").alias("_at"))
     per = skew.from_frequencies(vf, ["db", "tbl"], F.max("_at").alias("latest_ts"))
-    return per.join(skew.weighted_mode(vf, ["db", "tbl"]), ["db", "tbl"]).select("db", "tbl", F.col("n_rows").cast("bigint").alias("n_messages"), "latest_ts", "n_distinct", F.col("mode").alias("hot_pk"), F.col("mode_n").cast("bigint").alias("hot_pk_messages"))
+    return per.select("db", "tbl", F.col("n_rows").cast("bigint").alias("n_messages"), "latest_ts", "n_distinct", F.col("mode").alias("hot_pk"), F.col("mode_n").cast("bigint").alias("hot_pk_messages"))
 
 
 def p6_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:

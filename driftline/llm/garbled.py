@@ -5,12 +5,17 @@
    are aligned with it character by character, which gives pairs (garbled run,
    clean run).  A pair that some wrong reading explains (bytes of one encoding
    read as another) is evidence for that transformation.
+   The words of such lines are mappings.
 2. Words are twins in the same sense: a rare word that a transformation turns
    into a word of many documents.  This carries transformations over to
-   scripts of which stripping leaves nothing, and to single words.
+   scripts of which stripping leaves nothing, and to single words.  Which way a
+   transformation goes is judged by all its words together, for each character
+   it changes, so common garbled words count as well; equal texts count once.
 3. Transformations with enough evidence are accepted; their word mappings are
    applied to all documents, and characters spoilt are counted per document
    and transformation.  Replacement characters count as spoilt too.
+4. Texts are restored by word mappings and, for byte swaps, on the lines that
+   hold such words and those beside them; all other text stays as it is.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ LEAST_SPOILT = 3  # original characters
 TWIN_LETTERS = 10  # ASCII letters a line must keep to have twins
 TWIN_SUPPORT = 3  # aligned twin lines that accept a transformation
 WORD_SUPPORT = 8  # distinct words that accept a transformation
-MORE_COMMON = 3  # times as many documents must have the restored word
+MORE_COMMON = 3  # times as many documents must have the restored word, or times as many words go one way as the other
 BROADCAST_WORDS = 200_000
 
 # Encodings in which text is commonly kept or wrongly read, by script.
@@ -166,6 +171,7 @@ def _undo_runs(text: str, wrong: str) -> str:
 # ------------------------------------------------------------------ twins
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_WORD = re.compile(WORD, re.ASCII)  # as Java reads it
 
 
 def aligned_runs(garbled: str, clean: str) -> list[tuple[str, str]]:
@@ -190,23 +196,42 @@ def explained_by(garbled: str, clean: str) -> list[str]:
     return [t for t in transformations() if all(undo(a, t)[0] == b for a, b in pairs)]
 
 
+_TWIN = "ts array<string>, vote int, word string, restored string, spoilt int, strong boolean"
+_TWIN_ARROW = pa.schema([("ts", pa.list_(pa.string())), ("vote", pa.int32()), ("word", pa.string()), ("restored", pa.string()), ("spoilt", pa.int32()), ("strong", pa.bool_())])
+
+
+def _twin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for line, n, clean, most in zip(*[x.to_pylist() for x in b.columns]):
+            forth, sure = explained_by(line, clean), int(most > n)
+            out += [([t], sure, None, None, None, None) for t in forth] + [([t], -sure, None, None, None, None) for t in explained_by(clean, line)]
+            if sure:
+                by: dict[tuple[str, str, int], list[str]] = {}
+                for t in forth:
+                    for w in _WORD.findall(line):
+                        r, k = undo(w, t)
+                        if r != w and k and r in clean:
+                            by.setdefault((w, r, k), []).append(t)
+                out += [(ts, 1, w, r, k, _strong(w, r, ts[0])) for (w, r, k), ts in by.items()]
+        cols = list(zip(*out)) if out else [[] for _ in _TWIN_ARROW]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TWIN_ARROW)], schema=_TWIN_ARROW)
+
+
 def twin_evidence(docs: DataFrame, text: Column) -> DataFrame:
-    """(transformation, support) from lines whose stripped texts are equal."""
+    """From lines whose stripped texts are equal: rows without word, one for
+    each pair of lines and transformation (vote 1 if the restored line is the
+    commoner, -1 if it is the other, 0 if neither), and the words of the lines
+    with vote 1."""
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(NON_ASCII))
     stripped = F.regexp_replace("line", NON_ASCII, "")
     keyed = lines.select("line", F.xxhash64(stripped).alias("key"), F.xxhash64("line").alias("h")).where(F.length(F.regexp_replace("line", "[^A-Za-z]", "")) >= TWIN_LETTERS)
     varied = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     # count variants before gathering them; the commonest stands for the line
     variants = keyed.join(varied, "key", "left_semi").groupBy("key", "line").agg(F.count(F.lit(1)).alias("n"))
-    clean = variants.groupBy("key").agg(F.max_by("line", F.struct("n", -F.length("line"), "line")).alias("clean"))
-    pairs = variants.join(clean, "key").where("line <> clean").select("line", "clean")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [t for g, c in zip(*[x.to_pylist() for x in b.columns]) for t in explained_by(g, c) + explained_by(c, g)]
-            yield pa.RecordBatch.from_pydict({"transformation": pa.array(found, pa.string())})
-
-    return pairs.mapInArrow(run, "transformation string").groupBy("transformation").agg(F.count(F.lit(1)).alias("support"))
+    clean = variants.groupBy("key").agg(F.max_by(F.struct(F.col("line").alias("clean"), F.col("n").alias("most")), F.struct("n", -F.length("line"), "line")).alias("_c")).select("key", "_c.*")
+    pairs = variants.join(clean, "key").where("line <> clean").select("line", "n", "clean", "most")
+    return pairs.mapInArrow(_twin_rows, _TWIN)
 
 
 # ------------------------------------------------------------------ words
@@ -218,11 +243,21 @@ def words(text: Column) -> Column:
 
 
 def word_types(docs: DataFrame, text: Column) -> DataFrame:
-    """(word, df): in how many documents each word is."""
-    return docs.select(F.explode(F.array_distinct(words(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(word, df): in how many different texts each word is; copies count once."""
+    per = docs.select(F.xxhash64(text).alias("h"), F.array_distinct(words(text)).alias("ws")).where(F.size("ws") > 0)
+    return per.dropDuplicates(["h"]).select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-_CANDIDATE = "word string, df bigint, restored string, ts array<string>, spoilt int, strong boolean, sure boolean"
+_CANDIDATE = "word string, df bigint, restored string, ts array<string>, changes array<string>, spoilt int, strong boolean, sure boolean"
+
+
+def _changes(word: str, restored: str, t: str) -> list[str]:
+    """Characters that a byte swap changes, each with what it becomes; UTF-8 readings go one way as a whole."""
+    return [""] if t.startswith("utf-8") else sorted({c + d for c, d in zip(word, restored) if c != d})
+
+
+def _strong(word: str, restored: str, t: str) -> bool:
+    return t.startswith("utf-8") or (sum(map(str.isalpha, restored)) >= 3 and any(c not in MISREAD for c, d in zip(word, restored) if c != d))
 
 
 def _restorations(batch_words: list[str]) -> list[dict[str, list[str]]]:
@@ -247,7 +282,7 @@ def _restorations(batch_words: list[str]) -> list[dict[str, list[str]]]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("ts", pa.list_(pa.string())), ("spoilt", pa.int32()), ("strong", pa.bool_()), ("sure", pa.bool_())])
+    schema = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("ts", pa.list_(pa.string())), ("changes", pa.list_(pa.string())), ("spoilt", pa.int32()), ("strong", pa.bool_()), ("sure", pa.bool_())])
     for b in batches:
         out = []
         batch_words, dfs = (c.to_pylist() for c in b.columns)
@@ -256,66 +291,133 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if ts[0].startswith("utf-8"):
                     n = undo(word, ts[0])[1]
                     # longer sequences stand for dashes and quotes and turn up in no clean text
-                    out.append((word, df, r, ts, n, True, len(word) - len(r) > n))
+                    out.append((word, df, r, ts, [""], n, True, len(word) - len(r) > n))
                 else:
-                    changed = [c for c, d in zip(word, r) if c != d]
-                    strong = sum(map(str.isalpha, r)) >= 3 and any(c not in MISREAD for c in changed)
-                    out.append((word, df, r, ts, len(changed), strong, False))
+                    n = sum(c != d for c, d in zip(word, r))
+                    out.append((word, df, r, ts, _changes(word, r, ts[0]), n, _strong(word, r, ts[0]), False))
         cols = list(zip(*out)) if out else [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def learned_words(types: DataFrame) -> DataFrame:
-    """(word, ts, spoilt, strong, known): words that a transformation turns
-    into a word of MORE_COMMON times as many documents (known), and words with
-    sequences of three or more characters for a Latin letter or sign, which
-    speak for themselves (not known)."""
+def directions(found: DataFrame) -> dict[str, list[str]]:
+    """Transformation to the changes that its words prove: those of which
+    MORE_COMMON times as many words lead to the commoner word as to the rarer
+    one.  A swap and its inverse share all their pairs, and both may occur,
+    but each on other characters.  At most some hundred rows a transformation
+    are collected."""
+    seen = found.where("strong and restored_df is not null").select(F.explode("ts").alias("t"), "changes", "df", "restored_df").select("t", F.explode("changes").alias("c"), F.signum(F.col("restored_df") - F.col("df")).cast("int").alias("s"))
+    votes = seen.groupBy("t", "c").agg(F.sum((F.col("s") > 0).cast("int")).alias("pro"), F.sum((F.col("s") < 0).cast("int")).alias("con"))
+    out: dict[str, list[str]] = {}
+    support: dict[str, int] = {}
+    for r in votes.where((F.col("pro") > 0) & (F.col("pro") >= MORE_COMMON * F.col("con"))).orderBy("t", "c").collect():
+        out.setdefault(r.t, []).append(r.c)
+        support[r.t] = support.get(r.t, 0) + r.pro
+    return {t: cs for t, cs in out.items() if support[t] >= WORD_SUPPORT}
+
+
+def learned_words(types: DataFrame, twins: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(word, restored, ts, spoilt, strong, known) and the directions.  Known
+    are words that a transformation turns into a word of MORE_COMMON times as
+    many documents, or into any word not that much rarer if all their changes
+    go the transformation's way, and words of twin lines; not known are words
+    with sequences of three or more characters for a Latin letter or sign,
+    which speak for themselves."""
     vocabulary = types.where("df >= 2").select(F.col("word").alias("restored"), F.col("df").alias("restored_df"))
-    found = types.repartition(shuffle_partitions(types.sparkSession)).mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored", "left")
-    known = F.coalesce(F.col("restored_df") >= MORE_COMMON * F.col("df"), F.lit(False))
+    joined = types.repartition(shuffle_partitions(types.sparkSession)).mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored", "left")
+    found = cut(joined.where("restored_df is not null or sure"))
+    ways = directions(found)
+    common = F.coalesce(F.col("restored_df") >= MORE_COMMON * F.col("df"), F.lit(False))
+    near = F.coalesce(F.col("restored_df") * MORE_COMMON > F.col("df"), F.lit(False))
+    led = F.array().cast("array<string>")
+    if ways:
+        way = F.create_map(*[x for t, cs in ways.items() for x in (F.lit(t), F.array(*[F.lit(c) for c in cs]))])
+        led = F.filter("ts", lambda t: F.coalesce(F.size(F.array_except("changes", F.try_element_at(way, t))) == 0, F.lit(False)))
+    found = found.withColumn("_led", F.when(near, led).otherwise(F.array().cast("array<string>")))
+    known = common | (F.size("_led") > 0)
     latin = F.filter("ts", lambda t: t.isin([f"utf-8>{w}" for w in LATIN_READINGS]))
-    rows = found.withColumn("known", known).withColumn("ts", F.when(known, F.col("ts")).when(F.col("sure") & ~F.col("restored").rlike(r"[\u0400-\u045F]"), latin)).where(F.size("ts") > 0)
+    rows = found.withColumn("known", known).withColumn("ts", F.when(common, F.col("ts")).when(known, F.col("_led")).when(F.col("sure") & ~F.col("restored").rlike(r"[\u0400-\u045F]"), latin)).where(F.size("ts") > 0)
+    # twin lines prove their words if nearly all the transformation's lines go this way
+    votes = twins.where("word is null").groupBy(F.col("ts")[0].alias("t")).agg(F.sum((F.col("vote") > 0).cast("int")).alias("pro"), F.sum((F.col("vote") < 0).cast("int")).alias("con"))
+    clear = [r.t for r in votes.where((F.col("pro") >= TWIN_SUPPORT) & (F.col("pro") >= MORE_COMMON * F.col("con"))).select("t").collect()]
+    aligned = twins.where("word is not null").withColumn("ts", F.array_intersect("ts", F.array(*[F.lit(t) for t in clear]).cast("array<string>"))).where(F.size("ts") > 0).groupBy("word", "restored", "ts", "spoilt", "strong").agg(F.count(F.lit(1)).alias("restored_df"))
+    columns = ["word", "restored", "ts", "spoilt", "strong", "known", "restored_df"]
+    rows = rows.select(*columns).unionByName(aligned.withColumn("known", F.lit(True)).select(*columns))
     best = F.struct("known", "restored_df", "restored")
-    return rows.groupBy("word").agg(F.max_by(F.struct("restored", "ts", "spoilt", "strong", "known"), best).alias("_b")).select("word", "_b.restored", "_b.ts", "_b.spoilt", F.expr("_b.strong and _b.known").alias("strong"), "_b.known")
+    learned = rows.groupBy("word").agg(F.max_by(F.struct("restored", "ts", "spoilt", "strong", "known"), best).alias("_b"))
+    return learned.select("word", "_b.restored", "_b.ts", "_b.spoilt", F.expr("_b.strong and _b.known").alias("strong"), "_b.known"), ways
 
 
 def accepted_transformations(learned: DataFrame, twins: DataFrame) -> list[str]:
     """At most as many names as there are transformations, so they are collected."""
     by_words = learned.where("strong").select(F.explode("ts").alias("transformation")).groupBy("transformation").agg(F.count(F.lit(1)).alias("n"))
-    rows = by_words.join(twins, "transformation", "full_outer").where((F.col("n") >= WORD_SUPPORT) | (F.col("support") >= TWIN_SUPPORT)).select("transformation").collect()
+    by_lines = twins.where("word is null").groupBy(F.col("ts")[0].alias("transformation")).agg(F.count(F.lit(1)).alias("support"))
+    rows = by_words.join(by_lines, "transformation", "full_outer").where((F.col("n") >= WORD_SUPPORT) | (F.col("support") >= TWIN_SUPPORT)).select("transformation").collect()
     return sorted(r.transformation for r in rows)
 
 
-def _spoilt_utf8(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, ts, texts = (c.to_pylist() for c in b.columns)
-        n = [undo(x, t)[1] for t, x in zip(ts, texts)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "transformation", "spoilt"])
-
-
-def garbled_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, transformation, spoilt): documents with LEAST_SPOILT or more
+def repair(text: str, name: str, known: dict[str, str], forward: set[str]) -> tuple[str, int]:
+    """(text, characters restored) with the stretches of one transformation
+    undone.  UTF-8 sequences stand out by themselves.  A byte swap is undone in
+    known words, and in words of which all changes are proven on the lines with
+    a known word and those beside them up to one with a word that speaks
+    against it."""
+    if name.startswith("utf-8"):
+        return undo(text, name)
+    table = _swap(*reversed(name.split(">")))
+    lines = text.split("\n")
+    proven, against = [], []
+    for line in lines:
+        found = [w for w in _WORD.findall(line) if not w.isascii()]
+        proven.append(any(w in known for w in found))
+        against.append(any(w not in known and not forward.issuperset(_changes(w, w.translate(table), name)) for w in found))
+    here = list(proven)
+    for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
+        step = order.step
+        for i in order:
+            here[i] = here[i] or (here[i - step] and not against[i - step] and not against[i])
+    n = 0
+
+    def word(m: re.Match) -> str:
+        nonlocal n
+        w = m.group()
+        r = known.get(w)
+        if r is None:
+            r = w if w.isascii() else w.translate(table)
+            if not forward.issuperset(_changes(w, r, name)):
+                return w
+        n += sum(c != d for c, d in zip(w, r))
+        return r
+
+    return "\n".join(_WORD.sub(word, x) if h else x for x, h in zip(lines, here)), n
+
+
+def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
+    """(doc_id, transformation, spoilt, repairs): documents with LEAST_SPOILT or more
     spoilt characters; transformation is null where characters were replaced
     and can't be restored.
 
     ``docs``: doc_id, text; further columns are ignored, null and empty texts
-    are never garbled.  Characters are counted over whole texts.
+    are never garbled.  Characters are counted over whole texts.  ``repairs``
+    adds what restored_documents needs: every transformation of the document,
+    the surest first, with its words.
     """
     text = F.col("text")
     types = cut(word_types(docs, text))
-    learned = cut(learned_words(types))
-    names = accepted_transformations(learned, twin_evidence(docs, text))
+    twins = cut(twin_evidence(docs, text))
+    learned, ways = learned_words(types, twins)
+    learned = cut(learned)
+    names = accepted_transformations(learned, twins)
     usable = F.array_intersect("ts", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
-    mapped = learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong")
+    mapped = learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "restored", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong")
     if mapped.count() <= BROADCAST_WORDS:
         mapped = F.broadcast(mapped)
     tokens = docs.select("doc_id", F.explode(words(text)).alias("word")).join(mapped, "word")
     per = (
-        tokens.select("doc_id", "word", "spoilt", "strong", F.explode("ts").alias("transformation"))
+        tokens.select("doc_id", "word", "restored", "spoilt", "strong", F.explode("ts").alias("transformation"))
         .groupBy("doc_id", "transformation", "word")
-        .agg(F.sum("spoilt").alias("spoilt"), F.first("strong").alias("strong"))
+        .agg(F.sum("spoilt").alias("spoilt"), F.first("strong").alias("strong"), F.first("restored").alias("restored"))
         .groupBy("doc_id", "transformation")
-        .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"), F.sum((F.col("spoilt") > 0).cast("int")).alias("known"))
+        .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"), F.sum((F.col("spoilt") > 0).cast("int")).alias("known"), F.collect_list(F.struct("word", "restored")).alias("words"))
     )
     utf8 = F.col("transformation").startswith("utf-8")
     # any Cyrillic word is some other Cyrillic word's bytes, so one says less
@@ -324,20 +426,47 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
     per = cut(per.where(utf8 | proven).drop("known"))
     enough = (F.col("spoilt") >= LEAST_SPOILT) & (F.col("strong") >= 1)
     sure = per.where(enough)
-    # few known words: count every sequence of the text under the same transformation
-    doubtful = per.where(~enough & utf8)
-    recounted = docs.select("doc_id", "text").join(doubtful.select("doc_id", "transformation"), "doc_id").select("doc_id", "transformation", "text").mapInArrow(_spoilt_utf8, "doc_id bigint, transformation string, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
-    lost = docs.select("doc_id", F.lit(None).cast("string").alias("transformation"), (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).cast("bigint").alias("spoilt"), F.lit(0).cast("bigint").alias("strong"))
+    # few known words: count every sequence, and every stretch of a byte swap, of the text under the same transformation
+    forward = {t: set(cs) for t, cs in ways.items()}
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, ts, ws, texts = (c.to_pylist() for c in b.columns)
+            n = [repair(x, t, {p["word"]: p["restored"] for p in w}, forward.get(t, set()))[1] for t, w, x in zip(ts, ws, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "transformation", "words", "spoilt"])
+
+    pairs = "array<struct<word:string,restored:string>>"
+    doubtful = per.where(~enough & (utf8 | (F.col("strong") >= 1)))
+    recounted = docs.select("doc_id", "text").join(doubtful.select("doc_id", "transformation", "words"), "doc_id").select("doc_id", "transformation", "words", "text").mapInArrow(recount, f"doc_id bigint, transformation string, words {pairs}, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
+    lost = docs.select("doc_id", F.lit(None).cast("string").alias("transformation"), (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).cast("bigint").alias("spoilt"), F.lit(0).cast("bigint").alias("strong"), F.lit(None).cast(pairs).alias("words"))
     found = sure.unionByName(recounted).unionByName(lost).where(F.col("spoilt") >= LEAST_SPOILT)
-    return found.groupBy("doc_id").agg(F.max_by("transformation", F.struct("strong", F.col("transformation").isNotNull(), "spoilt", "transformation")).alias("transformation"), F.max("spoilt").alias("spoilt"))
+    rank = F.struct("strong", F.col("transformation").isNotNull(), "spoilt", "transformation")
+    whole = [F.max_by("transformation", rank).alias("transformation"), F.max("spoilt").alias("spoilt")]
+    if not repairs:
+        return found.groupBy("doc_id").agg(*whole)
+    led = F.create_map(*[x for t, cs in ways.items() for x in (F.lit(t), F.array(*[F.lit(c) for c in cs]))]) if ways else None
+    way = F.lit(None).cast("array<string>") if led is None else F.try_element_at(led, F.col("transformation"))
+    one = F.struct("strong", "spoilt", "transformation", way.alias("forward"), "words")
+    listed = F.sort_array(F.collect_list(F.when(F.col("transformation").isNotNull(), one)), asc=False)
+    return found.groupBy("doc_id").agg(*whole, listed.alias("repairs"))
+
+
+def _repaired(text: str, repairs: list[dict]) -> str:
+    """Transformations one after another; one whose words are gone by then explained the same stretch."""
+    for r in repairs:
+        known = {p["word"]: p["restored"] for p in r["words"]}
+        if any(w in known for w in _WORD.findall(text)):
+            text = repair(text, r["transformation"], known, set(r["forward"] or []))[0]
+    return text
 
 
 def restored_documents(docs: DataFrame, garbled: DataFrame) -> DataFrame:
-    """(doc_id, transformation, restored): the original text where it can be had, else null."""
+    """(doc_id, transformation, restored): the original text where it can be
+    had, else null.  ``garbled`` is what garbled_documents gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ts, texts = (c.to_pylist() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else undo(x, t)[0] for t, x in zip(ts, texts)], pa.string())], names=["doc_id", "transformation", "restored"])
+            _, ts, rs, texts = (c.to_pylist() for c in b.columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else _repaired(x, r) for t, r, x in zip(ts, rs, texts)], pa.string())], names=["doc_id", "transformation", "restored"])
 
-    return docs.select("doc_id", "text").join(garbled.select("doc_id", "transformation"), "doc_id").select("doc_id", "transformation", "text").mapInArrow(run, "doc_id bigint, transformation string, restored string")
+    return docs.select("doc_id", "text").join(garbled.select("doc_id", "transformation", "repairs"), "doc_id").select("doc_id", "transformation", "repairs", "text").mapInArrow(run, "doc_id bigint, transformation string, restored string")

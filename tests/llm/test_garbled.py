@@ -71,3 +71,30 @@ def test_corpus(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert garbled.garbled_documents(df).collect() == []
+
+
+def swap(text, right="cp1252", wrong="mac_roman"):
+    return text.encode(right).decode(wrong)
+
+
+def test_third_of_rows_garbled(spark):
+    """A third of all texts garbled by one byte swap: right words have but twice as many documents."""
+    rng = random.Random(3)
+    clean = {i: " ".join(rng.choice(WORDS) for _ in range(12)) + f" {i}" for i in range(90)}
+    bad = set(range(0, 90, 3))
+    rows = [(i, swap(t) if i in bad else t) for i, t in clean.items()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = garbled.garbled_documents(df)
+    assert {r.doc_id for r in found.collect()} == bad
+    restored = {r.doc_id: r.restored for r in garbled.restored_documents(df, found).collect()}
+    assert restored == {i: clean[i] for i in bad}
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(4)
+    clean = {i: " ".join(rng.choice(WORDS) for _ in range(12)) + f" {i}" for i in range(60)}
+    bad = set(range(100, 160))
+    copied = " ".join(WORDS)
+    rows = list(clean.items()) + [(i, swap(copied)) for i in bad]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in garbled.garbled_documents(df).collect()} == bad

@@ -15,7 +15,7 @@
    applied to all documents, and characters spoilt are counted per document
    and transformation.  Replacement characters count as spoilt too.
 4. Texts are restored by word mappings and, for byte swaps, on the lines that
-   hold such words and those beside them; all other text stays as it is.
+   hold such words and those beside them; clean words and all other text stay.
 """
 
 from __future__ import annotations
@@ -355,40 +355,56 @@ def accepted_transformations(learned: DataFrame, twins: DataFrame) -> list[str]:
     return sorted(r.transformation for r in rows)
 
 
+def _odd(word: str) -> int:
+    """What clean words lack: capitals after small letters, signs between letters, characters of no text."""
+    n = sum(not plausible(c) for c in word)
+    n += sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+    return n + sum(a.isalpha() and c.isalpha() and b in _SIGNS and b not in "’‘‐–—·" for a, b, c in zip(word, word[1:], word[2:]))
+
+
+def _verdict(word: str, restored: str, name: str, known: dict[str, str], forward: set[str]) -> int:
+    """1: garbled, -1: clean, 0: its neighbours tell."""
+    if word in known or forward.issuperset(_changes(word, restored, name)):
+        return 1
+    if not any(map(str.isalpha, word)) and any(map(str.isalpha, restored)):
+        return -1
+    a, b = _odd(word), _odd(restored)
+    return (a > b) - (a < b)
+
+
 def repair(text: str, name: str, known: dict[str, str], forward: set[str]) -> tuple[str, int]:
     """(text, characters restored) with the stretches of one transformation
-    undone.  UTF-8 sequences stand out by themselves.  A byte swap is undone in
-    known words, and in words of which all changes are proven on the lines with
-    a known word and those beside them up to one with a word that speaks
-    against it."""
+    undone.  UTF-8 sequences stand out by themselves.  A byte swap is undone on
+    the lines with a known word and those beside them up to one with a clean
+    word: in words that are known, of which all changes are proven or which it
+    makes less odd, and in those between them that may be either."""
     if name.startswith("utf-8"):
         return undo(text, name)
     table = _swap(*reversed(name.split(">")))
-    lines = text.split("\n")
-    proven, against = [], []
+    lines, n = text.split("\n"), 0
+    found = []  # by line: (start, end, restored, verdict) of each word that the swap changes
     for line in lines:
-        found = [w for w in _WORD.findall(line) if not w.isascii()]
-        proven.append(any(w in known for w in found))
-        against.append(any(w not in known and not forward.issuperset(_changes(w, w.translate(table), name)) for w in found))
-    here = list(proven)
+        at = [(m.start(), m.end(), m.group(), m.group().translate(table)) for m in _WORD.finditer(line) if not m.group().isascii()]
+        found.append([(i, j, known.get(w, r), _verdict(w, r, name, known, forward)) for i, j, w, r in at if known.get(w, r) != w])
+    here = [any(lines[k][i:j] in known for i, j, _, _ in f) for k, f in enumerate(found)]
+    clean = [any(v < 0 for *_, v in f) for f in found]
     for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
-        step = order.step
-        for i in order:
-            here[i] = here[i] or (here[i - step] and not against[i - step] and not against[i])
-    n = 0
-
-    def word(m: re.Match) -> str:
-        nonlocal n
-        w = m.group()
-        r = known.get(w)
-        if r is None:
-            r = w if w.isascii() else w.translate(table)
-            if not forward.issuperset(_changes(w, r, name)):
-                return w
-        n += sum(c != d for c, d in zip(w, r))
-        return r
-
-    return "\n".join(_WORD.sub(word, x) if h else x for x, h in zip(lines, here)), n
+        for k in order:
+            here[k] = here[k] or (here[k - order.step] and not clean[k - order.step] and not clean[k])
+    for k, f in enumerate(found):
+        if not here[k]:
+            continue
+        line, out, end = lines[k], [], 0
+        for x, (i, j, r, v) in enumerate(f):
+            if v == 0:
+                before, after = next((u for *_, u in f[x::-1] if u), 0), next((u for *_, u in f[x:] if u), 0)
+                v = 1 if min(before, after) >= 0 else -1
+            if v > 0:
+                out += [line[end:i], r]
+                n += sum(c != d for c, d in zip(line[i:j], r))
+                end = j
+        lines[k] = "".join([*out, line[end:]])
+    return "\n".join(lines), n
 
 
 def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:

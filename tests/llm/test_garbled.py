@@ -98,3 +98,25 @@ def test_copies_count_once(spark):
     rows = list(clean.items()) + [(i, swap(copied)) for i in bad]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in garbled.garbled_documents(df).collect()} == bad
+
+
+def test_only_stretches_restored(spark):
+    """Clean letters beside a stretch stay, and a second stretch of another transformation is undone too."""
+    rng = random.Random(5)
+    clean = {i: "\n".join(" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(6)) for i in range(60)}
+    rows = []
+    for i, t in clean.items():
+        x = t.split("\n")
+        if i < 6:
+            x[1], x[4] = swap(x[1]), x[4].encode().decode("cp1252", "replace") if i % 2 else x[4]
+        rows.append((i, "\n".join(x)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = garbled.garbled_documents(df)
+    restored = {r.doc_id: r.restored for r in garbled.restored_documents(df, found).collect()}
+    assert restored == {i: clean[i] for i in range(6)}
+
+
+def test_stretch_repair():
+    known = {swap("größer"): "größer"}
+    dirty = "clean café — über\n" + swap("größer „kufögung“ süß") + "\nclean café — über"
+    assert garbled.repair(dirty, "cp1252>mac_roman", known, {"šö"}) == ("clean café — über\ngrößer „kufögung“ süß\nclean café — über", 7)

@@ -13,7 +13,7 @@ must keep its value under the new name.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -98,8 +98,16 @@ def images(feed: DataFrame) -> DataFrame:
     )
 
 
+def once(feed: DataFrame) -> DataFrame:
+    """Each delivered message once, as it came first; messages without stream or number are no repeats."""
+    known = F.col("stream_key").isNotNull() & F.col("seq_no").isNotNull()
+    own = F.when(~known, F.col("rec_no"))
+    rows = feed.where(plain_op(F.col("msg_type")) == "dml").groupBy("stream_key", "seq_no", own.alias("_own"))
+    return rows.agg(F.min_by(F.struct(*feed.columns), "rec_no").alias("_m")).select("_m.*")
+
+
 def path_values(df: DataFrame) -> DataFrame:
-    """Adds ``paths``: array of (field, kind) with kind i (integer), f (number
+    """Adds ``paths``: array of (field, kind, value as text) with kind i (integer), f (number
     with fraction), t (text), b (boolean), o (object or array) or empty (null,
     or a version that writes every value as text)."""
     raw, var = F.from_json("data_json", "map<string,string>"), F.from_json("data_json", "map<string,variant>")
@@ -115,15 +123,15 @@ def path_values(df: DataFrame) -> DataFrame:
             .otherwise("i")
         )
 
-    each = F.transform(F.map_entries(F.col("_var")), lambda e: F.struct(F.lower(F.btrim(e["key"])).alias("field"), kind(e["key"], e["value"]).alias("kind")))
-    return df.withColumns({"_raw": raw, "_var": var}).withColumn("paths", F.coalesce(each, F.array().cast("array<struct<field:string,kind:string>>"))).drop("_raw", "_var")
+    each = F.transform(F.map_entries(F.col("_var")), lambda e: F.struct(F.lower(F.btrim(e["key"])).alias("field"), kind(e["key"], e["value"]).alias("kind"), F.element_at(F.col("_raw"), e["key"]).alias("value")))
+    return df.withColumns({"_raw": raw, "_var": var}).withColumn("paths", F.coalesce(each, F.array().cast("array<struct<field:string,kind:string,value:string>>"))).drop("_raw", "_var")
 
 
 def file_statistics(placed: DataFrame) -> DataFrame:
     """Path-kind statistics by file, table and epoch: first and last place and
     count.  The empty field stands for the message itself."""
     at = F.struct("ts", "seq")
-    whole = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("kind")))
+    whole = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("value")))
     rows = path_values(placed).select("src_file", "db", "tbl", "inst", "e_ts", "e_seq", at.alias("at"), F.explode(F.concat(whole, "paths")).alias("_p"))
     return rows.groupBy("src_file", "db", "tbl", "inst", "e_ts", "e_seq", F.col("_p.field").alias("field"), F.col("_p.kind").alias("kind")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
 
@@ -152,21 +160,66 @@ def failed_casts(feed: DataFrame) -> DataFrame:
     return counted.join(best, ["db", "tbl", "field"]).groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("failed"))
 
 
-def consistent_rows(feed: DataFrame, changes: DataFrame) -> DataFrame:
-    """(db, tbl, id, event_ts, field, value): everything in one set of rows
-    with the newest field and table names.  ``changes`` are those of
-    schema_changes.  Names that were given twice in different lineages keep
-    their own, as far as (db, table, field) tells them apart."""
+_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def typed_columns(kind: Column, value: Column) -> dict[str, Column]:
+    """The value cast to the type of its kind, in the column of that type; null where the cast fails."""
+    exact = F.when(value.rlike(_NUMBER), value.try_cast("decimal(38,18)"))
+    whole, parsed = exact.try_cast("decimal(20,0)"), F.try_parse_json(value)
+    shape = F.schema_of_variant(parsed)
+    return {
+        "as_int": F.when((kind == "i") & (exact == whole), whole),
+        "as_decimal": F.when(kind == "f", exact),
+        "as_double": F.when((kind == "f") & value.rlike(_NUMBER), value.try_cast("double")),
+        "as_boolean": F.when(kind == "b", value.try_cast("boolean")),
+        "as_json": F.when((kind == "o") & (shape.startswith("OBJECT") | shape.startswith("ARRAY")), value),
+        "as_text": F.when(kind == "t", value),
+    }
+
+
+def _under_newest(changes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Renames db, tbl, field of any rows to the newest names."""
     tables = newest_names(changes.where("kind = 'table_renamed'").select("db", F.lit("").alias("scope"), F.col("tbl").alias("name"), F.col("new_name").alias("next")))
-    named = feed.where("db is not null and tbl is not null")
-    rows = images(named).select("db", "tbl", "ts", F.explode(F.map_entries(F.from_json("data_json", "map<string,string>"))).alias("_e"), F.get_json_object("data_json", "$.id").alias("id"))
-    flat = rows.select("db", "tbl", "id", "ts", F.lower(F.btrim("_e.key")).alias("field"), F.col("_e.value").alias("value"))
     t = tables.select("db", F.col("name").alias("tbl"), F.col("newest").alias("_t"))
-    flat = flat.join(t, ["db", "tbl"], "left").withColumn("tbl", F.coalesce("_t", "tbl")).drop("_t")
     renamed = changes.where("kind = 'renamed'").join(t, ["db", "tbl"], "left").select("db", F.coalesce("_t", "tbl").alias("scope"), F.col("field").alias("name"), F.col("new_name").alias("next"))
     f = newest_names(renamed).select("db", F.col("scope").alias("tbl"), F.col("name").alias("field"), F.col("newest").alias("_f"))
-    flat = flat.join(f, ["db", "tbl", "field"], "left").withColumn("field", F.coalesce("_f", "field")).drop("_f")
-    return flat.select("db", "tbl", "id", from_micros(F.col("ts")).alias("event_ts"), "field", "value")
+
+    def rename(rows: DataFrame) -> DataFrame:
+        rows = rows.join(t, ["db", "tbl"], "left").withColumn("tbl", F.coalesce("_t", "tbl")).drop("_t")
+        return rows.join(f, ["db", "tbl", "field"], "left").withColumn("field", F.coalesce("_f", "field")).drop("_f")
+
+    return rename
+
+
+def consistent_rows(feed: DataFrame, changes: DataFrame) -> DataFrame:
+    """(db, tbl, id, event_ts, field, value, kind, as_int, as_decimal,
+    as_double, as_boolean, as_json, as_text, failed): everything in one set of
+    rows with the newest field and table names, repeated deliveries once.
+    ``kind`` is the one most typed values of the newest field have (text, if
+    none is typed); the value is cast to its type in the column of that type,
+    and ``failed`` tells that it doesn't fit.  ``changes`` are those of
+    schema_changes.  Names that were given twice in different lineages keep
+    their own, as far as (db, table, field) tells them apart."""
+    rename = _under_newest(changes)
+    named = once(feed.where("db is not null and tbl is not null"))
+    rows = path_values(images(named)).select("db", "tbl", "ts", F.get_json_object("data_json", "$.id").alias("id"), F.explode("paths").alias("_p"))
+    flat = rows.select("db", "tbl", "id", "ts", "_p.*")
+    # kinds are counted under the names as they come, so few rows are renamed
+    kinds = rename(flat.where("kind <> ''").groupBy("db", "tbl", "field", "kind").agg(F.count(F.lit(1)).alias("n")))
+    best = kinds.groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n")).groupBy("db", "tbl", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    cast = rename(flat.drop("kind")).join(best, ["db", "tbl", "field"], "left").withColumn("kind", F.coalesce("kind", F.lit("t")))
+    typed = typed_columns(F.col("kind"), F.col("value"))
+    # a decimal out of range still has its double
+    fits = F.coalesce(*[F.col(c).cast("string") for c in typed]).isNotNull()
+    out = cast.withColumns(typed)
+    return out.select("db", "tbl", "id", from_micros(F.col("ts")).alias("event_ts"), "field", "value", "kind", *typed, (F.col("value").isNotNull() & ~fits).alias("failed"))
+
+
+def row_casts(rows: DataFrame) -> DataFrame:
+    """(db, tbl, field, kind, n, failed): the casts of consistent_rows by newest
+    field, and how many failed."""
+    return rows.where("value is not null").groupBy("db", "tbl", "field", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("bigint")).alias("failed"))
 
 
 def newest_names(links: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def p2_rows(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_rows(feed, schema_drift.schema_changes(feed))
 
 
+def p2_row_casts(spark: SparkSession, d: str) -> DataFrame:
+    """The casts of p2_rows by newest field, and how many failed."""
+    return schema_drift.row_casts(p2_rows(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of dcp_messages that are later copies of another record."""
     m = table(spark, d, "dcp_messages")
@@ -131,7 +136,7 @@ def p5_students(spark: SparkSession, d: str) -> DataFrame:
     return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p2_kinds_by_file, p2_failed_casts, p2_rows, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p2_kinds_by_file, p2_failed_casts, p2_rows, p2_row_casts, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
 
 _NAMES = "lower(trim(replace(trim(db), '`', ''))) as db, lower(trim(replace(trim(tbl), '`', ''))) as tbl"
 

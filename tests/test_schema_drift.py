@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from driftline.functions.ddl import actions
-from driftline.operators.schema_drift import consistent_rows, failed_casts, newest_names, schema_changes
+from driftline.operators.schema_drift import consistent_rows, failed_casts, newest_names, row_casts, schema_changes
 
 SCHEMA = "rec_no bigint, src_file string, msg_version string, stream_key string, seq_no bigint, msg_type string, db string, tbl string, event_ts timestamp_ntz, dml_op string, data_json string, ddl_sql string"
 T0 = datetime(2023, 3, 1)
@@ -114,3 +114,21 @@ def test_newest_names(spark):
     links = spark.createDataFrame([("d", "t", "a", "b"), ("d", "t", "b", "c"), ("d", "t", "c", "e"), ("d", "u", "a", "z"), ("d", "v", "x", "y"), ("d", "v", "y", "x")], "db string, scope string, name string, next string")
     got = {(r.scope, r["name"]): r.newest for r in newest_names(links).collect()}
     assert {k: v for k, v in got.items() if k[0] != "v"} == {("t", "a"): "e", ("t", "b"): "e", ("t", "c"): "e", ("u", "a"): "z"}
+
+
+def test_typed_rows(spark):
+    """Repeats come once, values are cast to the kind of their newest field, misfits are told."""
+    f = Feed(spark)
+    f.add("ddl", "create table t (id int, a int, o json)")
+    f.add("dml", {"id": 1, "a": 5, "o": {"x": 1}})
+    f.add("dml", {"id": 2, "a": 6, "o": {"x": 2}})
+    f.add("ddl", "alter table t change a b int")
+    f.add("dml", {"id": 3, "b": 2.5, "o": [1]})
+    f.add("dml", {"id": 4, "b": "7", "o": "none"}, version="0.1")
+    df = spark.createDataFrame([*f.rows, (99, *f.rows[1][1:])], SCHEMA)
+    rows = consistent_rows(df, schema_changes(df)).collect()
+    got = {(r.id, r.field): (r.kind, r.as_int, r.as_json, r.failed) for r in rows}
+    assert len(rows) == len(got) == 12
+    assert [got[str(i), "b"] for i in (1, 2, 3, 4)] == [("i", 5, None, False), ("i", 6, None, False), ("i", None, None, True), ("i", 7, None, False)]
+    assert got["1", "o"] == ("o", None, '{"x":1}', False) and got["4", "o"] == ("o", None, None, True)
+    assert {(r.field, r.n, r.failed) for r in row_casts(consistent_rows(df, schema_changes(df))).collect()} == {("id", 4, 0), ("b", 4, 1), ("o", 4, 1)}

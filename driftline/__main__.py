@@ -1,7 +1,12 @@
 """python -m driftline PIPELINE.json|toml [--status]: runs a pipeline.
 
 input: {"format": "parquet", "path": ..., "mode": "batch" | "stream", "checkpoint": ...}
-output: {"sink": "parquet", "options": {...}, "routes": [...]}
+output: {"sink": "parquet", "options": {...}, "routes": [...], "engine": "replace" | "insert-ignore" | "upsert", "keys": [...], "order": "seq", "columns": [...]}
+
+With keys and order, changes are folded by the engine into the target's rows,
+in a stream into versions below the path of the sink (rows in ``rows``, what
+later batches need in ``changes``).  Without them changes are written as they
+are, in a stream each batch to its own folder ``batch_id=N``.
 """
 
 from __future__ import annotations
@@ -9,24 +14,41 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from driftline.config import Pipeline
 from driftline.sources import feeds, sinks
-from driftline.streaming.changes import run_to_end, status
+from driftline.streaming.changes import VersionedTable, fold_batches, run_to_end, status
 
 
 def run(spark: SparkSession, p: Pipeline) -> dict:
     """Runs to the end of the input and returns the pipeline's status."""
-    sink, options = sinks.SINKS[p.output.get("sink", "discard")], p.output.get("options", {})
+    name, options = p.output.get("sink", "discard"), p.output.get("options", {})
+    sink, folded = sinks.SINKS[name], bool(p.output.get("keys") and p.output.get("order"))
+    if not folded and "engine" in p.output:
+        raise ValueError("an engine needs keys and order")
     mode, fmt = p.input.get("mode", "batch"), p.input.get("format", "json")
     if mode == "stream":
         stream = feeds.read_changes(spark, p.input["path"], fmt, streaming=True)
-        q = run_to_end(stream, p.input["checkpoint"], lambda batch, _: sink(p.transform(batch), **options))
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            if name == "parquet":
+                # run again, a batch replaces its own folder only
+                sink(p.transform(batch), **options | {"path": f"{options['path'].rstrip('/')}/batch_id={batch_id}", "mode": "overwrite"})
+            else:
+                sink(p.transform(batch), **options)
+
+        if folded:
+            if name != "parquet":
+                raise ValueError(f"sink {name!r} holds no rows to fold into; a folded stream needs parquet")
+            path = options["path"].rstrip("/")
+            each = fold_batches(VersionedTable(spark, f"{path}/changes"), VersionedTable(spark, f"{path}/rows"), p)
+        q = run_to_end(stream, p.input["checkpoint"], each)
         return status(q, p.name, p.hash())
     if mode != "batch":
         raise ValueError(f"unknown mode {mode!r}")
-    sink(p.transform(feeds.read_changes(spark, p.input["path"], fmt)), **options)
+    changes = feeds.read_changes(spark, p.input["path"], fmt)
+    sink(p.folded(changes) if folded else p.transform(changes), **options)
     return {"name": p.name, "config": p.hash(), "stage": "ended"}
 
 

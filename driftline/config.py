@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.names import plain_op
 from driftline.operators import apply, filters, routing
 
 
@@ -57,3 +58,21 @@ class Pipeline:
         if engine not in apply.ENGINES:
             raise ValueError(f"unknown engine {engine!r}")
         return apply.ENGINES[engine](self.transform(changes).where(F.col("op").isNotNull()), ["tgt_db", "tgt_tbl", *keys], order, columns)
+
+    def flat(self, changes: DataFrame) -> DataFrame:
+        """Filtered and routed changes with the keys and columns of the output
+        taken from the change's maps; changes without operation are no rows."""
+        keys, order, columns = self.output["keys"], self.output["order"], self.output.get("columns", [])
+        df = self.transform(changes).where(F.col("op").isNotNull())
+        maps = {k: F.coalesce(F.try_element_at("pks", F.lit(k)), F.try_element_at("data", F.lit(k))) for k in keys} | {c: F.try_element_at("data", F.lit(c)) for c in columns}
+        return df.select("tgt_db", "tgt_tbl", *[x.alias(c) for c, x in maps.items()], plain_op(F.col("op")).alias("op"), order)
+
+    def rows(self, flat: DataFrame) -> DataFrame:
+        """The target's rows after flat changes."""
+        engine = self.output.get("engine", "replace")
+        if engine not in apply.ENGINES:
+            raise ValueError(f"unknown engine {engine!r}")
+        return apply.ENGINES[engine](flat, ["tgt_db", "tgt_tbl", *self.output["keys"]], self.output["order"], self.output.get("columns", []))
+
+    def folded(self, changes: DataFrame) -> DataFrame:
+        return self.rows(self.flat(changes))

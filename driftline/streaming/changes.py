@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.joins import null_safe_join
 from driftline.functions.times import micros
 from driftline.operators.ordering import running
 
@@ -64,6 +65,29 @@ def apply_batches(target: VersionedTable, keys: Sequence[str], order: str, colum
     return run
 
 
+def fold_batches(changes: VersionedTable, rows: VersionedTable, pipeline) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: folds a batch into the target's rows by the
+    pipeline's engine.  ``changes`` keeps what later batches need: the last
+    change of each key, and for insert-ignore, where a late delete can let a
+    later write in, the last delete and all writes after it."""
+    keys, order = ["tgt_db", "tgt_tbl", *pipeline.output["keys"]], pipeline.output["order"]
+
+    def kept(df: DataFrame) -> DataFrame:
+        if pipeline.output.get("engine", "replace") != "insert-ignore":
+            rest = [c for c in df.columns if c not in keys]
+            return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+        last = df.where("op = 'delete'").groupBy(*keys).agg(F.max(order).alias("_d"))
+        live = null_safe_join(df, last, keys, "left").where(F.col("_d").isNull() | (F.col(order) >= F.col("_d")))
+        return live.select(*df.columns).dropDuplicates([*keys, order])
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        new, old = pipeline.flat(batch), changes.read(before=batch_id)
+        changes.write(kept(new if old is None else old.unionByName(new)), batch_id)
+        rows.write(pipeline.rows(changes.read(before=batch_id + 1)), batch_id)
+
+    return run
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]):
     """Runs a stream over all that is there and returns the ended query."""
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

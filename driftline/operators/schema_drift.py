@@ -146,8 +146,9 @@ def kinds_by_file(feed: DataFrame) -> DataFrame:
 
 def failed_casts(feed: DataFrame) -> DataFrame:
     """(db, tbl, field, kind, n, failed): the values of each field cast to the
-    kind most of its typed values have (numbers as decimals, all else as text),
-    with the number of casts that fail.  Values of the version that writes
+    kind most of its typed values have (see typed_columns: integers without
+    fraction, numbers, booleans, objects or arrays, text), with the number of
+    casts that fail.  Values of the version that writes
     text are cast like the others."""
     named = feed.where("db is not null and tbl is not null")
     kinds = kinds_by_file(named).where("kind <> ''").groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n"))
@@ -155,8 +156,7 @@ def failed_casts(feed: DataFrame) -> DataFrame:
     raw = images(named).select("db", "tbl", F.explode(F.map_entries(F.from_json("data_json", "map<string,string>"))).alias("_e")).select("db", "tbl", F.lower(F.btrim("_e.key")).alias("field"), F.col("_e.value").alias("value"))
     # equal values are counted before they meet their kind
     counted = raw.where("value is not null").groupBy("db", "tbl", "field", "value").agg(F.count(F.lit(1)).alias("n"))
-    number = F.col("kind").isin("i", "f")
-    bad = number & F.col("value").try_cast("decimal(38,6)").isNull()
+    bad = F.coalesce(*[c.cast("string") for c in typed_columns(F.col("kind"), F.col("value")).values()]).isNull()
     return counted.join(best, ["db", "tbl", "field"]).groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("failed"))
 
 

@@ -132,3 +132,13 @@ def test_typed_rows(spark):
     assert [got[str(i), "b"] for i in (1, 2, 3, 4)] == [("i", 5, None, False), ("i", 6, None, False), ("i", None, None, True), ("i", 7, None, False)]
     assert got["1", "o"] == ("o", None, '{"x":1}', False) and got["4", "o"] == ("o", None, None, True)
     assert {(r.field, r.n, r.failed) for r in row_casts(consistent_rows(df, schema_changes(df))).collect()} == {("id", 4, 0), ("b", 4, 1), ("o", 4, 1)}
+
+
+def test_casts_of_each_kind(spark):
+    f = Feed(spark)
+    for _ in range(2):
+        f.add("dml", {"id": 1, "i": 5, "f": 1.5, "b": True, "o": {"x": 1}, "t": "x"})
+    f.add("dml", {"id": 2, "i": 2.5, "f": "1e3", "b": "maybe", "o": 7, "t": 3})
+    f.add("dml", {"id": "18446744073709551615", "i": "6", "f": "x", "b": "false", "o": "[1]", "t": None}, version="0.1")
+    got = {r.field: (r.kind, r.n, r.failed) for r in failed_casts(spark.createDataFrame(f.rows, SCHEMA)).collect()}
+    assert got == {"id": ("i", 4, 0), "i": ("i", 4, 1), "f": ("f", 4, 1), "b": ("b", 4, 1), "o": ("o", 4, 1), "t": ("t", 3, 0)}

@@ -412,6 +412,15 @@ def encode_mongo(spark, d):
     return o.select("op_no", encode.mongo_json("2.0", F.col("operation"), F.col("op_ns"), F.length("data_json").cast("string"), F.length("row_json").cast("string")).alias("json"))
 
 
+@query("""
+  select op_no, '{"version":"2.0","op":"' || operation || '","ns":"' || op_ns || '","data":' || coalesce(cast(to_json(data_json) as varchar), 'null') || ',"row":' || coalesce(cast(to_json(row_json) as varchar), 'null') || '}' as json from oplog_ops
+""")
+def encode_mongo_documents(spark, d):
+    """The whole documents of Op.Data and Op.Row."""
+    o = table(spark, d, "oplog_ops")
+    return o.select("op_no", encode.mongo_json("2.0", F.col("operation"), F.col("op_ns"), F.col("data_json"), F.col("row_json")).alias("json"))
+
+
 @query("with {feed} select seq, 26 + strlen(cast(pk as varchar)) + strlen(event_type) as size from feed")
 def encode_message_size(spark, d):
     return derived_feed(spark, d).select("seq", encode.message_size(F.col("pk").cast("string"), F.col("event_type")).cast("bigint").alias("size"))

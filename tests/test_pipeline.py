@@ -327,3 +327,14 @@ def test_stream_keeps_earlier_batches(spark, tmp_path, engine):
         return
     rows = streaming.VersionedTable(spark, str(tmp_path / "out/rows")).read().collect()
     assert {(r.id, r.a) for r in rows} == {("1", "v" if engine == "replace" else "x"), ("2", "z")}
+
+
+def test_mongo_documents(spark, tmp_path):
+    """Whole documents with quotes, backslashes and line feeds come back as they were."""
+    from driftline.plans.catalogue import encode_mongo_documents
+
+    texts = ['{"a": "x\\"y\\\\z\\n", "b": [{"c": "é/\U0001f600"}]}', '{"long": "' + "w" * 100_000 + '"}', "line\nfeed\ttab", "", None]
+    rows = [(i, "u", "d.c", t, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "op_no bigint, operation string, op_ns string, data_json string, row_json string").write.parquet(str(tmp_path / "oplog_ops.parquet"))
+    got = {r.op_no: json.loads(r.json) for r in encode_mongo_documents(spark, str(tmp_path)).collect()}
+    assert got == {i: {"version": "2.0", "op": "u", "ns": "d.c", "data": t, "row": t} for i, t in enumerate(texts)}

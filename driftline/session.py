@@ -1,8 +1,9 @@
-"""Reading tables, sizing partitions and cutting lineage on a shared folder."""
+"""Reading tables, sizing partitions and storing what is read more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,24 +14,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: spark.checkpoint.dir where the cluster
-    names one; a temporary folder only where it is unset (local tests)."""
+    """The shared folder: spark.checkpoint.dir where the cluster names one.
+    Only a local session without one gets a temporary folder; on a cluster a
+    folder of one machine would be lost to the others, so that is an error."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="driftline-ckpt-")
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="driftline-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder.  Used where a
-    result is read more than once or a Python stage must not be repeated; the
-    files survive the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read from there,
+    for a result that is read more than once or a Python stage that must not
+    be repeated.  It survives the loss of executors, readers take only the
+    columns they need, and its size is known to later joins."""
+    spark = df.sparkSession
+    path = f"{stored_under(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_under(spark: SparkSession) -> str:
+    """Where the tables of this application lie."""
+    return f"{ensure_checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the stored tables of this application; call it when results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored_under(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import garbled, mixing, packing, tokens
-from driftline.session import cut, shuffle_partitions, table
+from driftline.session import cut, table
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     """Where each piece of each document lies, for every pack of pack_specs."""
-    return packing.pack(_sized(spark, d), table(spark, d, "pack_specs"), shuffle_partitions(spark))
+    return packing.pack(_sized(spark, d), table(spark, d, "pack_specs"))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 100_000  # characters encoded at once; longer texts are cut at a line feed or blank before them
 
 
 @lru_cache(maxsize=2)
@@ -26,26 +25,9 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
-    """The text in pieces of at most about ``size``, cut before white space."""
-    at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind("\n", at + 1, at + size), text.rfind(" ", at + 1, at + size))
-        cut = at + size if cut <= at else cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
-    """Tokens of a text; null and empty text have none.  A very long text is
-    encoded piece by piece, so its tokens end at the cuts."""
-    if not text:
-        return 0
-    enc = encoder(path)
-    if len(text) <= CHUNK:
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(c)) for c in chunks(text))
+    """Tokens of a whole text, however long; null and empty text have none."""
+    return len(encoder(path).encode_ordinary(text)) if text else 0
 
 
 def with_token_counts(docs: DataFrame, text: Column, keep: list[str], path: str = TOKENIZER) -> DataFrame:

@@ -1,21 +1,27 @@
 """Texts that were decoded with a wrong character encoding.
 
-1. Near-twins: lines that are equal once their non-ASCII characters are
-   stripped.  The variant most documents have stands for the line; the others
-   are aligned with it character by character, which gives pairs (garbled run,
-   clean run).  A pair that some wrong reading explains (bytes of one encoding
-   read as another) is evidence for that transformation.
-   The words of such lines are mappings.
-2. Words are twins in the same sense: a rare word that a transformation turns
-   into a word of many documents.  This carries transformations over to
-   scripts of which stripping leaves nothing, and to single words.  Which way a
-   transformation goes is judged by all its words together, for each character
-   it changes, so common garbled words count as well; equal texts count once.
-3. Transformations with enough evidence are accepted; their word mappings are
+1. Near-twins are texts that are equal once their non-ASCII characters are
+   stripped: lines, and words.  A garbled text and its right form always are,
+   as every encoding spoils non-ASCII characters only.
+   The variant most documents have stands for the text; the others are aligned
+   with it character by character, and what some wrong reading explains (bytes
+   of one encoding read as another) is evidence for that transformation and a
+   mapping of the word.  Words without a near-twin are not looked at.
+2. Which way a transformation goes is judged by all its words together, for
+   each character it changes, so common garbled words count as well; equal
+   texts count once.
+3. Stripping leaves nothing of words in Cyrillic and of very short ones.  They
+   are twins if a transformation turns one into the other.
+4. Transformations with enough evidence are accepted; their word mappings are
    applied to all documents, and characters spoilt are counted per document
-   and transformation.  Replacement characters count as spoilt too.
-4. Texts are restored by word mappings and, for byte swaps, on the lines that
+   and transformation.  UTF-8 sequences of three and more characters that turn
+   up in no clean text count under an accepted transformation too, and so do
+   replacement characters.
+5. Texts are restored by word mappings and, for byte swaps, on the lines that
    hold such words and those beside them; clean words and all other text stay.
+
+Documents are scanned once; all else works on their lines with non-ASCII
+characters.
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ WORD = r"[^\s!-/:-@\[-`{-~]+"
 NON_ASCII = r"[^\x00-\x7F]"
 LEAST_SPOILT = 3  # original characters
 TWIN_LETTERS = 10  # ASCII letters a line must keep to have twins
+WORD_LETTERS = 2  # ASCII letters a word must keep to have twins
 TWIN_SUPPORT = 3  # aligned twin lines that accept a transformation
 WORD_SUPPORT = 8  # distinct words that accept a transformation
 MORE_COMMON = 3  # times as many documents must have the restored word, or times as many words go one way as the other
-BROADCAST_WORDS = 200_000
 
 # Encodings in which text is commonly kept or wrongly read, by script.
 WRONG_FOR_UTF8 = ["cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "iso8859-2", "cp852", "cp1251", "koi8-r", "cp866"]
@@ -218,12 +224,20 @@ def _twin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TWIN_ARROW)], schema=_TWIN_ARROW)
 
 
-def twin_evidence(docs: DataFrame, text: Column) -> DataFrame:
+def spoilable_lines(docs: DataFrame, text: Column) -> DataFrame:
+    """(doc_id, lines, lost): the lines with non-ASCII characters of each text
+    that has any, and the number of replacement characters."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NON_ASCII))
+    lost = F.length(text) - F.length(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    return docs.where(text.rlike(NON_ASCII)).select("doc_id", lines.alias("lines"), lost.cast("bigint").alias("lost"))
+
+
+def twin_evidence(parts: DataFrame) -> DataFrame:
     """From lines whose stripped texts are equal: rows without word, one for
     each pair of lines and transformation (vote 1 if the restored line is the
     commoner, -1 if it is the other, 0 if neither), and the words of the lines
     with vote 1."""
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(NON_ASCII))
+    lines = parts.select(F.explode("lines").alias("line"))
     stripped = F.regexp_replace("line", NON_ASCII, "")
     keyed = lines.select("line", F.xxhash64(stripped).alias("key"), F.xxhash64("line").alias("h")).where(F.length(F.regexp_replace("line", "[^A-Za-z]", "")) >= TWIN_LETTERS)
     varied = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
@@ -242,12 +256,39 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), lambda w: w.rlike(NON_ASCII))
 
 
-def word_types(docs: DataFrame, text: Column) -> DataFrame:
+def words_of(parts: DataFrame) -> Column:
+    return words(F.array_join("lines", "\n"))
+
+
+def word_types(parts: DataFrame) -> DataFrame:
     """(word, df): in how many different texts each word is; copies count once."""
-    per = docs.select(F.xxhash64(text).alias("h"), F.array_distinct(words(text)).alias("ws")).where(F.size("ws") > 0)
+    per = parts.select(F.xxhash64("lines").alias("h"), F.array_distinct(words_of(parts)).alias("ws")).where(F.size("ws") > 0)
     return per.dropDuplicates(["h"]).select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _long_sequences() -> str:
+    """Pattern of UTF-8 sequences of three or more bytes under the readings of Latin texts."""
+    found = []
+    for wrong in LATIN_READINGS:
+        table = _bytes_of(wrong)
+        chars = lambda lo, hi: "".join(f"\\x{{{ord(c):x}}}" for c, b in table.items() if lo <= b <= hi)  # noqa: B023,E731
+        found.append(f"[{chars(0xE0, 0xF4)}][{chars(0x80, 0xBF)}]{{2}}")
+    return "|".join(found)
+
+
+def with_twins(types: DataFrame) -> DataFrame:
+    """(word, df) of the words that can have a right form: those with a
+    near-twin, a word of equal stripped text that two documents hold; those of
+    which stripping leaves too little to tell; and those with long sequences."""
+    left = F.regexp_replace("word", NON_ASCII, "")
+    keyed = types.select("word", "df", F.xxhash64(left).alias("key"), (F.length(F.regexp_replace(left, "[^A-Za-z]", "")) >= WORD_LETTERS).alias("_long"))
+    shared = keyed.where("_long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("most")).where("n > 1 and most > 1").select("key")
+    twins = keyed.where("_long").join(shared, "key", "left_semi").select("word", "df")
+    alone = keyed.where(~F.col("_long")).select("word", "df")
+    long = types.where(F.col("word").rlike(_long_sequences())).select("word", "df")
+    return twins.unionByName(alone).unionByName(long).distinct()
+
+
 _CANDIDATE = "word string, df bigint, restored string, ts array<string>, changes array<string>, spoilt int, strong boolean, sure boolean"
 
 
@@ -323,7 +364,8 @@ def learned_words(types: DataFrame, twins: DataFrame) -> tuple[DataFrame, dict[s
     with sequences of three or more characters for a Latin letter or sign,
     which speak for themselves."""
     vocabulary = types.where("df >= 2").select(F.col("word").alias("restored"), F.col("df").alias("restored_df"))
-    joined = types.repartition(shuffle_partitions(types.sparkSession)).mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored", "left")
+    near_twins = cut(with_twins(types).repartition(shuffle_partitions(types.sparkSession)))
+    joined = near_twins.mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored", "left")
     found = cut(joined.where("restored_df is not null or sure"))
     ways = directions(found)
     common = F.coalesce(F.col("restored_df") >= MORE_COMMON * F.col("df"), F.lit(False))
@@ -417,17 +459,16 @@ def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
     adds what restored_documents needs: every transformation of the document,
     the surest first, with its words.
     """
-    text = F.col("text")
-    types = cut(word_types(docs, text))
-    twins = cut(twin_evidence(docs, text))
+    parts = cut(spoilable_lines(docs, F.col("text")))
+    types = cut(word_types(parts))
+    twins = cut(twin_evidence(parts))
     learned, ways = learned_words(types, twins)
     learned = cut(learned)
     names = accepted_transformations(learned, twins)
     usable = F.array_intersect("ts", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
-    mapped = learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "restored", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong")
-    if mapped.count() <= BROADCAST_WORDS:
-        mapped = F.broadcast(mapped)
-    tokens = docs.select("doc_id", F.explode(words(text)).alias("word")).join(mapped, "word")
+    # a stored table: Spark knows its size and broadcasts it only if that is small
+    mapped = cut(learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "restored", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong"))
+    tokens = parts.select("doc_id", F.explode(words_of(parts)).alias("word")).join(mapped, "word")
     per = (
         tokens.select("doc_id", "word", "restored", "spoilt", "strong", F.explode("ts").alias("transformation"))
         .groupBy("doc_id", "transformation", "word")
@@ -443,6 +484,7 @@ def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
     enough = (F.col("spoilt") >= LEAST_SPOILT) & (F.col("strong") >= 1)
     sure = per.where(enough)
     # few known words: count every sequence, and every stretch of a byte swap, of the text under the same transformation
+    # (lines without other than ASCII characters hold none and don't part two stretches)
     forward = {t: set(cs) for t, cs in ways.items()}
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,8 +495,8 @@ def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
 
     pairs = "array<struct<word:string,restored:string>>"
     doubtful = per.where(~enough & (utf8 | (F.col("strong") >= 1)))
-    recounted = docs.select("doc_id", "text").join(doubtful.select("doc_id", "transformation", "words"), "doc_id").select("doc_id", "transformation", "words", "text").mapInArrow(recount, f"doc_id bigint, transformation string, words {pairs}, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
-    lost = docs.select("doc_id", F.lit(None).cast("string").alias("transformation"), (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).cast("bigint").alias("spoilt"), F.lit(0).cast("bigint").alias("strong"), F.lit(None).cast(pairs).alias("words"))
+    recounted = parts.select("doc_id", F.array_join("lines", "\n").alias("text")).join(doubtful.select("doc_id", "transformation", "words"), "doc_id").select("doc_id", "transformation", "words", "text").mapInArrow(recount, f"doc_id bigint, transformation string, words {pairs}, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
+    lost = parts.select("doc_id", F.lit(None).cast("string").alias("transformation"), F.col("lost").alias("spoilt"), F.lit(0).cast("bigint").alias("strong"), F.lit(None).cast(pairs).alias("words"))
     found = sure.unionByName(recounted).unionByName(lost).where(F.col("spoilt") >= LEAST_SPOILT)
     rank = F.struct("strong", F.col("transformation").isNotNull(), "spoilt", "transformation")
     whole = [F.max_by("transformation", rank).alias("transformation"), F.max("spoilt").alias("spoilt")]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from driftline.session import cut, shuffle_partitions
 
 WORD = r"[^\s!-/:-@\[-`{-~]+"
-NON_ASCII = r"[^\x00-\x7F]"
+NON_ASCII = r"[^\x00-\x7F]+"
 LEAST_SPOILT = 3  # original characters
 TWIN_LETTERS = 10  # ASCII letters a line must keep to have twins
 WORD_LETTERS = 2  # ASCII letters a word must keep to have twins
@@ -133,7 +133,9 @@ def _unread(text: str, wrong: str) -> tuple[str, int]:
     return "".join(out), n
 
 
+@lru_cache(maxsize=None)
 def transformations() -> list[str]:
+    """At most 63, so that a set of them is a number."""
     names = [f"utf-8>{w}" for w in WRONG_FOR_UTF8] + [f"utf-8>{w}>utf-8>{w}" for w in ("cp1252", "latin-1")]
     for family in FAMILIES.values():
         names += [f"{r}>{w}" for r in family for w in family if r != w]
@@ -220,16 +222,26 @@ def _twin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if r != w and k and r in clean:
                             by.setdefault((w, r, k), []).append(t)
                 out += [(ts, 1, w, r, k, _strong(w, r, ts[0])) for (w, r, k), ts in by.items()]
-        cols = list(zip(*out)) if out else [[] for _ in _TWIN_ARROW]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TWIN_ARROW)], schema=_TWIN_ARROW)
+        yield _arrow(out, _TWIN_ARROW)
+
+
+def spoilt_form(text: Column) -> Column:
+    """Whether a text has non-ASCII characters: those take more than one byte."""
+    return F.octet_length(text) > F.char_length(text)
 
 
 def spoilable_lines(docs: DataFrame, text: Column) -> DataFrame:
-    """(doc_id, lines, lost): the lines with non-ASCII characters of each text
-    that has any, and the number of replacement characters."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NON_ASCII))
-    lost = F.length(text) - F.length(F.replace(text, F.lit("\ufffd"), F.lit("")))
-    return docs.where(text.rlike(NON_ASCII)).select("doc_id", lines.alias("lines"), lost.cast("bigint").alias("lost"))
+    """(doc_id, h, lines, words, lost): for each text with non-ASCII characters
+    a hash, its lines with such characters (with a key of the line without
+    them, null where that is too short), their words with such characters as
+    often as they occur, and the number of replacement characters."""
+    stripped = lambda x: F.regexp_replace(x, NON_ASCII, "")
+    letters = lambda x: F.char_length(F.regexp_replace(x, "[^A-Za-z]+", ""))
+    line = lambda x: F.struct(x.alias("line"), F.when(letters(x) >= TWIN_LETTERS, F.xxhash64(stripped(x))).alias("key"))
+    some = docs.where(spoilt_form(text)).select("doc_id", text.alias("_t"), F.filter(F.split(text, "\n", -1), spoilt_form).alias("_lines"))
+    lost = F.char_length("_t") - F.char_length(F.replace("_t", F.lit("\ufffd"), F.lit("")))
+    found = F.filter(F.regexp_extract_all(F.array_join("_lines", "\n"), F.lit(f"({WORD})"), 1), spoilt_form)
+    return some.select("doc_id", F.xxhash64("_lines").alias("h"), F.transform("_lines", line).alias("lines"), found.alias("words"), lost.cast("bigint").alias("lost"))
 
 
 def twin_evidence(parts: DataFrame) -> DataFrame:
@@ -237,9 +249,8 @@ def twin_evidence(parts: DataFrame) -> DataFrame:
     each pair of lines and transformation (vote 1 if the restored line is the
     commoner, -1 if it is the other, 0 if neither), and the words of the lines
     with vote 1."""
-    lines = parts.select(F.explode("lines").alias("line"))
-    stripped = F.regexp_replace("line", NON_ASCII, "")
-    keyed = lines.select("line", F.xxhash64(stripped).alias("key"), F.xxhash64("line").alias("h")).where(F.length(F.regexp_replace("line", "[^A-Za-z]", "")) >= TWIN_LETTERS)
+    lines = parts.select(F.explode("lines").alias("_l")).where("_l.key is not null")
+    keyed = lines.select("_l.line", "_l.key", F.xxhash64("_l.line").alias("h"))
     varied = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     # count variants before gathering them; the commonest stands for the line
     variants = keyed.join(varied, "key", "left_semi").groupBy("key", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -251,19 +262,9 @@ def twin_evidence(parts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ words
 
 
-def words(text: Column) -> Column:
-    """Words with a non-ASCII character, as an array."""
-    return F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), lambda w: w.rlike(NON_ASCII))
-
-
-def words_of(parts: DataFrame) -> Column:
-    return words(F.array_join("lines", "\n"))
-
-
 def word_types(parts: DataFrame) -> DataFrame:
     """(word, df): in how many different texts each word is; copies count once."""
-    per = parts.select(F.xxhash64("lines").alias("h"), F.array_distinct(words_of(parts)).alias("ws")).where(F.size("ws") > 0)
-    return per.dropDuplicates(["h"]).select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return parts.select("h", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _long_sequences() -> str:
@@ -289,7 +290,10 @@ def with_twins(types: DataFrame) -> DataFrame:
     return twins.unionByName(alone).unionByName(long).distinct()
 
 
-_CANDIDATE = "word string, df bigint, restored string, ts array<string>, changes array<string>, spoilt int, strong boolean, sure boolean"
+_CANDIDATE = "word string, df bigint, restored string, bits bigint, sure boolean"
+_CANDIDATE_ARROW = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("bits", pa.int64()), ("sure", pa.bool_())])
+_FOUND = "word string, df bigint, restored string, restored_df bigint, sure boolean, ts array<string>, changes array<string>, spoilt int, strong boolean"
+_FOUND_ARROW = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("restored_df", pa.int64()), ("sure", pa.bool_()), ("ts", pa.list_(pa.string())), ("changes", pa.list_(pa.string())), ("spoilt", pa.int32()), ("strong", pa.bool_())])
 
 
 def _changes(word: str, restored: str, t: str) -> list[str]:
@@ -301,43 +305,58 @@ def _strong(word: str, restored: str, t: str) -> bool:
     return t.startswith("utf-8") or (sum(map(str.isalpha, restored)) >= 3 and any(c not in MISREAD for c, d in zip(word, restored) if c != d))
 
 
-def _restorations(batch_words: list[str]) -> list[dict[str, list[str]]]:
-    """Per word: restored form to the transformations that give it.  Byte
-    swaps run over all words at once, as they keep lengths."""
-    by: list[dict[str, list[str]]] = [{} for _ in batch_words]
+def _restorations(batch_words: list[str]) -> list[dict[str, int]]:
+    """Per word: restored form to the transformations that give it, a bit each.
+    Byte swaps run over all words at once, as they keep lengths."""
+    by: list[dict[str, int]] = [{} for _ in batch_words]
     joined = "\n".join(batch_words)
-    for t in transformations():
+    for k, t in enumerate(transformations()):
         if t.startswith("utf-8"):
             first = _sequence(t.split(">")[1])
             for i, w in enumerate(batch_words):
                 if first.search(w):
                     r, n = undo(w, t)
                     if n:
-                        by[i].setdefault(r, []).append(t)
+                        by[i][r] = by[i].get(r, 0) | 1 << k
         else:
             right, wrong = t.split(">")
-            for i, (w, r) in enumerate(zip(batch_words, joined.translate(_swap(wrong, right)).split("\n"))):
+            for w, r, mine in zip(batch_words, joined.translate(_swap(wrong, right)).split("\n"), by):
                 if r != w:
-                    by[i].setdefault(r, []).append(t)
+                    mine[r] = mine.get(r, 0) | 1 << k
     return by
 
 
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _of_bits(bits: int) -> list[str]:
+    return [t for k, t in enumerate(transformations()) if bits >> k & 1]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.string()), ("df", pa.int64()), ("restored", pa.string()), ("ts", pa.list_(pa.string())), ("changes", pa.list_(pa.string())), ("spoilt", pa.int32()), ("strong", pa.bool_()), ("sure", pa.bool_())])
+    utf8 = sum(1 << k for k, t in enumerate(transformations()) if t.startswith("utf-8"))
     for b in batches:
         out = []
         batch_words, dfs = (c.to_pylist() for c in b.columns)
         for word, df, by in zip(batch_words, dfs, _restorations(batch_words)):
-            for r, ts in by.items():
-                if ts[0].startswith("utf-8"):
-                    n = undo(word, ts[0])[1]
-                    # longer sequences stand for dashes and quotes and turn up in no clean text
-                    out.append((word, df, r, ts, [""], n, True, len(word) - len(r) > n))
-                else:
-                    n = sum(c != d for c, d in zip(word, r))
-                    out.append((word, df, r, ts, _changes(word, r, ts[0]), n, _strong(word, r, ts[0]), False))
-        cols = list(zip(*out)) if out else [[] for _ in schema]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+            for r, bits in by.items():
+                # longer sequences stand for dashes and quotes and turn up in no clean text
+                sure = bool(bits & utf8) and len(word) - len(r) > undo(word, _of_bits(bits & utf8)[0])[1]
+                out.append((word, df, r, bits, sure))
+        yield _arrow(out, _CANDIDATE_ARROW)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a restoration changes, for those that are somebody's right form."""
+    for b in batches:
+        out = []
+        for word, df, r, bits, sure, r_df in zip(*[c.to_pylist() for c in b.columns]):
+            ts = _of_bits(bits)
+            n = undo(word, ts[0])[1] if ts[0].startswith("utf-8") else sum(c != d for c, d in zip(word, r))
+            out.append((word, df, r, r_df, sure, ts, _changes(word, r, ts[0]), n, _strong(word, r, ts[0])))
+        yield _arrow(out, _FOUND_ARROW)
 
 
 def directions(found: DataFrame) -> dict[str, list[str]]:
@@ -366,7 +385,8 @@ def learned_words(types: DataFrame, twins: DataFrame) -> tuple[DataFrame, dict[s
     vocabulary = types.where("df >= 2").select(F.col("word").alias("restored"), F.col("df").alias("restored_df"))
     near_twins = cut(with_twins(types).repartition(shuffle_partitions(types.sparkSession)))
     joined = near_twins.mapInArrow(_candidates, _CANDIDATE).join(vocabulary, "restored", "left")
-    found = cut(joined.where("restored_df is not null or sure"))
+    right = joined.where("restored_df is not null or sure").select("word", "df", "restored", "bits", "sure", "restored_df")
+    found = cut(right.mapInArrow(_described, _FOUND))
     ways = directions(found)
     common = F.coalesce(F.col("restored_df") >= MORE_COMMON * F.col("df"), F.lit(False))
     near = F.coalesce(F.col("restored_df") * MORE_COMMON > F.col("df"), F.lit(False))
@@ -468,11 +488,9 @@ def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
     usable = F.array_intersect("ts", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
     # a stored table: Spark knows its size and broadcasts it only if that is small
     mapped = cut(learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "restored", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong"))
-    tokens = parts.select("doc_id", F.explode(words_of(parts)).alias("word")).join(mapped, "word")
+    tokens = parts.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).join(mapped, "word")
     per = (
-        tokens.select("doc_id", "word", "restored", "spoilt", "strong", F.explode("ts").alias("transformation"))
-        .groupBy("doc_id", "transformation", "word")
-        .agg(F.sum("spoilt").alias("spoilt"), F.first("strong").alias("strong"), F.first("restored").alias("restored"))
+        tokens.select("doc_id", "word", "restored", (F.col("spoilt") * F.col("n")).alias("spoilt"), "strong", F.explode("ts").alias("transformation"))
         .groupBy("doc_id", "transformation")
         .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"), F.sum((F.col("spoilt") > 0).cast("int")).alias("known"), F.collect_list(F.struct("word", "restored")).alias("words"))
     )
@@ -495,7 +513,7 @@ def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
 
     pairs = "array<struct<word:string,restored:string>>"
     doubtful = per.where(~enough & (utf8 | (F.col("strong") >= 1)))
-    recounted = parts.select("doc_id", F.array_join("lines", "\n").alias("text")).join(doubtful.select("doc_id", "transformation", "words"), "doc_id").select("doc_id", "transformation", "words", "text").mapInArrow(recount, f"doc_id bigint, transformation string, words {pairs}, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
+    recounted = parts.select("doc_id", F.array_join("lines.line", "\n").alias("text")).join(doubtful.select("doc_id", "transformation", "words"), "doc_id").select("doc_id", "transformation", "words", "text").mapInArrow(recount, f"doc_id bigint, transformation string, words {pairs}, spoilt bigint").withColumn("strong", F.lit(0).cast("bigint"))
     lost = parts.select("doc_id", F.lit(None).cast("string").alias("transformation"), F.col("lost").alias("spoilt"), F.lit(0).cast("bigint").alias("strong"), F.lit(None).cast(pairs).alias("words"))
     found = sure.unionByName(recounted).unionByName(lost).where(F.col("spoilt") >= LEAST_SPOILT)
     rank = F.struct("strong", F.col("transformation").isNotNull(), "spoilt", "transformation")

@@ -45,4 +45,4 @@ def test_random_against_brute_force(spark):
     want += [("t", k, "value_differs", "b") for k in a if k in b and a[k] != b[k]]
     tell = lambda m: [("t", k, "INSERT " + json.dumps(v), 1) for k, v in m.items()]
     assert rows(spark, tell(a), tell(b)) == sorted(want, key=str)
-    assert rows(spark, tell(a), tell(b), n_buckets=1) == sorted(want, key=str)
+    assert rows(spark, tell(a), tell(b), rows_per_bucket=10**9) == sorted(want, key=str)

@@ -118,25 +118,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every object in an array of the student documents with its place."""
     docs = _students(spark, d)
     graph = inlining.schema_graph(docs, F.col("doc"))
-    rows = inlining.child_rows(docs, ["op_no"], F.col("doc"), graph)
-    return rows.where(F.col("path").isin(STUDENT_TABLES)).select("op_no", F.col("path").alias("child_path"), F.col("index").alias("child_index"))
+    rows = inlining.child_rows(docs, ["op_no"], F.col("doc"), graph, [tuple(t.split(".")) for t in STUDENT_TABLES])
+    return rows.select("op_no", F.col("path").alias("child_path"), F.col("index").alias("child_index"))
 
 
-def p5_marks(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of marks, tied to its term by parent_index."""
-    docs = _students(spark, d)
-    graph = inlining.schema_graph(docs, F.col("doc"))
-    return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "student_class.terms.marks")
+def _student_table(name: str, path: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = _students(spark, d)
+        graph = inlining.schema_graph(docs, F.col("doc"))
+        return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, path)
 
+    run.__name__ = name
+    run.__doc__ = f"The flat table of {path or 'students with all singleton parts inlined'}, tied to its parent by parent_path and parent_index."
+    return run
 
-def p5_students(spark: SparkSession, d: str) -> DataFrame:
-    """The root table with all singleton parts inlined."""
-    docs = _students(spark, d)
-    graph = inlining.schema_graph(docs, F.col("doc"))
-    return inlining.flat_table(docs, ["op_no"], F.col("doc"), graph, "")
+
+FLAT_TABLES = {"p5_students": "", "p5_parents": "student_parent", "p5_phones": "student_parent.phones", "p5_classes": "student_class", "p5_terms": "student_class.terms", "p5_marks": "student_class.terms.marks", "p5_remarks": "student_class.terms.marks.remarks", "p5_awards": "student_detail.awards"}
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p2_kinds_by_file, p2_failed_casts, p2_rows, p2_row_casts, p3_found, p3_kept, p4_found, p5_found, p5_marks, p5_students)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p6_found, p6_table_stats, p6_delay_percentiles, p2_found, p2_kinds_by_file, p2_failed_casts, p2_rows, p2_row_casts, p3_found, p3_kept, p4_found, p5_found)}
+QUERIES |= {n: _student_table(n, path) for n, path in FLAT_TABLES.items()}
 
 _NAMES = "lower(trim(replace(trim(db), '`', ''))) as db, lower(trim(replace(trim(tbl), '`', ''))) as tbl"
 
@@ -187,9 +188,9 @@ def _part(x: str, field: str) -> str:
     return f"case when json_type({x}, {at}) = 'VARCHAR' then json_extract_string({x}, {at}) else json_extract({x}, {at}) end"
 
 
-def _child_sql() -> str:
+def _child_ctes() -> str:
+    """One relation (op_no, idx, obj) for each student table, named by its path."""
     ctes = ["docs as (select op_no, case operation when 'i' then data_json else row_json end as obj, '' as idx from oplog_ops where operation in ('i', 'u'))", f"details as (select op_no, {_part('obj', 'student_detail')} as obj, '' as idx from docs where obj is not null)"]
-    out = []
     for path in STUDENT_TABLES:
         parent, _, field = path.rpartition(".")
         name = path.replace(".", "_")
@@ -200,8 +201,49 @@ def _child_sql() -> str:
           {name}_each as (select op_no, idx, x, t, unnest(range(0, case t when 'ARRAY' then cast(json_array_length(x) as bigint) when 'OBJECT' then 1 else 0 end)) as i from {name}_kinds),
           {name}_elements as (select op_no, case when idx = '' then '' else idx || '.' end || i as idx, case t when 'ARRAY' then {_part('x', '').replace("'$.'", "'$[' || i || ']'")} else x end as obj from {name}_each),
           {name} as (select op_no, idx, obj from {name}_elements where obj is not null and json_type(obj) = 'OBJECT')""")
-        out.append(f"select op_no, '{path}' as child_path, idx as child_index from {name}")
-    return "with " + ",".join(ctes) + " union all ".join([" " + o for o in out])
+    return "with " + ",".join(ctes)
+
+
+def _child_sql() -> str:
+    return _child_ctes() + " union all ".join(f" select op_no, '{p}' as child_path, idx as child_index from {p.replace('.', '_')}" for p in STUDENT_TABLES)
+
+
+def _text(x: str, *steps: str) -> str:
+    for s in steps[:-1]:
+        x = _part(x, s)
+    return f"json_extract_string({x}, '$.{steps[-1]}')"
+
+
+# columns of each student table as its SQL reads them from obj
+_FLAT_COLUMNS = {
+    "": {
+        "_id_oid": """json_extract_string(obj, '$._id."$oid"')""",
+        "address_city": _text("obj", "address", "city"),
+        "address_geo_lat": f"cast({_text('obj', 'address', 'geo', 'lat')} as double)",
+        "address_geo_lon": f"cast({_text('obj', 'address', 'geo', 'lon')} as double)",
+        "address_street": _text("obj", "address", "street"),
+        "birthday_date": """json_extract_string(obj, '$.birthday."$date"')""",
+        "name": _text("obj", "name"),
+        "student_detail_hobbies": _text("obj", "student_detail", "hobbies"),
+        "student_detail_introduce": _text("obj", "student_detail", "introduce"),
+    },
+    "student_parent": {"name": _text("obj", "name"), "relation": _text("obj", "relation")},
+    "student_parent.phones": {"kind": _text("obj", "kind"), "no": _text("obj", "no")},
+    "student_class": {"name": _text("obj", "name"), "teacher_name": _text("obj", "teacher", "name"), "teacher_rooms": _text("obj", "teacher", "rooms")},
+    "student_class.terms": {"term": _text("obj", "term")},
+    "student_class.terms.marks": {"score": f"cast({_text('obj', 'score')} as bigint)", "subject": _text("obj", "subject")},
+    "student_class.terms.marks.remarks": {"by": _text("obj", "by"), "text": _text("obj", "text")},
+    "student_detail.awards": {"title": _text("obj", "title"), "year": f"cast({_text('obj', 'year')} as bigint)"},
+}
+
+
+def _flat_sql(path: str) -> str:
+    columns = ", ".join(f'{x} as "{c}"' for c, x in _FLAT_COLUMNS[path].items())
+    if not path:
+        return f"{_child_ctes()} select op_no, {columns} from docs where obj is not null"
+    parent = path.rpartition(".")[0]
+    parent = parent if parent in STUDENT_TABLES else ""
+    return f"{_child_ctes()} select op_no, '{path}' as path, idx as index, '{parent}' as parent_path, regexp_replace(idx, '[.]?[0-9]+$', '') as parent_index, {columns} from {path.replace('.', '_')}"
 
 
 SQL: dict[str, str] = {
@@ -218,6 +260,7 @@ SQL: dict[str, str] = {
         and exists (select 1 from t where t.tbl = coalesce(a.tbl, b.tbl) and t.payload_id = coalesce(a.payload_id, b.payload_id))
     """,
     "p5_found": _child_sql(),
+    **{n: _flat_sql(path) for n, path in FLAT_TABLES.items()},
     "p2_kinds_by_file": r"""
       with m as (select src_file, lower(trim(replace(db, '`', ''))) as db, lower(trim(replace(tbl, '`', ''))) as tbl, data_json as j, msg_version <> '0.1' as typed from schema_feed where msg_type = 'dml' and dml_op in ('insert', 'update') and data_json is not null),
       e as (select *, unnest(json_keys(j)) as k from m)

@@ -38,7 +38,7 @@ def test_tables(spark):
     tables = inlining.inline(frame(spark, DOCS), ["id"], F.col("doc"))
     assert set(tables) == {"", "kids", "kids.toys"}
     root = {r.id: (r.name, r.home_city, r.home_geo_lat, r.tags) for r in tables[""].collect()}
-    assert root == {1: ("a", "x", "1", None), 2: ("b", "y", None, None), 3: ("c", None, None, None), 4: ("d", None, None, "[1,2]")}
+    assert root == {1: ("a", "x", 1, None), 2: ("b", "y", None, None), 3: ("c", None, None, None), 4: ("d", None, None, "[1,2]")}
     assert sorted((r.id, r["index"], r.t) for r in tables["kids.toys"].collect()) == [(1, "0.0", "p"), (1, "0.2", "q"), (1, "2.0", "r"), (3, "0.0", "s")]
 
 
@@ -47,14 +47,34 @@ def test_bad_documents(spark):
     graph = inlining.schema_graph(df, F.col("doc"))
     assert [(r.id, r.path) for r in inlining.child_rows(df, ["id"], F.col("doc"), graph).collect()] == [(6, "kids")]
     root = inlining.flat_table(df, ["id"], F.col("doc"), graph, "")
-    assert [(r.id, r.id_) for r in root.collect() if r.id == 6] == [(6, "9")]
+    assert [(r.id, r.id_) for r in root.collect() if r.id == 6] == [(6, 9)]
     empty = df.where("false")
     assert inlining.child_rows(empty, ["id"], F.col("doc"), inlining.schema_graph(empty, F.col("doc"))).collect() == []
 
 
-def test_shared_and_recursive():
-    kinds = [("a", "object", 1), ("a.addr", "object", 1), ("a.addr.zip", "int", 1), ("b", "object", 1), ("b.addr", "object", 1), ("b.addr.zip", "int", 1), ("n", "object", 1), ("n.v", "int", 1), ("n.n", "object", 1), ("n.n.v", "int", 1), ("n.n.n", "object", 1), ("n.n.n.v", "int", 1), ("n.n.n.n", "null", 1)]
-    g = inlining.analyse(kinds)
-    assert g.why["a.addr"] == g.why["b.addr"] == "shared"
-    assert g.why["n.n"] == "recursive"
-    assert g.tables["a.addr"] == ["a.addr.zip"]
+def test_shared_and_recursive(spark):
+    """One table for each element type, whichever paths lead to it."""
+    docs = [
+        (1, {"home": {"addr": {"zip": 1, "city": "x"}}, "work": {"addr": {"zip": 2, "city": "y"}}, "part": {"v": 1, "part": {"v": 2, "part": {"v": 3}}}}),
+        (2, {"part": {"v": 4, "part": None}}),
+    ]
+    tables = inlining.inline(frame(spark, docs), ["id"], F.col("doc"))
+    assert set(tables) == {"", "addr", "part"}
+    assert sorted((r.id, r.parent_path, r.zip, r.city) for r in tables["addr"].collect()) == [(1, "", 1, "x"), (1, "", 2, "y")]
+    assert sorted((r.id, r.path, r.parent_path, r.v) for r in tables["part"].collect()) == [(1, "part", "", 1), (1, "part.part", "part", 2), (1, "part.part.part", "part.part", 3), (2, "part", "", 4)]
+    graph = inlining.schema_graph(frame(spark, docs), F.col("doc"))
+    assert graph.why == {"addr": "shared", "part": "recursive"}
+
+
+def test_names_of_any_characters(spark):
+    docs = [(1, {"a.b": 1, "a": {"b": 2}, "it's": 3, "say \"x\" 'y'": {"z": 4}, "$k": [{"p.q": 5}]})]
+    tables = inlining.inline(frame(spark, docs), ["id"], F.col("doc"))
+    root = tables[""].collect()[0].asDict()
+    assert sorted(v for k, v in root.items() if k != "id") == [1, 2, 3, 4]
+    assert [r["p_q"] for r in tables["$k"].collect()] == [5]
+
+
+def test_scalars_beside_objects(spark):
+    docs = [(1, {"t": {"n": "a"}}), (2, {"t": "plain"}), (3, {"t": None}), (4, {"t": [1, 2]})]
+    rows = {r.id: (r.t, r.t_n) for r in inlining.inline(frame(spark, docs), ["id"], F.col("doc"))[""].collect()}
+    assert rows == {1: (None, "a"), 2: ("plain", None), 3: (None, None), 4: (None, None)}

@@ -13,7 +13,8 @@ must keep its value under the new name.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,8 @@ from driftline.operators.ordering import running
 from driftline.session import cut
 
 BROADCAST_EVENTS = 100_000  # statements (some 50 bytes each) up to which the epochs of names are broadcast
+LISTED_EVENTS = 200  # statements of one name up to which its messages search a list
 KEPT_SHARE = 0.5  # of the ids with values on both sides, the share that must agree in a rename
-MAX_HOPS = 40
 
 _ACTION = "db string, tbl string, ts bigint, seq bigint, pos int, kind string, field string, new_name string, type_word string, new_db string, columns string"
 
@@ -127,12 +128,23 @@ def path_values(df: DataFrame) -> DataFrame:
     return df.withColumns({"_raw": raw, "_var": var}).withColumn("paths", F.coalesce(each, F.array().cast("array<struct<field:string,kind:string,value:string>>"))).drop("_raw", "_var")
 
 
+_SEQS = "1" + "0" * 19
+
+
+def place(ts: Column, seq: Column) -> Column:
+    """(ts, seq) as one number in the same order, which aggregates without sorting; a null seq is 0."""
+    return (F.coalesce(ts, F.lit(0)).cast("decimal(19,0)") * F.lit(_SEQS).cast("decimal(20,0)") + F.coalesce(seq, F.lit(0))).cast("decimal(38,0)")
+
+
+def _unplace(n) -> tuple[int, int]:
+    return divmod(int(n), 10**19)
+
+
 def file_statistics(placed: DataFrame) -> DataFrame:
     """Path-kind statistics by file, table and epoch: first and last place and
     count.  The empty field stands for the message itself."""
-    at = F.struct("ts", "seq")
     whole = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("value")))
-    rows = path_values(placed).select("src_file", "db", "tbl", "inst", "e_ts", "e_seq", at.alias("at"), F.explode(F.concat(whole, "paths")).alias("_p"))
+    rows = path_values(placed).select("src_file", "db", "tbl", "inst", "e_ts", "e_seq", place(F.col("ts"), F.col("seq")).alias("at"), F.explode(F.concat(whole, "paths")).alias("_p"))
     return rows.groupBy("src_file", "db", "tbl", "inst", "e_ts", "e_seq", F.col("_p.field").alias("field"), F.col("_p.kind").alias("kind")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
@@ -178,37 +190,26 @@ def typed_columns(kind: Column, value: Column) -> dict[str, Column]:
     }
 
 
-def _under_newest(changes: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Renames db, tbl, field of any rows to the newest names."""
-    tables = newest_names(changes.where("kind = 'table_renamed'").select("db", F.lit("").alias("scope"), F.col("tbl").alias("name"), F.col("new_name").alias("next")))
-    t = tables.select("db", F.col("name").alias("tbl"), F.col("newest").alias("_t"))
-    renamed = changes.where("kind = 'renamed'").join(t, ["db", "tbl"], "left").select("db", F.coalesce("_t", "tbl").alias("scope"), F.col("field").alias("name"), F.col("new_name").alias("next"))
-    f = newest_names(renamed).select("db", F.col("scope").alias("tbl"), F.col("name").alias("field"), F.col("newest").alias("_f"))
-
-    def rename(rows: DataFrame) -> DataFrame:
-        rows = rows.join(t, ["db", "tbl"], "left").withColumn("tbl", F.coalesce("_t", "tbl")).drop("_t")
-        return rows.join(f, ["db", "tbl", "field"], "left").withColumn("field", F.coalesce("_f", "field")).drop("_f")
-
-    return rename
-
-
-def consistent_rows(feed: DataFrame, changes: DataFrame) -> DataFrame:
+def consistent_rows(feed: DataFrame) -> DataFrame:
     """(db, tbl, id, event_ts, field, value, kind, as_int, as_decimal,
     as_double, as_boolean, as_json, as_text, failed): everything in one set of
     rows with the newest field and table names, repeated deliveries once.
+    A message's fields are those its table had at its time, so a name that was
+    given up and given again names two fields, each with its own newest name.
     ``kind`` is the one most typed values of the newest field have (text, if
     none is typed); the value is cast to its type in the column of that type,
-    and ``failed`` tells that it doesn't fit.  ``changes`` are those of
-    schema_changes.  Names that were given twice in different lineages keep
-    their own, as far as (db, table, field) tells them apart."""
-    rename = _under_newest(changes)
+    and ``failed`` tells that it doesn't fit."""
+    h = history(feed)
+    lives, tables = newest_fields(h)
     named = once(feed.where("db is not null and tbl is not null"))
-    rows = path_values(images(named)).select("db", "tbl", "ts", F.get_json_object("data_json", "$.id").alias("id"), F.explode("paths").alias("_p"))
-    flat = rows.select("db", "tbl", "id", "ts", "_p.*")
-    # kinds are counted under the names as they come, so few rows are renamed
-    kinds = rename(flat.where("kind <> ''").groupBy("db", "tbl", "field", "kind").agg(F.count(F.lit(1)).alias("n")))
-    best = kinds.groupBy("db", "tbl", "field", "kind").agg(F.sum("n").alias("n")).groupBy("db", "tbl", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
-    cast = rename(flat.drop("kind")).join(best, ["db", "tbl", "field"], "left").withColumn("kind", F.coalesce("kind", F.lit("t")))
+    placed = _rooted(_place(images(named), h.events, h.small), h.links)
+    rows = path_values(placed).select("root", "db", "tbl", "ts", place(F.col("ts"), F.col("seq")).alias("at"), F.get_json_object("data_json", "$.id").alias("id"), F.explode("paths").alias("_p"))
+    flat = rows.select("root", "db", "tbl", "id", "ts", "at", "_p.*").join(lives, ["root", "field"], "left").join(tables, "root", "left")
+    now = F.try_element_at(F.filter(F.coalesce("_lives", F.array().cast("array<struct<at:decimal(38,0),newest:string>>")), lambda x: x["at"] <= F.col("at")), F.lit(-1))
+    flat = cut(flat.select(F.coalesce("_db", "db").alias("db"), F.coalesce("_tbl", "tbl").alias("tbl"), "id", "ts", F.coalesce(now["newest"], "field").alias("field"), F.col("kind").alias("_kind"), "value"))
+    kinds = flat.where("_kind <> ''").groupBy("db", "tbl", "field", "_kind").agg(F.count(F.lit(1)).alias("n"))
+    best = kinds.groupBy("db", "tbl", "field").agg(F.max_by("_kind", F.struct("n", "_kind")).alias("kind"))
+    cast = flat.drop("_kind").join(best, ["db", "tbl", "field"], "left").withColumn("kind", F.coalesce("kind", F.lit("t")))
     typed = typed_columns(F.col("kind"), F.col("value"))
     # a decimal out of range still has its double
     fits = F.coalesce(*[F.col(c).cast("string") for c in typed]).isNotNull()
@@ -216,26 +217,37 @@ def consistent_rows(feed: DataFrame, changes: DataFrame) -> DataFrame:
     return out.select("db", "tbl", "id", from_micros(F.col("ts")).alias("event_ts"), "field", "value", "kind", *typed, (F.col("value").isNotNull() & ~fits).alias("failed"))
 
 
+def newest_fields(h: "History") -> tuple[DataFrame, DataFrame]:
+    """(root, field, _lives) with the newest name of each field a table ever
+    had, by the place from which it bore the name, and (root, _db, _tbl) with
+    the newest name of each table.  Fields whose renames only messages show
+    are followed from life to life by pointer jumping; lives follow in time,
+    so no field comes back to itself."""
+    life = h.found.where("kind = 'life'").select("root", "life", "field", F.col("new_name").alias("newest"), place(F.col("ts"), F.col("seq")).alias("at"))
+    ends = h.found.where("silent and kind in ('added', 'removed')").select("root", "kind", "field", "life")
+    went = ends.where("kind = 'removed'").select("root", "field", "life")
+    came = ends.where("kind = 'added'").select("root", F.col("field").alias("new_name"), F.col("life").alias("into"))
+    links = cut(h.renames.select("root", "field", "new_name").join(went, ["root", "field"]).join(came, ["root", "new_name"]).where("life < into").groupBy("root", "life").agg(F.min("into").alias("into")))
+    while True:
+        up = links.select("root", F.col("life").alias("into"), F.col("into").alias("_up"))
+        jumped = cut(links.join(up, ["root", "into"], "left").select("root", "life", F.coalesce("_up", "into").alias("into"), F.col("_up").isNotNull().alias("_moved")))
+        links = jumped.drop("_moved")
+        if jumped.where("_moved").isEmpty():
+            break
+    last = life.groupBy("root", F.col("life").alias("into")).agg(F.max("newest").alias("_last"))
+    ended = links.join(last, ["root", "into"]).select("root", "life", "_last")
+    named = life.join(ended, ["root", "life"], "left").select("root", "field", F.struct("at", F.coalesce("_last", "newest").alias("newest")).alias("_l"))
+    lives = named.groupBy("root", "field").agg(F.array_sort(F.collect_list("_l")).alias("_lives"))
+    tables = h.found.where("kind = 'table'").select("root", F.col("db").alias("_db"), F.col("tbl").alias("_tbl"))
+    return cut(lives), cut(tables)
+
+
 def row_casts(rows: DataFrame) -> DataFrame:
     """(db, tbl, field, kind, n, failed): the casts of consistent_rows by newest
     field, and how many failed."""
     return rows.where("value is not null").groupBy("db", "tbl", "field", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("bigint")).alias("failed"))
 
 
-def newest_names(links: DataFrame) -> DataFrame:
-    """(db, scope, name, newest) from (db, scope, name, next), by pointer
-    jumping; a name that comes back to itself keeps the last before it does."""
-    at = cut(links.dropDuplicates(["db", "scope", "name"]).select("db", "scope", "name", F.col("next").alias("newest")))
-    for _ in range(MAX_HOPS):
-        up = at.select("db", "scope", F.col("name").alias("newest"), F.col("newest").alias("_up"))
-        moved = F.col("_up").isNotNull() & (F.col("_up") != F.col("name"))
-        jumped = cut(at.join(up, ["db", "scope", "newest"], "left").select("db", "scope", "name", F.when(moved, F.col("_up")).otherwise(F.col("newest")).alias("newest"), moved.alias("_moved")))
-        at = jumped.drop("_moved")
-        if jumped.where("_moved").isEmpty():
-            break
-    return at
-
-
 def _node(db: str = "db", tbl: str = "tbl", inst: str = "inst") -> Column:
     return F.concat_ws("\x01", db, tbl, F.col(inst).cast("string"))
 
@@ -245,8 +257,9 @@ def lineages(acts: DataFrame, events: DataFrame, small: bool) -> DataFrame:
     jumping; names that begin with CREATE are their own root."""
     ren = acts.where("kind = 'rename_table'").select("db", "tbl", "ts", "seq", "new_db", "new_name")
     before = _place(ren.withColumn("seq", F.col("seq") - 1), events, small).withColumn("seq", F.col("seq") + 1).select(_node().alias("root"), F.col("new_db").alias("db"), F.col("new_name").alias("tbl"), "ts", "seq")
+    # each rename makes a new bearer of the name, so no chain comes back to itself
     links = cut(_place(before, events, small).select(_node().alias("node"), "root").where("node <> root").dropDuplicates(["node"]))
-    for _ in range(MAX_HOPS):
+    while True:
         up = links.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         jumped = cut(links.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")))
         links = jumped.select("node", "root")
@@ -258,32 +271,50 @@ def lineages(acts: DataFrame, events: DataFrame, small: bool) -> DataFrame:
 # JSON kinds in which a change feed writes MySQL types; all others are text.
 _KIND_OF = {"tinyint": "i", "smallint": "i", "mediumint": "i", "int": "i", "integer": "i", "bigint": "i", "year": "i", "bit": "i", "decimal": "f", "numeric": "f", "float": "f", "double": "f", "real": "f", "json": "o"}
 
-_FOUND = "root string, db string, tbl string, kind string, field string, new_name string, silent boolean, ts bigint, seq bigint"
-_FOUND_ARROW = pa.schema([("root", pa.string()), ("db", pa.string()), ("tbl", pa.string()), ("kind", pa.string()), ("field", pa.string()), ("new_name", pa.string()), ("silent", pa.bool_()), ("ts", pa.int64()), ("seq", pa.int64())])
+_FOUND = "root string, db string, tbl string, kind string, field string, new_name string, silent boolean, ts bigint, seq bigint, life bigint"
+_FOUND_ARROW = pa.schema([("root", pa.string()), ("db", pa.string()), ("tbl", pa.string()), ("kind", pa.string()), ("field", pa.string()), ("new_name", pa.string()), ("silent", pa.bool_()), ("ts", pa.int64()), ("seq", pa.int64()), ("life", pa.int64())])
+
+
+_EVER = (-(2**62), 0)
 
 
 class _Field:
-    __slots__ = ("type", "kind", "due", "last", "gone")
+    __slots__ = ("type", "kind", "due", "last", "gone", "life", "names")
 
-    def __init__(self, type_word: str = ""):
+    def __init__(self, life: int, name: str, at: tuple = _EVER, type_word: str = ""):
         self.type, self.kind, self.due, self.last, self.gone = type_word, "", "", None, None
+        self.life, self.names = life, [(name, at)]
 
 
 class SchemaMachine:
-    """The schema of one lineage, fed with statements and epoch statistics in order."""
+    """The schema of one lineage, fed with statements and epoch statistics in
+    order.  Each field is a life, numbered as they begin, with its names."""
 
     def __init__(self):
         self.fields: dict[str, _Field] = {}
         self.known = False
         self.epoch: dict = {}
         self.name = None
+        self.table = None
+        self.lives = 0
         self.out: list = []
 
-    def tell(self, kind, field, new, silent, at):
-        self.out.append((*self.name, kind, field, new, silent, at[0], at[1]))
+    def tell(self, kind, field, new, silent, at, life=None):
+        self.out.append((*self.name, kind, field, new, silent, at[0], at[1], life))
+
+    def begin(self, name, at=_EVER, type_word=""):
+        self.lives += 1
+        self.fields[name] = _Field(self.lives, name, at, type_word)
+        return self.lives
+
+    def end(self, name):
+        state = self.fields.pop(name)
+        for n, at in state.names:
+            self.tell("life", n, state.names[-1][0], False, at, state.life)
+        return state
 
     def observe(self, name, field, kind, first, last):
-        self.name = name
+        self.name = self.table = name
         self.epoch.setdefault(field, []).append((first, last, kind))
 
     def settle(self):
@@ -295,9 +326,9 @@ class SchemaMachine:
         for f, spans in sorted(seen.items(), key=lambda x: min(s[0] for s in x[1])):
             first, last = min(s[0] for s in spans), max(s[1] for s in spans)
             if f not in self.fields:
+                life = self.begin(f, first if self.known else _EVER)
                 if self.known:
-                    self.tell("added", f, "", True, first)
-                self.fields[f] = _Field()
+                    self.tell("added", f, "", True, first, life)
             state = self.fields[f]
             state.last, state.gone = last, None
             for start, _, k in sorted(s for s in spans if s[2]):
@@ -313,8 +344,8 @@ class SchemaMachine:
 
     def vanish(self, f):
         """A field that no message has carried since is removed without a statement."""
-        state = self.fields.pop(f)
-        self.out.append((*state.gone, "removed", f, "", True, *(state.last or (-(2**62), 0))))
+        state = self.end(f)
+        self.out.append((*state.gone, "removed", f, "", True, *(state.last or (-(2**62), 0)), state.life))
 
     def retype(self, f, type_word, at):
         state = self.fields[f]
@@ -323,21 +354,23 @@ class SchemaMachine:
             state.kind, state.due = "", _KIND_OF.get(type_word, "t")
         state.type = type_word or state.type
 
-    def statement(self, name, at, a, field, new, type_word, columns):
+    def statement(self, name, at, a, field, new, type_word, columns, new_db):
         self.settle()
-        self.name = name
+        self.name = self.table = name
         if a == "create":
             if not self.fields:
-                self.fields = {c[0]: _Field(c[1]) for c in json.loads(columns)} if columns else {}
+                for c in json.loads(columns) if columns else []:
+                    self.begin(c[0], type_word=c[1])
                 self.known = columns is not None
         elif a == "add":
             if field in self.fields and self.fields[field].gone and self.fields[field].last is not None:
                 self.vanish(field)
             if field not in self.fields:
                 self.tell("added", field, "", False, at)
-                self.fields[field] = _Field(type_word)
+                self.begin(field, at, type_word)
         elif a == "drop":
-            if self.fields.pop(field, None) is not None:
+            if field in self.fields:
+                self.end(field)
                 self.tell("removed", field, "", False, at)
         elif a == "modify":
             if field in self.fields:
@@ -347,14 +380,21 @@ class SchemaMachine:
                 self.retype(field, type_word, at)
                 if new != field:
                     self.tell("renamed", field, new, False, at)
+                    if new in self.fields:
+                        self.end(new)
                     self.fields[new] = self.fields.pop(field)
+                    self.fields[new].names.append((new, at))
         elif a == "rename_table":
             self.tell("table_renamed", "", new, False, at)
+            self.table = (new_db or name[0], new)
 
     def close(self):
         self.settle()
         for f in [f for f, s in self.fields.items() if s.gone and s.last is not None]:
             self.vanish(f)
+        for f in list(self.fields):
+            self.end(f)
+        self.out.append((*(self.table or self.name), "table", "", "", False, 0, 0, None))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +412,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     epoch = None
     for batch in batches:
-        for r_root, db, tbl, ts, seq, stat, a, field, new, type_word, columns, kind, first, last in zip(*[c.to_pylist() for c in batch.columns]):
+        for r_root, db, tbl, ts, seq, stat, a, field, new, type_word, columns, new_db, kind, first, last in zip(*[c.to_pylist() for c in batch.columns]):
             if r_root != root:
                 close()
                 root, machine, epoch = r_root, SchemaMachine(), None
@@ -380,9 +420,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if epoch != (ts, seq, db, tbl):
                     machine.settle()
                     epoch = (ts, seq, db, tbl)
-                machine.observe((db, tbl), field, kind, (first["ts"], first["seq"]), (last["ts"], last["seq"]))
+                machine.observe((db, tbl), field, kind, _unplace(first), _unplace(last))
             else:
-                machine.statement((db, tbl), (ts, seq), a, field, new, type_word, columns)
+                machine.statement((db, tbl), (ts, seq), a, field, new, type_word, columns, new_db)
             if len(machine.out) > 4096:
                 out.extend((root, *r) for r in machine.out)
                 machine.out.clear()
@@ -392,19 +432,29 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def schema_changes(feed: DataFrame, id_field: str = "id", broadcast_events: int = BROADCAST_EVENTS) -> DataFrame:
-    """``db, tbl, kind, field, new_name``: every change of a field or table
-    name after CREATE TABLE, told by a statement or, without one, by messages.
+class History(NamedTuple):
+    """What a feed tells of its tables: epochs of names, lineages (node, root),
+    ``found`` (changes as statements and messages show them, lives of fields,
+    newest table names) and ``renames`` without a statement."""
 
-    Rows without db or tbl name no table and are left out; null statements and
-    bodies, malformed JSON and unreadable SQL change nothing; repeated
-    deliveries count once.  A table without CREATE starts with the fields of
-    its first epoch.  An empty feed gives no rows.
-    """
+    events: DataFrame
+    small: bool
+    links: DataFrame
+    found: DataFrame
+    renames: DataFrame
+
+
+def _rooted(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds the lineage each message belongs to."""
+    return placed.withColumn("node", _node()).join(links, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
+def history(feed: DataFrame, id_field: str = "id", broadcast_events: int = BROADCAST_EVENTS) -> History:
     named = feed.where("db is not null and tbl is not null")
     acts = cut(statements(named))
     events = cut(name_events(acts))
-    small = events.count() <= broadcast_events
+    most = events.groupBy("db", "tbl").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    small = most[0] <= broadcast_events and most[1] <= LISTED_EVENTS
     links = lineages(acts, events, small)
     placed = _place(images(named), events, small)
     by_file = file_statistics(placed)
@@ -412,16 +462,28 @@ def schema_changes(feed: DataFrame, id_field: str = "id", broadcast_events: int
     # a rename acts on the table that bore the old name before it
     acted = _place(acts, events, small)
     none = F.lit(None).cast("string")
-    at = "struct<ts:bigint,seq:bigint>"
-    rows = acted.select(_node().alias("node"), "db", "tbl", "ts", "seq", F.lit(0).alias("stat"), "pos", F.col("kind").alias("a"), "field", "new_name", "type_word", "columns", none.alias("kind"), F.lit(None).cast(at).alias("first"), F.lit(None).cast(at).alias("last"))
-    rows = rows.unionByName(stats.select(_node().alias("node"), "db", "tbl", F.col("e_ts").alias("ts"), F.col("e_seq").alias("seq"), F.lit(1).alias("stat"), F.lit(0).alias("pos"), none.alias("a"), "field", none.alias("new_name"), none.alias("type_word"), none.alias("columns"), "kind", "first", "last"))
+    at = F.lit(None).cast("decimal(38,0)")
+    rows = acted.select(_node().alias("node"), "db", "tbl", "ts", "seq", F.lit(0).alias("stat"), "pos", F.col("kind").alias("a"), "field", "new_name", "type_word", "columns", "new_db", none.alias("kind"), at.alias("first"), at.alias("last"))
+    rows = rows.unionByName(stats.select(_node().alias("node"), "db", "tbl", F.col("e_ts").alias("ts"), F.col("e_seq").alias("seq"), F.lit(1).alias("stat"), F.lit(0).alias("pos"), none.alias("a"), "field", none.alias("new_name"), none.alias("type_word"), none.alias("columns"), none.alias("new_db"), "kind", "first", "last"))
     rooted = rows.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ordered = rooted.repartition("root").sortWithinPartitions("root", "ts", "seq", "stat", "pos", "first", "field")
-    found = cut(ordered.select("root", "db", "tbl", "ts", "seq", "stat", "a", "field", "new_name", "type_word", "columns", "kind", "first", "last").mapInArrow(_fold, _FOUND))
-    renames = cut(_silent_renames(found, placed, links, id_field))
-    gone = renames.select("root", F.col("field").alias("field"), F.lit("removed").alias("kind")).unionByName(renames.select("root", F.col("new_name").alias("field"), F.lit("added").alias("kind"))).withColumn("silent", F.lit(True))
-    rest = found.join(gone, ["root", "kind", "field", "silent"], "left_anti")
-    return rest.select("db", "tbl", "kind", "field", "new_name").unionByName(renames.select("db", "tbl", F.lit("renamed").alias("kind"), "field", "new_name")).distinct()
+    found = cut(ordered.select("root", "db", "tbl", "ts", "seq", "stat", "a", "field", "new_name", "type_word", "columns", "new_db", "kind", "first", "last").mapInArrow(_fold, _FOUND))
+    return History(events, small, links, found, cut(_silent_renames(found, placed, links, id_field)))
+
+
+def schema_changes(feed: DataFrame, id_field: str = "id", broadcast_events: int = BROADCAST_EVENTS) -> DataFrame:
+    """``db, tbl, kind, field, new_name``: every change of a field or table
+    name after CREATE TABLE, told by a statement or, without one, by messages.
+
+    Rows without db or tbl name no table and are left out; null statements and
+    bodies, malformed JSON and unreadable SQL change nothing; repeated
+    deliveries count once.  A table without CREATE starts with the fields of
+    its first epoch.  An empty feed gives no rows.
+    """
+    h = history(feed, id_field, broadcast_events)
+    gone = h.renames.select("root", F.col("field").alias("field"), F.lit("removed").alias("kind")).unionByName(h.renames.select("root", F.col("new_name").alias("field"), F.lit("added").alias("kind"))).withColumn("silent", F.lit(True))
+    rest = h.found.where("kind not in ('life', 'table')").join(gone, ["root", "kind", "field", "silent"], "left_anti")
+    return rest.select("db", "tbl", "kind", "field", "new_name").unionByName(h.renames.select("db", "tbl", F.lit("renamed").alias("kind"), "field", "new_name")).distinct()
 
 
 def _silent_renames(found: DataFrame, placed: DataFrame, links: DataFrame, id_field: str) -> DataFrame:
@@ -437,7 +499,7 @@ def _silent_renames(found: DataFrame, placed: DataFrame, links: DataFrame, id_fi
     removed = nearest.where("not _comes and g_first is not null").select("root", "f", "f_last", "g_first")
     pairs = cut(removed.join(added, ["root", "g_first"]))
     tables = pairs.select("root", "f", "g", "f_last", "g_first")
-    messages = placed.withColumn("node", _node()).join(links, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tables.select("root").distinct(), "root", "left_semi")
+    messages = _rooted(placed, links).join(tables.select("root").distinct(), "root", "left_semi")
     low = F.from_json(F.lower(F.get_json_object("data_json", "$")), "map<string,string>")
     values = messages.select("root", F.struct("ts", "seq").alias("at"), low.alias("m"))
     plain = lambda name: F.regexp_replace(F.regexp_replace(F.col("m")[F.col(name)], r"(\d)t(\d)", "$1 $2"), r"(\d)z$", "$1")
@@ -453,5 +515,11 @@ def _silent_renames(found: DataFrame, placed: DataFrame, links: DataFrame, id_fi
     judged = per_id.groupBy("root", "f", "g", "g_first").agg(F.sum(F.when(both, 1).otherwise(0)).alias("n"), F.sum(F.when(both & (F.col("before") == F.col("after")), 1).otherwise(0)).alias("kept"), F.min("next").alias("next"))
     good = judged.where((F.col("next") == F.col("g_first")) & (F.col("kept") >= 1) & (F.col("kept") >= KEPT_SHARE * F.col("n")))
     rank = lambda *by: F.row_number().over(Window.partitionBy("root", *by).orderBy(F.desc("kept"), "f", "g"))
-    best = good.withColumns({"_1": rank("f"), "_2": rank("g")}).where("_1 = 1 and _2 = 1")
-    return best.join(pairs, ["root", "f", "g"]).select("root", "db", "tbl", F.col("f").alias("field"), F.col("g").alias("new_name"))
+    left, best = cut(good.select("root", "f", "g", "kept")), None
+    while True:
+        # fields that lose a name to a better pair may still find another
+        mutual = cut(left.withColumns({"_1": rank("f"), "_2": rank("g")}).where("_1 = 1 and _2 = 1").select("root", "f", "g"))
+        best = mutual if best is None else best.unionByName(mutual)
+        left = cut(left.join(mutual.select("root", "f"), ["root", "f"], "left_anti").join(mutual.select("root", "g"), ["root", "g"], "left_anti"))
+        if left.isEmpty():
+            return best.join(pairs, ["root", "f", "g"]).select("root", "db", "tbl", F.col("f").alias("field"), F.col("g").alias("new_name"))

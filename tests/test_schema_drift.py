@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from driftline.functions.ddl import actions
-from driftline.operators.schema_drift import consistent_rows, failed_casts, newest_names, row_casts, schema_changes
+from driftline.operators.schema_drift import consistent_rows, failed_casts, row_casts, schema_changes
 
 SCHEMA = "rec_no bigint, src_file string, msg_version string, stream_key string, seq_no bigint, msg_type string, db string, tbl string, event_ts timestamp_ntz, dml_op string, data_json string, ddl_sql string"
 T0 = datetime(2023, 3, 1)
@@ -105,15 +105,62 @@ def test_rows_and_casts(spark):
     f.add("dml", {"id": 3, "b": "no number"}, tbl="u", version="0.1")
     f.add("dml", {"id": 3, "b": 8}, tbl="u")
     df = spark.createDataFrame(f.rows, SCHEMA)
-    rows = consistent_rows(df, schema_changes(df)).collect()
+    rows = consistent_rows(df).collect()
     assert sorted((r.tbl, r.id, r.field, r.value) for r in rows if r.field != "id") == [("u", "1", "b", "5"), ("u", "1", "b", "6"), ("u", "2", "b", "7"), ("u", "3", "b", "8"), ("u", "3", "b", "no number")]
     assert [(r.n, r.failed) for r in failed_casts(df).where("tbl = 'u' and field = 'b'").collect()] == [(2, 1)]
 
 
-def test_newest_names(spark):
-    links = spark.createDataFrame([("d", "t", "a", "b"), ("d", "t", "b", "c"), ("d", "t", "c", "e"), ("d", "u", "a", "z"), ("d", "v", "x", "y"), ("d", "v", "y", "x")], "db string, scope string, name string, next string")
-    got = {(r.scope, r["name"]): r.newest for r in newest_names(links).collect()}
-    assert {k: v for k, v in got.items() if k[0] != "v"} == {("t", "a"): "e", ("t", "b"): "e", ("t", "c"): "e", ("u", "a"): "z"}
+def test_rows_of_a_name_used_twice(spark):
+    """A name given up and given again names two fields."""
+    f = Feed(spark)
+    f.add("ddl", "create table t (id int, a int)")
+    f.add("dml", {"id": 1, "a": 5})
+    f.add("ddl", "alter table t change a b int")
+    f.add("dml", {"id": 2, "b": 6})
+    f.add("ddl", "alter table t add a varchar(9)")
+    f.add("dml", {"id": 2, "b": 7, "a": "new"})
+    f.add("ddl", "alter table t change a c varchar(9)")
+    f.add("ddl", "alter table t change b a int")
+    f.add("dml", {"id": 3, "a": 8, "c": "x"})
+    rows = consistent_rows(spark.createDataFrame(f.rows, SCHEMA)).collect()
+    assert sorted((r.id, r.field, r.value) for r in rows if r.field != "id") == [("1", "a", "5"), ("2", "a", "6"), ("2", "a", "7"), ("2", "c", "new"), ("3", "a", "8"), ("3", "c", "x")]
+
+
+def silent(f, before, after, values):
+    for i, v in enumerate(values):
+        f.add("dml", {"id": i, **{n: v for n in before}})
+    for i, v in enumerate(values):
+        f.add("dml", {"id": i, **{n: v for n in after}}, op="update")
+
+
+def test_silent_renames(spark):
+    """Two fields of equal values renamed in one message, and one renamed twice."""
+    f = Feed(spark)
+    f.add("ddl", "create table t (id int, a int, b int)")
+    silent(f, ["a", "b"], ["x", "y"], [1, 2, 3])
+    for i, v in enumerate([1, 2, 3]):
+        f.add("dml", {"id": i, "x": v, "z": v}, op="update")
+    assert f.changes() == [("t", "renamed", "a", "x"), ("t", "renamed", "b", "y"), ("t", "renamed", "y", "z")]
+    rows = consistent_rows(spark.createDataFrame(f.rows, SCHEMA)).collect()
+    assert {r.field for r in rows} == {"id", "x", "z"}
+
+
+def test_epochs_by_list_and_by_merge(spark, monkeypatch):
+    """Few statements are listed by name, many are merged with the rows: the same results."""
+    from driftline.operators import schema_drift
+
+    f = Feed(spark)
+    f.add("ddl", "create table t (id int, a int)")
+    for k in range(6):
+        f.add("dml", {"id": k, f"a{k - 1}" if k else "a": k})
+        f.add("ddl", f"alter table t change {f'a{k - 1}' if k else 'a'} a{k} int")
+    f.add("ddl", "rename table t to u")
+    f.add("dml", {"id": 3, "a5": 1}, tbl="u")
+    df = spark.createDataFrame(f.rows, SCHEMA)
+    listed = sorted(map(tuple, schema_changes(df).collect()))
+    assert sorted(map(tuple, schema_changes(df, broadcast_events=0).collect())) == listed and len(listed) == 7
+    monkeypatch.setattr(schema_drift, "LISTED_EVENTS", 2)
+    assert sorted(map(tuple, schema_changes(df).collect())) == listed
 
 
 def test_typed_rows(spark):
@@ -126,12 +173,12 @@ def test_typed_rows(spark):
     f.add("dml", {"id": 3, "b": 2.5, "o": [1]})
     f.add("dml", {"id": 4, "b": "7", "o": "none"}, version="0.1")
     df = spark.createDataFrame([*f.rows, (99, *f.rows[1][1:])], SCHEMA)
-    rows = consistent_rows(df, schema_changes(df)).collect()
+    rows = consistent_rows(df).collect()
     got = {(r.id, r.field): (r.kind, r.as_int, r.as_json, r.failed) for r in rows}
     assert len(rows) == len(got) == 12
     assert [got[str(i), "b"] for i in (1, 2, 3, 4)] == [("i", 5, None, False), ("i", 6, None, False), ("i", None, None, True), ("i", 7, None, False)]
     assert got["1", "o"] == ("o", None, '{"x":1}', False) and got["4", "o"] == ("o", None, None, True)
-    assert {(r.field, r.n, r.failed) for r in row_casts(consistent_rows(df, schema_changes(df))).collect()} == {("id", 4, 0), ("b", 4, 1), ("o", 4, 1)}
+    assert {(r.field, r.n, r.failed) for r in row_casts(consistent_rows(df)).collect()} == {("id", 4, 0), ("b", 4, 1), ("o", 4, 1)}
 
 
 def test_casts_of_each_kind(spark):

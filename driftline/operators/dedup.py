@@ -13,11 +13,12 @@ hand: the filter grows with the data.
 from __future__ import annotations
 
 import math
-import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.session import cut
+
 _ID = r"([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})[^0-9a-f]*:\s*0*([0-9]+)\s*$"
 IDS_PER_WORD = 4
 
@@ -43,6 +44,11 @@ def _hashed(df: DataFrame, n_words: int) -> DataFrame:
     )
 
 
+def _identified(df: DataFrame, record: str, msg_id: Column, tag: Column, at: Column) -> DataFrame:
+    """(_rec, _id, _tag, _at); a null tag is a tag of its own."""
+    return df.select(F.col(record).alias("_rec"), gtid(msg_id).alias("_id"), F.coalesce(F.concat(F.lit("t"), tag.cast("string")), F.lit("")).alias("_tag"), at.cast("bigint").alias("_at"))
+
+
 def bloom_filter(hashed: DataFrame) -> DataFrame:
     """(_w, _b, bits): one Bloom filter for each time bucket _b."""
     return hashed.groupBy("_w", "_b").agg(F.bit_or("_m").alias("bits"))
@@ -60,54 +66,92 @@ def repeated_records(df: DataFrame, record: str, msg_id: Column, tag: Column, at
     ``at`` (epoch seconds) is cut into buckets of ``bucket_s``, folded onto
     ``max_buckets``; all buckets are compared, so no horizon hides a copy.
     """
-    ids = df.select(F.col(record).alias("_rec"), gtid(msg_id).alias("_id"), F.coalesce(F.concat(F.lit("t"), tag.cast("string")), F.lit("")).alias("_tag"), at.cast("bigint").alias("_at")).where("_id is not null")
+    ids = _identified(df, record, msg_id, tag, at).where("_id is not null")
     n_words = max(64, 2 ** math.ceil(math.log2(max(1, df.count()) / IDS_PER_WORD)))
     bucket = F.coalesce(F.pmod(F.floor(F.col("_at") / bucket_s), F.lit(max_buckets)), F.lit(-1)).cast("int")
     hashed = _hashed(ids.withColumn("_b", bucket), n_words)
-    # one row an identity and bucket: a hot identity collapses on the map side
-    seen = hashed.groupBy("_w", "_b", "_h", "_m").agg(F.count(F.lit(1)).alias("_n")).repartition("_w")
+    # one narrow row an identity and bucket: a hot identity collapses on the map side
+    seen = cut(hashed.groupBy("_w", "_b", "_h", "_m").agg(F.count(F.lit(1)).alias("_n")))
     filters = bloom_filter(seen).groupBy("_w").agg(F.collect_list(F.struct("_b", "bits")).alias("_f"))
-    screened = seen.join(filters, "_w").where(
-        (F.col("_n") > 1) | F.exists("_f", lambda f: (f["_b"] != F.col("_b")) & (f["bits"].bitwiseAND(F.col("_m")) == F.col("_m")))
-    )
-    possible = hashed.join(screened.select("_b", "_h"), ["_b", "_h"], "left_semi").select("_rec", "_id", "_tag", "_at")
+    elsewhere = F.exists("_f", lambda f: (f["_b"] != F.col("_b")) & (f["bits"].bitwiseAND(F.col("_m")) == F.col("_m")))
+    twice = seen.where("_n > 1").select("_b", "_h")
+    screened = seen.where("_n = 1").join(filters, "_w").where(elsewhere).select("_b", "_h")
+    # only what the filters couldn't clear is read with its whole identity
+    possible = cut(hashed.join(twice.unionByName(screened), ["_b", "_h"], "left_semi").select("_rec", "_id", "_tag", "_at"))
     first = possible.groupBy("_tag", "_id").agg(F.min_by("_rec", F.struct(F.col("_at").isNull(), "_at", "_rec")).alias("kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return possible.join(first, ["_tag", "_id"]).where("_rec <> kept").select(F.col("_rec").alias(record), "kept")
 
 
 class MessageStore:
     """Identities seen so far, on a shared folder, for batches that arrive one
-    after another (``foreachBatch``): ``ids`` holds (tag, id) by time bucket,
-    ``filters`` the Bloom words of each bucket.  A batch that was applied
-    before (same ``batch_id``) is read from the store again, not applied
-    twice.  Here the first copy delivered stays, as a later one cannot call
-    back what was passed on."""
+    after another (``foreachBatch``): ``ids`` holds (tag, id) in a folder for
+    each time bucket, ``filters`` the Bloom words of each bucket.  A batch
+    reads the filters, then ids of the buckets alone that they name.  A batch
+    that was applied before (same ``batch_id``) is read from the store again,
+    not applied twice.  Here the first copy delivered stays, as a later one
+    cannot call back what was passed on.  ``compact`` joins the files of many
+    batches; run it every some dozens of batches."""
 
     def __init__(self, path: str, n_words: int = 1 << 20, bucket_s: int = 3600):
         self.path, self.n_words, self.bucket_s = path.rstrip("/"), n_words, bucket_s
 
-    def _read(self, spark, part: str, schema: str) -> DataFrame:
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        there = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, part)))
-        if not there:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(os.path.join(self.path, part))
+    def _folders(self, spark: SparkSession, kind: str) -> dict[int, str]:
+        """Number to folder of the whole ones below ``kind``."""
+        jvm = spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return {}
+        names = [x.getPath().getName() for x in fs.listStatus(top)]
+        return {int(n.partition("=")[2]): f"{self.path}/{kind}/{n}" for n in names if "=" in n and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/filters/_SUCCESS"))}
+
+    def _stored(self, spark: SparkSession, before: int) -> tuple[DataFrame, DataFrame]:
+        """(ids, filters) of all batches but those from ``before`` on."""
+        base = self._folders(spark, "base")
+        upto = max((n for n in base if n < before), default=None)
+        parts = ([base[upto]] if upto is not None else []) + [p for n, p in sorted(self._folders(spark, "batch").items()) if n < before and (upto is None or n > upto)]
+        ids = spark.createDataFrame([], "_tag string, _id string, _h bigint, _b bigint")
+        filters = spark.createDataFrame([], "_w bigint, _b bigint, bits bigint")
+        for p in parts:
+            ids = ids.unionByName(spark.read.schema("_tag string, _id string, _h bigint, _b bigint").parquet(f"{p}/ids"))
+            filters = filters.unionByName(spark.read.schema("_w bigint, _b bigint, bits bigint").parquet(f"{p}/filters"))
+        return ids, filters
+
+    def _write(self, ids: DataFrame, folder: str) -> DataFrame:
+        """Buckets are folders, filters are made from what was written; their success tells that all is whole."""
+        spark = ids.sparkSession
+        ids.select("_tag", "_id", "_h", "_b").repartition("_b", F.pmod("_h", F.lit(16))).write.mode("overwrite").partitionBy("_b").parquet(f"{folder}/ids")
+        kept = spark.read.schema("_tag string, _id string, _h bigint, _b bigint").parquet(f"{folder}/ids")
+        _hashed(kept, self.n_words).groupBy("_w", "_b").agg(F.bit_or("_m").alias("bits")).write.mode("overwrite").parquet(f"{folder}/filters")
+        return kept
+
+    def matching(self, stored: DataFrame, filters: DataFrame, hashed: DataFrame) -> DataFrame:
+        """Stored ids of the buckets that the filters name for ``hashed``.
+        Bucket numbers, one an hour or so of data, are collected, so only
+        their folders are listed and read."""
+        named = cut(filters.withColumnRenamed("_b", "_sb").join(hashed.select("_w", "_h", "_m"), "_w").where(F.col("bits").bitwiseAND(F.col("_m")) == F.col("_m")).select(F.col("_sb").alias("_b"), "_h").distinct())
+        buckets = [r[0] for r in named.select("_b").distinct().collect()]
+        return stored.where(F.col("_b").isin(buckets)).join(named, ["_b", "_h"], "left_semi")
 
     def new_messages(self, batch: DataFrame, record: str, msg_id: Column, tag: Column, at: Column, batch_id: int) -> DataFrame:
         """Rows of ``batch`` that were not delivered before, one of each."""
         spark = batch.sparkSession
-        ids = batch.select(F.col(record).alias("_rec"), gtid(msg_id).alias("_id"), F.coalesce(F.concat(F.lit("t"), tag.cast("string")), F.lit("")).alias("_tag"), at.cast("bigint").alias("_at"))
+        ids = _identified(batch, record, msg_id, tag, at)
         known = ids.where("_id is not null")
         first = known.groupBy("_tag", "_id").agg(F.min(F.struct(F.col("_at").isNull(), "_at", "_rec")).alias("_s")).select("_tag", "_id", F.col("_s._rec").alias("_rec"), F.coalesce(F.floor(F.col("_s._at") / self.bucket_s), F.lit(-1)).cast("bigint").alias("_b"))
         hashed = _hashed(first, self.n_words)
-        filters = self._read(spark, "filters", "_w bigint, _b bigint, bits bigint, batch_id bigint").where(F.col("batch_id") != batch_id)
-        stored = self._read(spark, "ids", "_tag string, _id string, _h bigint, _b bigint, batch_id bigint").where(F.col("batch_id") != batch_id)
-        matching = filters.withColumnRenamed("_b", "_sb").join(hashed.select("_w", "_h", "_m"), "_w").where(F.col("bits").bitwiseAND(F.col("_m")) == F.col("_m")).select(F.col("_sb").alias("_b"), "_h").distinct()
-        repeats = stored.join(matching, ["_b", "_h"], "left_semi").select("_tag", "_id").distinct()
-        fresh = hashed.join(repeats, ["_tag", "_id"], "left_anti")
-        where = f"batch_id={batch_id}"
-        fresh.select("_tag", "_id", "_h", "_b").repartition("_b").write.mode("overwrite").parquet(f"{self.path}/ids/{where}")
-        kept = spark.read.parquet(f"{self.path}/ids/{where}")
-        _hashed(kept, self.n_words).groupBy("_w", "_b").agg(F.bit_or("_m").alias("bits")).write.mode("overwrite").parquet(f"{self.path}/filters/{where}")
+        stored, filters = self._stored(spark, batch_id)
+        repeats = self.matching(stored, filters, hashed).select("_tag", "_id").distinct()
+        kept = self._write(hashed.join(repeats, ["_tag", "_id"], "left_anti"), f"{self.path}/batch/batch_id={batch_id}")
         out = first.join(kept.select("_tag", "_id"), ["_tag", "_id"], "left_semi").select("_rec").unionByName(ids.where("_id is null").select("_rec"))
         return batch.join(out.withColumnRenamed("_rec", record), record, "left_semi")
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        """Joins all batches up to ``upto``, which can't come again, into one
+        base with one set of files a bucket, and removes theirs."""
+        stored, _ = self._stored(spark, upto + 1)
+        old = {**{("batch", n): p for n, p in self._folders(spark, "batch").items() if n <= upto}, **{("base", n): p for n, p in self._folders(spark, "base").items() if n < upto}}
+        self._write(stored, f"{self.path}/base/upto={upto}")
+        for p in old.values():
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)

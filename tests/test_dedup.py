@@ -56,3 +56,24 @@ def test_store(spark, tmp_path):
     assert new(one, 0) == [1, 3]
     assert new(two, 1) == [5, 6]
     assert new(two, 1) == [5, 6]  # run again
+
+
+def test_store_reads_matching_buckets_only(spark, tmp_path):
+    """Ids lie in a folder a bucket; compaction keeps what is known."""
+    store = MessageStore(str(tmp_path / "s"), n_words=1 << 12)
+    row = lambda i, k, at: (i, f"{U}:{k}", "a", at)
+    new = lambda rows, i: sorted(r.rec_no for r in store.new_messages(spark.createDataFrame(rows, SCHEMA), "rec_no", F.col("msg_id"), F.col("msg_tag"), F.col("msg_time"), i).collect())
+    assert new([row(k, k, 3600 * k) for k in range(20)], 0) == list(range(20))
+    assert new([row(30, 7, 5), row(31, 50, 5)], 1) == [31]
+    stored, filters = store._stored(spark, 2)
+    from driftline.operators.dedup import _hashed, _identified
+
+    probe = _hashed(_identified(spark.createDataFrame([row(40, 7, 0)], SCHEMA), "rec_no", F.col("msg_id"), F.col("msg_tag"), F.col("msg_time")), store.n_words)
+    read = store.matching(stored, filters, probe)
+    assert [r["_b"] for r in read.collect()] == [7]
+    assert all("_b=7/" in f for f in stored.where("_b = 7").inputFiles() if "_b=" in f) or "PartitionFilters" in read._jdf.queryExecution().toString()
+    store.compact(spark, 1)
+    assert set(store._folders(spark, "batch")) == set() and set(store._folders(spark, "base")) == {1}
+    assert new([row(60, 50, 9), row(61, 7, 9), row(62, 99, 9)], 2) == [62]
+    store.compact(spark, 2)
+    assert new([row(70, 99, 9), row(71, 19, 9)], 3) == []

@@ -13,6 +13,18 @@ from driftline.functions.names import plain_op
 from driftline.operators import apply, filters, routing
 
 
+# Fixed value: letters and digits of a name that spell no word.
+SAFE_LETTERS = "bcdfghjklmnpqrstvwxz2456789"
+
+
+def config_hash(text: str) -> str:
+    """FNV-1a of 32 bits as a decimal number, each digit in a safe letter."""
+    h = 0x811C9DC5
+    for b in text.encode():
+        h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
+    return "".join(SAFE_LETTERS[ord(c) % len(SAFE_LETTERS)] for c in str(h))
+
+
 @dataclass
 class Pipeline:
     """name, input, filters in order, output with its routes and engine."""
@@ -43,10 +55,7 @@ class Pipeline:
 
     def hash(self) -> str:
         """Short digest of the settings, to see that they changed."""
-        h = 0x811C9DC5
-        for b in json.dumps([self.input, self.filters, self.output], sort_keys=True).encode():
-            h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-        return f"{h:x}"
+        return config_hash(json.dumps([self.input, self.filters, self.output], sort_keys=True))
 
     def transform(self, changes: DataFrame) -> DataFrame:
         """Filters, then routes to tables."""

@@ -55,6 +55,20 @@ def latency_bucket(seconds: Column, least: float = 0.0005) -> Column:
 
 
 def range_partition(i: Column, n_members: int, n_partitions: int) -> Column:
-    """The member that owns partition i when partitions are cut into even ranges."""
-    share = n_partitions / n_members
-    return F.least(F.floor((i + 0.5) / share), F.lit(n_members - 1)).cast("int")
+    """The member that owns partition i when member m takes the range from
+    round(m * share) to round((m + 1) * share), halves rounded up.  In whole
+    numbers: the last m with m * share < i + 1/2."""
+    return (F.ceil((2 * i + 1) * F.lit(n_members) / F.lit(2 * n_partitions)) - 1).cast("int")
+
+
+def round_robin(i: Column, n_members: int) -> Column:
+    """The member that owns partition i when members take turns."""
+    return F.pmod(i, F.lit(n_members)).cast("int")
+
+
+def compare_positions(name_a: Column, pos_a: Column, name_b: Column, pos_b: Column, deviation: int = 0) -> Column:
+    """-1, 0 or 1: log positions by file name, then by offset; offsets no
+    further apart than ``deviation`` are equal.  Null where one is."""
+    by_name = F.when(name_a < name_b, -1).when(name_a > name_b, 1)
+    by_pos = F.when(F.abs(pos_a - pos_b) <= deviation, 0).when(pos_a < pos_b, -1).when(pos_a > pos_b, 1)
+    return F.when(name_a.isNull() | name_b.isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(by_name, by_pos)).cast("int")

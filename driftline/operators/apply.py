@@ -147,13 +147,46 @@ def conflicts_kept(df: DataFrame, keys: Sequence[str], order: str, image: str, o
     return src.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
-def conflict_preview(df: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``verdict`` (ok, conflict) against a target: inserts must not be
-    there, updates and deletes must."""
-    there = target.select(*keys).distinct().withColumn("_t", F.lit(True))
-    joined = df.join(there, list(keys), "left")
-    bad = F.when(F.col("op") == "insert", F.col("_t").isNotNull()).otherwise(F.col("_t").isNull())
-    return joined.withColumn("verdict", F.when(bad, "conflict").otherwise("ok")).drop("_t")
+def conflict_preview(df: DataFrame, target: DataFrame, keys: Sequence[str], unique: Sequence[Sequence[str]] = (), old: dict[str, Column] | None = None, deletes: bool = True) -> DataFrame:
+    """Adds ``verdict`` (ok, conflict, skipped) against a target.  An insert
+    must find no row with its key or any of its ``unique`` keys (nulls never
+    clash); an update must find a row as its ``old`` image says (column to
+    value, null equal to null; without one: its key) and, where its new image
+    differs, none that is as the new one; a delete must find its row, and is
+    skipped without ``deletes``."""
+    old = old or {}
+    columns = list(old)
+    out = df.withColumns({f"_old_{c}": v for c, v in old.items()})
+    flags = []
+
+    def probe(out: DataFrame, names: dict[str, Column], flag: str, nulls: bool) -> DataFrame:
+        """``flag``: the target has a row with these values."""
+        there = target.select(*[F.col(c).alias(f"_t_{c}") for c in names]).distinct().withColumn(flag, F.lit(True))
+        on = F.lit(True)
+        for c, v in names.items():
+            on = on & (v.eqNullSafe(F.col(f"_t_{c}")) if nulls else v == F.col(f"_t_{c}"))
+        flags.append(flag)
+        return out.join(there, on, "left").drop(*[f"_t_{c}" for c in names])
+
+    for i, u in enumerate([keys, *unique]):
+        out = probe(out, {c: F.col(c) for c in u}, f"_u{i}", False)
+    clash = F.lit(False)
+    for i in range(1 + len(unique)):
+        clash = clash | F.col(f"_u{i}").isNotNull()
+    lacks = F.col("_u0").isNull()
+    moved = F.lit(False)
+    if old:
+        out = probe(out, {c: F.col(f"_old_{c}") for c in columns}, "_before", True)
+        out = probe(out, {c: F.col(c) for c in columns}, "_after", True)
+        changed = F.lit(False)
+        for c in columns:
+            changed = changed | ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
+        moved = F.col("_before").isNull() | (changed & F.col("_after").isNotNull())
+    bad = F.when(F.col("op") == "insert", clash).when(F.col("op") == "update", moved if old else lacks).otherwise(lacks)
+    verdict = F.when(bad, "conflict").otherwise("ok")
+    if not deletes:
+        verdict = F.when(F.col("op") == "delete", "skipped").otherwise(verdict)
+    return out.withColumn("verdict", verdict).drop(*flags, *[f"_old_{c}" for c in columns])
 
 
 def delete_by_key(target: DataFrame, deletes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from driftline.operators.ordering import running
 
 
-def split_key_updates(df: DataFrame, key_changed: Column) -> DataFrame:
-    """An update that changes the key becomes a delete of the old row and an
-    insert of the new one; ``sub`` orders them."""
-    both = F.array(F.struct(F.lit(0).alias("sub"), F.lit("delete").alias("op")), F.struct(F.lit(1).alias("sub"), F.lit("insert").alias("op")))
-    one = F.array(F.struct(F.lit(0).alias("sub"), F.col("op").alias("op")))
-    split = (F.col("op") == "update") & F.coalesce(key_changed, F.lit(False))
-    return df.withColumn("_s", F.explode(F.when(split, both).otherwise(one))).withColumns({"sub": F.col("_s.sub"), "op": F.col("_s.op")}).drop("_s")
+def split_key_updates(df: DataFrame, old: dict[str, Column], keys: Sequence[str]) -> DataFrame:
+    """An update that changes the key becomes a delete with the old key and
+    image and an insert with the new ones; ``sub`` orders them.  ``old`` gives
+    the old image: column name to its value before; columns it lacks are the
+    same on both rows.  Null keys compare as values."""
+    moved = F.lit(False)
+    for k in keys:
+        moved = moved | ~F.col(k).eqNullSafe(old[k])
+
+    def row(sub: int, op: Column, image) -> Column:
+        return F.struct(F.lit(sub).alias("sub"), op.alias("op"), *[image(c).alias(c) for c in old])
+
+    both = F.array(row(0, F.lit("delete"), lambda c: old[c]), row(1, F.lit("insert"), F.col))
+    one = F.array(row(0, F.col("op"), F.col))
+    split = F.explode(F.when((F.col("op") == "update") & moved, both).otherwise(one))
+    return df.withColumn("_s", split).withColumns({c: F.col(f"_s.{c}") for c in ("sub", "op", *old)}).drop("_s")
 
 
 def transaction_batches(df: DataFrame, txn: str, order: str, limit: int = 1024) -> DataFrame:

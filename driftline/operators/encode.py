@@ -53,10 +53,38 @@ def json_v20(db: Column, tbl: Column, op: Column, ts: Column, data: Column, old:
     )
 
 
-def mongo_json(version: str, op: Column, ns: Column, data: Column, row: Column) -> Column:
-    """Document changes: version 0.1 carries the change, later ones the row too."""
-    parts = [F.lit(version).alias("version"), op.alias("op"), ns.alias("ns"), data.alias("data")]
-    return F.to_json(F.struct(*parts, *([] if version == "0.1" else [row.alias("row")])), KEEP_NULLS)
+def embedded(document: Column) -> Column:
+    """A JSON document held as text, to stand within other JSON; null is
+    ``null``, text that is no JSON becomes a JSON string."""
+    return F.when(document.isNull(), "null").when(F.try_parse_json(document).isNotNull(), document).otherwise(_string(document))
+
+
+def _object(*parts: tuple[str, Column]) -> Column:
+    out = []
+    for k, (name, value) in enumerate(parts):
+        out += [F.lit(("{" if k == 0 else ",") + f'"{name}":'), value]
+    return F.concat(*out, F.lit("}"))
+
+
+def _string(c: Column) -> Column:
+    json = F.to_json(F.struct(c.alias("v")), KEEP_NULLS)
+    return json.substr(F.lit(6), F.length(json) - 6)
+
+
+def mongo_json(version: str, db: Column, coll: Column, data: Column, row: Column, source: Column | None = None, doc_id: Column | None = None, op: Column | None = None, from_query: Column | None = None) -> Column:
+    """Document changes.  Version 0.1 embeds the log entry (``_id``,
+    operation, namespace, data, row, source) and names the server it came
+    from; version 2.0.alpha carries change and row.  Documents keep their
+    text."""
+    none = F.lit(None).cast("string")
+    head = [("version", F.lit(f'"{version}"')), ("database", _string(db)), ("collection", _string(coll))]
+    if version == "2.0.alpha":
+        return _object(*head, ("data", embedded(data)), ("row", embedded(row)))
+    if version != "0.1":
+        raise ValueError(f"unknown version {version!r}")
+    number = F.coalesce((F.lit(0) if from_query is None else from_query).cast("int").cast("string"), F.lit("null"))
+    entry = _object(("_id", _string(none if doc_id is None else doc_id)), ("operation", _string(none if op is None else op)), ("namespace", _string(F.concat(db, F.lit("."), coll))), ("data", embedded(data)), ("row", embedded(row)), ("source", number))
+    return _object(*head, ("unique_source_name", _string(F.lit("") if source is None else source)), ("oplog", entry))
 
 
 def protobuf(value: Column, message: str, descriptor: str) -> Column:

@@ -33,6 +33,10 @@ def _stamp(row_ts, row_seq, row_src):
     return (_NONE[0] if row_ts is None else row_ts, _NONE[1] if row_seq is None else row_seq, row_src or "")
 
 
+def _text(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
 class RowMachine:
     """State of one key: last change, last reset (insert or delete) and, with
     ``partial``, the columns set since then, each with its stamp."""
@@ -43,24 +47,35 @@ class RowMachine:
         self.partial = partial
         self.last, self.op, self.seq, self.data, self.reset, self.cols = _NONE, None, None, None, _NONE, {}
 
+    def _set(self, name, at, value) -> None:
+        """The later value stays; of repeats that differ, the one of the least
+        JSON text, so that it doesn't matter which came first."""
+        old = self.cols.get(name)
+        if old is None or at > old[0] or (at == old[0] and value != old[1] and _text(value) < _text(old[1])):
+            self.cols[name] = (at, value)
+
     def change(self, at, op, seq, data) -> None:
-        """Apply a raw change; one that was applied already is skipped."""
-        if self.op is not None and at <= self.last:
+        """Apply a raw change; of one that was applied already only a lesser text counts."""
+        repeat = self.op is not None and at == self.last
+        if self.op is not None and at < self.last:
             return
-        self.last, self.op, self.seq = at, op, seq
+        if not repeat:
+            self.last, self.op, self.seq = at, op, seq
         if not self.partial:
-            self.data = None if op == "delete" else data
+            data = None if op == "delete" else data
+            self.data = data if not repeat or self.data is None or (data is not None and data < self.data) else self.data
             return
-        if op != "update":
+        if op != "update" and not repeat:
             self.reset, self.cols = at, {}
         if op != "delete" and data:
             try:
                 row = json.loads(data)
             except ValueError:
                 row = None
-            if isinstance(row, dict):
-                for k, v in row.items():
-                    self.cols[k] = (at, v)
+            # a pair is the row's image before and after its key changed
+            parts = [p for p in (row if isinstance(row, list) else [row]) if isinstance(p, dict)]
+            for k, v in {k: v for p in parts for k, v in p.items()}.items():
+                self._set(k, at, v)
 
     def merge(self, at, op, seq, data) -> None:
         """Merge the state of another partition."""
@@ -69,10 +84,8 @@ class RowMachine:
             reset, cols = json.loads(data)
             self.reset = max(self.reset, tuple(reset))
             for k, (c_at, v) in cols.items():
-                c_at = tuple(c_at)
-                if k not in self.cols or c_at > self.cols[k][0]:
-                    self.cols[k] = (c_at, v)
-        elif newer:
+                self._set(k, tuple(c_at), v)
+        elif newer or (at == self.last and data is not None and (self.data is None or data < self.data)):
             self.data = data
         if newer:
             self.last, self.op, self.seq = at, op, seq
@@ -138,7 +151,8 @@ def replay_changes(
     ``op`` is ``insert``, ``update`` or ``delete``; any other value and null
     are no changes.  Changes apply in the order of (``ts``, ``seq``,
     ``source``), nulls first; a second change of a key with the same stamp is
-    a repeat and is skipped.  ``data`` is a JSON object (null: nothing).  With
+    a repeat and changes nothing (if it differs, the least JSON text of each
+    column stands, whichever came first).  ``data`` is a JSON object (null: nothing).  With
     ``partial`` an update sets only the columns it carries, an insert starts
     the row anew; otherwise the last image stands as it came.  An update of a
     row that does not exist makes it.  Malformed JSON sets nothing.  Null key
@@ -172,8 +186,10 @@ def keyed_changes(feed: DataFrame, with_data: bool = True) -> DataFrame:
     data_json), one row per row key touched: an update whose old image holds
     another primary key also ends the row of the old key.  Names are in
     canonical form.  Messages that are no dml, lack a name, or whose key is
-    missing or not a JSON object touch no row.  Without ``with_data`` the
-    bodies are null and not read."""
+    missing or not a JSON object touch no row.  The row under the new key is
+    begun anew (``insert``) with the old image and what the update sets, as a
+    pair ``[old, new]``; columns that neither carries are unknown to the feed.
+    Without ``with_data`` the bodies are null and not read."""
     from driftline.functions.names import key_entries, key_text, plain_name, plain_op
 
     dml = feed.where(plain_op(F.col("msg_type")) == "dml").select(
@@ -186,6 +202,7 @@ def keyed_changes(feed: DataFrame, with_data: bool = True) -> DataFrame:
         (F.col("data_json") if with_data else F.lit(None).cast("string")).alias("data_json"),
         key_entries(F.col("pks_json")).alias("_new"),
         F.when(plain_op(F.col("dml_op")) == "update", F.from_json("old_json", "map<string,string>")).alias("_old"),
+        (F.col("old_json") if with_data else F.lit(None).cast("string")).alias("_before"),
     )
     old_key = F.transform(
         F.col("_new"),
@@ -196,9 +213,10 @@ def keyed_changes(feed: DataFrame, with_data: bool = True) -> DataFrame:
     )
     moved = F.col("_old_pk").isNotNull() & (F.col("_old_pk") != F.col("pk"))
     this = F.struct(F.col("pk"), F.col("op"), F.col("data_json"))
+    begun = F.struct(F.col("pk"), F.lit("insert").alias("op"), F.concat(F.lit("["), "_before", F.lit(","), F.coalesce("data_json", F.lit("null")), F.lit("]")).alias("data_json"))
     ended = F.struct(F.col("_old_pk").alias("pk"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("data_json"))
     # tested here: as a filter it would be pushed down and parse the key once more
-    touched = F.when(F.size("_new") > 0, F.when(moved, F.array(this, ended)).otherwise(F.array(this)))
+    touched = F.when(F.size("_new") > 0, F.when(moved, F.array(begun, ended)).otherwise(F.array(this)))
     return keyed.select("db", "tbl", "event_ts", "seq_no", "stream_key", F.explode(touched).alias("_c")).select(
         "db", "tbl", "_c.pk", "event_ts", "seq_no", "stream_key", "_c.op", "_c.data_json"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.glob import glob_matches
+from driftline.functions.mysql_types import mysql_type
 from driftline.operators.apply import replace_rows
 
 
@@ -90,7 +91,7 @@ def sampled_bounds(df: DataFrame, key: str, chunks: int, sample: float = 0.05, t
 
 def table_message(name: str, df: DataFrame, key: Sequence[str] = ()) -> str:
     """The statement that makes a table for a snapshot, told before its rows."""
-    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    cols = [f"`{f.name}` {mysql_type(f.dataType, f.name in key)}" for f in df.schema]
     tail = [f"PRIMARY KEY ({', '.join(f'`{k}`' for k in key)})"] if key else []
     return f"CREATE TABLE IF NOT EXISTS `{name}` ({', '.join(cols + tail)})"
 

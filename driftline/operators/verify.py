@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.times import micros
@@ -20,21 +21,40 @@ def range_counts(source: DataFrame, target: DataFrame, key: str, width: int) ->
 
 
 def bisect_counts(source: DataFrame, target: DataFrame, key: str, lo: int, width: int, levels: int) -> DataFrame:
-    """(lvl, b, lo, hi, diff) of all ranges of a bisection whose counts differ,
-    from one count of the finest ranges rolled up."""
+    """(lvl, b, lo, hi, src, tgt, diff) of all ranges of a bisection whose
+    counts differ, from one count of the finest ranges rolled up."""
     fine = width >> levels
-    diffs = range_counts(source.withColumn("_k", F.col(key) - lo), target.withColumn("_k", F.col(key) - lo), "_k", fine).select("b", "diff")
-    spread = diffs.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("b", F.expr(f"cast(floor(b / power(2, {levels} - lvl)) as bigint)"))
-    per = spread.groupBy("lvl", "b").agg(F.sum("diff").alias("diff")).where("diff <> 0")
-    size = F.expr(f"cast({width} / power(2, lvl) as bigint)")
-    return per.withColumns({"lo": F.lit(lo) + F.col("b") * size, "hi": F.lit(lo) + (F.col("b") + 1) * size - 1})
+    count = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(F.floor((F.col(key) - lo) / fine).cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias(n))
+    both = count(source, "src").join(count(target, "tgt"), "b", "full_outer").na.fill(0, ["src", "tgt"])
+    spread = both.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("b", F.expr(f"shiftright(b, {levels} - lvl)"))
+    per = spread.groupBy("lvl", "b").agg(F.sum("src").alias("src"), F.sum("tgt").alias("tgt")).withColumn("diff", F.col("tgt") - F.col("src")).where("diff <> 0")
+    size = F.expr(f"shiftright({width}L, lvl)")
+    return per.withColumns({"lo": F.lit(lo) + F.col("b") * size, "hi": F.lit(lo) + (F.col("b") + 1) * size - 1}).select("lvl", "b", "lo", "hi", "src", "tgt", "diff")
+
+
+def _ancestors(ranges: DataFrame) -> DataFrame:
+    """Each range with every wider range around it (_lvl, _b), a row a level."""
+    wider = F.when(F.col("lvl") > 0, F.sequence(F.lit(0), F.col("lvl") - 1)).otherwise(F.array().cast("array<int>"))
+    return ranges.withColumn("_lvl", F.explode(wider)).withColumn("_b", F.expr("shiftright(b, lvl - _lvl)"))
+
+
+def visited_ranges(ranges: DataFrame, narrow: int = 10, few: int = 20, small: int = 10) -> DataFrame:
+    """The ranges that a bisection from the widest one looks at: it goes on
+    below a range whose counts differ, unless the range holds fewer than
+    ``narrow`` numbers more than one or both counts are below ``few``, and its
+    signed difference is below ``small``."""
+    stops = (((F.col("hi") - F.col("lo") < narrow) | ((F.col("src") < few) & (F.col("tgt") < few))) & (F.col("diff") < small)) | (F.col("lo") == F.col("hi"))
+    split = ranges.where(~stops).select(F.col("lvl").alias("_lvl"), F.col("b").alias("_b"))
+    above = _ancestors(ranges).join(split, ["_lvl", "_b"]).groupBy("lvl", "b").agg(F.count(F.lit(1)).alias("_n"))
+    return ranges.join(above, ["lvl", "b"], "left").where(F.coalesce("_n", F.lit(0)) == F.col("lvl")).drop("_n")
 
 
 def prune_ranges(ranges: DataFrame) -> DataFrame:
-    """Drops a range if a range within it has the same difference: its parent
-    on the next level up is looked up by key, no ranges are compared pairwise."""
-    child = ranges.select((F.col("lvl") - 1).alias("lvl"), F.floor(F.col("b") / 2).cast("bigint").alias("b"), "diff").distinct()
-    return ranges.join(child, ["lvl", "b", "diff"], "left_anti")
+    """Drops a range if any range within it, on whatever level, has the same
+    difference: each range names the wider ones around it, at most one a
+    level, so no ranges are compared pairwise."""
+    inner = _ancestors(ranges).select(F.col("_lvl").alias("lvl"), F.col("_b").alias("b"), "diff").distinct()
+    return ranges.join(inner, ["lvl", "b", "diff"], "left_anti")
 
 
 def table_set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -55,6 +75,30 @@ def segments(messages: DataFrame, tag: str, seq: str, barrier: str) -> DataFrame
     return running(messages, [tag], [seq], F.col(seq), seg=("last", F.col(barrier)))
 
 
+def barrier_errors(messages: DataFrame, tag: str, seq: str, barrier: str) -> DataFrame:
+    """(tag, seq, error): the first message of a tag that is no barrier
+    (``no first barrier``), and barriers that aren't one above the barrier
+    before them in their tag (``jump``)."""
+    seen = running(messages.select(tag, seq, barrier), [tag], [seq], F.col(seq), _n=("row_number",), _last=("last", F.col(barrier)))
+    seen = running(seen, [tag], [seq], F.col(seq), _before=("lag", F.col("_last")))
+    error = F.when((F.col("_n") == 1) & F.col(barrier).isNull(), "no first barrier").when(F.col(barrier) != F.col("_before") + 1, "jump")
+    return seen.select(tag, seq, error.alias("error")).where("error is not null")
+
+
+def barriers(spark: SparkSession, first: int, last: int, start: datetime, every_s: float = 1.0) -> DataFrame:
+    """(id, offset, ts): what a barrier generator writes, a counter that is one
+    higher each tick."""
+    micros_each = int(every_s * 1_000_000)
+    at = F.timestamp_micros(F.lit(int(start.timestamp() * 1_000_000)) + (F.col("id") - first) * micros_each)
+    return spark.range(first, last + 1).select(F.lit(1).alias("_id"), F.col("id").alias("offset"), at.alias("ts")).withColumnRenamed("_id", "id")
+
+
+def barrier_stream(spark: SparkSession, per_second: int = 1, first: int = 0) -> DataFrame:
+    """The same as an endless stream."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return ticks.select(F.lit(1).alias("id"), (F.col("value") + first).alias("offset"), F.col("timestamp").alias("ts"))
+
+
 def compare_segments(source: DataFrame, target: DataFrame) -> DataFrame:
     """(seg, verdict): same, diff or timeout (a segment the target lacks).
     Within a segment each payload's checksums are compared place by place in

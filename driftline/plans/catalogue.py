@@ -6,6 +6,8 @@ from customers, nations, regions and orders; verification from lineitem.
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -106,7 +108,17 @@ def cdc_conflicts_old_image(spark, d):
     return found.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("conflict").cast("bigint")).alias("conflicts"))
 
 
-@query()
+@query("""
+  with recursive {feed}, f as (select op, pk, k as i, lag(k) over (partition by pk order by seq) as o, row_number() over (partition by pk order by seq) as rn from feed),
+  s as (
+    select pk, rn, op, op = 'update' as conflict, op = 'insert' as there, case when op = 'insert' then i end as v from f where rn = 1
+    union all
+    select f.pk, f.rn, f.op, case f.op when 'insert' then s.there when 'update' then not s.there or s.v is distinct from f.o else false end,
+      case f.op when 'insert' then true when 'update' then s.there else false end,
+      case when f.op = 'insert' and not s.there then f.i when f.op = 'update' and s.there and s.v is not distinct from f.o then f.i when f.op = 'delete' then null else s.v end
+    from s join f on f.pk = s.pk and f.rn = s.rn + 1
+  ) select op, count(*) as n, cast(sum(case when conflict then 1 else 0 end) as bigint) as conflicts from s group by op
+""")
 def cdc_conflicts_kept(spark, d):
     feed = ordering.running(derived_feed(spark, d), ["pk"], ["seq"], F.col("seq"), old_k=("lag", F.col("k")))
     found = apply.conflicts_kept(feed, ["pk"], "seq", "k", "old_k")
@@ -114,7 +126,7 @@ def cdc_conflicts_kept(spark, d):
 
 
 @query("""
-  with {feed}, t as (select c_custkey as pk from customer where c_nationkey % 2 = 0)
+  with {feed}, t as (select c_custkey as pk, cast(c_nationkey as int) as uk, c_acctbal as value from customer where c_nationkey % 2 = 0)
   select f.op, case when (f.op = 'insert') = (t.pk is not null) then 'conflict' else 'ok' end as verdict, count(*) as n
   from feed f left join t on f.pk = t.pk group by 1, 2
 """)
@@ -123,6 +135,24 @@ def cdc_conflict_preview(spark, d):
     return apply.conflict_preview(derived_feed(spark, d), target, ["pk"]).groupBy("op", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+  with {feed}, t as (select c_custkey as pk, cast(c_nationkey as int) as uk from customer where c_nationkey % 4 = 0),
+  f as (select *, uk as old_uk, case when seq % 2 = 0 then pk + 1 else pk end as old_pk from feed)
+  select op, case
+      when op = 'insert' then case when exists (select 1 from t where t.pk = f.pk) or exists (select 1 from t where t.uk = f.uk) then 'conflict' else 'ok' end
+      when op = 'update' then case when not exists (select 1 from t where t.pk = f.old_pk and t.uk is not distinct from f.old_uk) then 'conflict'
+        when (f.pk <> f.old_pk or f.uk is distinct from f.old_uk) and exists (select 1 from t where t.pk = f.pk and t.uk is not distinct from f.uk) then 'conflict' else 'ok' end
+      else 'skipped' end as verdict, count(*) as n
+  from f group by 1, 2
+""")
+def cdc_conflict_preview_unique(spark, d):
+    """All unique keys count for inserts, old and new image for updates; deletes are off."""
+    target = table(spark, d, "customer").where(F.pmod("c_nationkey", F.lit(4)) == 0).select(F.col("c_custkey").alias("pk"), F.col("c_nationkey").cast("int").alias("uk"))
+    old = {"pk": F.when(F.pmod("seq", F.lit(2)) == 0, F.col("pk") + 1).otherwise(F.col("pk")), "uk": F.col("uk")}
+    found = apply.conflict_preview(derived_feed(spark, d), target, ["pk"], [["uk"]], old, deletes=False)
+    return found.groupBy("op", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("with {feed} select c_custkey as pk, c_name from customer where c_custkey not in (select pk from feed where op = 'delete')")
 def cdc_delete_by_pk(spark, d):
     target = table(spark, d, "customer").select(F.col("c_custkey").alias("pk"), "c_name")
@@ -140,11 +170,14 @@ def cdc_batch_split(spark, d):
 
 
 @query("""
-  with {feed} select seq as event_id, 0 as sub, case when op = 'update' and seq % 3 = 0 then 'delete' else op end as op from feed
-  union all select seq, 1, 'insert' from feed where op = 'update' and seq % 3 = 0
+  with {feed}, o as (select *, case when seq % 3 = 0 then pk + 1 else pk end as old_pk, case when seq % 5 = 0 then null else value / 2 end as old_value from feed)
+  select seq as event_id, 0 as sub, case when op = 'update' and old_pk <> pk then 'delete' else op end as op,
+    case when op = 'update' then old_pk else pk end as pk, case when op = 'update' and old_pk <> pk then old_value else value end as value from o
+  union all select seq, 1, 'insert', pk, value from o where op = 'update' and old_pk <> pk
 """)
 def cdc_pk_change_split(spark, d):
-    return changes.split_key_updates(derived_feed(spark, d), F.pmod("seq", F.lit(3)) == 0).select(F.col("seq").alias("event_id"), "sub", "op")
+    old = {"pk": F.when(F.pmod("seq", F.lit(3)) == 0, F.col("pk") + 1).otherwise(F.col("pk")), "value": F.when(F.pmod("seq", F.lit(5)) != 0, F.col("value") / 2)}
+    return changes.split_key_updates(derived_feed(spark, d), old, ["pk"]).select(F.col("seq").alias("event_id"), "sub", "op", "pk", "value")
 
 
 @query("""
@@ -404,21 +437,31 @@ def encode_json_v20(spark, d):
     return f.select("seq", encode.json_v20(F.col("db"), F.col("tbl"), F.col("op"), ts, F.struct("pk", "event_type", "uk"), None, F.struct("pk")).alias("json"))
 
 
-@query("""
-  select op_no, '{"version":"2.0","op":"' || operation || '","ns":"' || op_ns || '","data":"' || length(data_json) || '","row":' || coalesce('"' || length(row_json) || '"', 'null') || '}' as json from oplog_ops
-""")
-def encode_mongo(spark, d):
+_MONGO = """
+  with o as (select op_no, operation, obj_id, op_source, coalesce('"' || split_part(op_ns, '.', 1) || '"', 'null') as db, coalesce('"' || regexp_replace(op_ns, '^[^.]*[.]?', '') || '"', 'null') as coll, op_ns,
+    case when data_json is null then 'null' when json_valid(data_json) then data_json else cast(to_json(data_json) as varchar) end as data,
+    case when row_json is null then 'null' when json_valid(row_json) then row_json else cast(to_json(row_json) as varchar) end as doc from oplog_ops)
+"""
+
+
+def _mongo_ops(spark, d) -> tuple:
     o = table(spark, d, "oplog_ops")
-    return o.select("op_no", encode.mongo_json("2.0", F.col("operation"), F.col("op_ns"), F.length("data_json").cast("string"), F.length("row_json").cast("string")).alias("json"))
+    return o, F.substring_index("op_ns", ".", 1), F.regexp_replace("op_ns", r"^[^.]*\.?", "")
 
 
-@query("""
-  select op_no, '{"version":"2.0","op":"' || operation || '","ns":"' || op_ns || '","data":' || coalesce(cast(to_json(data_json) as varchar), 'null') || ',"row":' || coalesce(cast(to_json(row_json) as varchar), 'null') || '}' as json from oplog_ops
+@query(_MONGO + """ select op_no, '{"version":"2.0.alpha","database":' || db || ',"collection":' || coll || ',"data":' || data || ',"row":' || doc || '}' as json from o""")
+def encode_mongo(spark, d):
+    o, db, coll = _mongo_ops(spark, d)
+    return o.select("op_no", encode.mongo_json("2.0.alpha", db, coll, F.col("data_json"), F.col("row_json")).alias("json"))
+
+
+@query(_MONGO + """
+  select op_no, '{"version":"0.1","database":' || db || ',"collection":' || coll || ',"unique_source_name":"mongo-1","oplog":{"_id":' || coalesce('"' || obj_id || '"', 'null') || ',"operation":' || coalesce('"' || operation || '"', 'null')
+    || ',"namespace":' || coalesce('"' || op_ns || '"', 'null') || ',"data":' || data || ',"row":' || doc || ',"source":' || coalesce(cast(op_source as varchar), 'null') || '}}' as json from o
 """)
-def encode_mongo_documents(spark, d):
-    """The whole documents of Op.Data and Op.Row."""
-    o = table(spark, d, "oplog_ops")
-    return o.select("op_no", encode.mongo_json("2.0", F.col("operation"), F.col("op_ns"), F.col("data_json"), F.col("row_json")).alias("json"))
+def encode_mongo_v01(spark, d):
+    o, db, coll = _mongo_ops(spark, d)
+    return o.select("op_no", encode.mongo_json("0.1", db, coll, F.col("data_json"), F.col("row_json"), F.lit("mongo-1"), F.col("obj_id"), F.col("operation"), F.col("op_source")).alias("json"))
 
 
 @query("with {feed} select seq, 26 + strlen(cast(pk as varchar)) + strlen(event_type) as size from feed")
@@ -450,17 +493,34 @@ def verify_range_counts(spark, d):
 _WIDTH, _LEVELS = 1 << 20, 14
 
 
-@query("""
-  with f as (select cast(floor(l_orderkey / 64) as bigint) as b, -count(*) as diff from lineitem where l_orderkey % 97 = 0 group by 1),
-  l as (select unnest(range(0, 15)) as lvl),
-  r as (select l.lvl, cast(floor(f.b / power(2, 14 - l.lvl)) as bigint) as b, cast(sum(f.diff) as bigint) as diff from f, l group by 1, 2)
-  select cast(r.lvl as int) as lvl, r.b, r.diff from r where diff <> 0 and not exists (select 1 from r c where c.lvl = r.lvl + 1 and cast(floor(c.b / 2.0) as bigint) = r.b and c.diff = r.diff)
+_RANGES = """
+  f as (select cast(floor(l_orderkey / 64) as bigint) as b, count(*) as src, cast(sum(case when l_orderkey % 97 <> 0 then 1 else 0 end) as bigint) as tgt from lineitem group by 1),
+  l as (select cast(unnest(range(0, 15)) as int) as lvl),
+  r as (select l.lvl, f.b >> (14 - l.lvl) as b, cast(sum(src) as bigint) as src, cast(sum(tgt) as bigint) as tgt, cast(sum(tgt - src) as bigint) as diff from f, l group by 1, 2 having sum(tgt - src) <> 0)
+"""
+
+
+@query("with " + _RANGES + """
+  select r.lvl, r.b, r.diff from r where not exists (select 1 from r c where c.lvl > r.lvl and c.b >> (c.lvl - r.lvl) = r.b and c.diff = r.diff)
 """)
 def verify_range_prune(spark, d):
     ranges = verify.bisect_counts(*_copies(spark, d), "l_orderkey", 0, _WIDTH, _LEVELS)
     return verify.prune_ranges(ranges).select("lvl", "b", "diff")
 
 
+@query("with recursive " + _RANGES + """,
+  v as (select * from r where lvl = 0
+    union all
+    select c.* from v join r c on c.lvl = v.lvl + 1 and c.b >> 1 = v.b
+    where not ((((1048576 >> v.lvl) - 1 < 10) or (v.src < 20 and v.tgt < 20)) and v.diff < 10))
+  select lvl, b, src, tgt, diff from v
+""")
+def verify_range_bisect(spark, d):
+    """The ranges that a bisection with its stop rule looks at."""
+    ranges = verify.bisect_counts(*_copies(spark, d), "l_orderkey", 0, _WIDTH, _LEVELS)
+    return verify.visited_ranges(ranges).select("lvl", "b", "src", "tgt", "diff")
+
+
 @query("""
   with a as (select distinct lower(trim(replace(tbl, '`', ''))) as name from change_feed where tbl is not null), b as (select distinct lower(trim(replace(tbl, '`', ''))) as name from schema_feed where tbl is not null)
   select name, 'source' as side from (select name from a except select name from b) union all select name, 'target' from (select name from b except select name from a)
@@ -496,6 +556,14 @@ def verify_barrier_segments(spark, d):
     return s.groupBy("msg_tag", "seg").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("payload_id").alias("payloads"))
 
 
+@query("""
+  with s as (select msg_tag, rec_no, barrier, row_number() over (partition by msg_tag order by rec_no) as n, last_value(barrier ignore nulls) over (partition by msg_tag order by rec_no rows between unbounded preceding and 1 preceding) as before from dcp_messages)
+  select msg_tag, rec_no, case when n = 1 and barrier is null then 'no first barrier' else 'jump' end as error from s where (n = 1 and barrier is null) or barrier <> before + 1
+""")
+def verify_barrier_errors(spark, d):
+    return verify.barrier_errors(table(spark, d, "dcp_messages"), "msg_tag", "rec_no", "barrier")
+
+
 @query("""
   select (select count(*) from lineitem) as n_source, (select count(*) from lineitem where l_orderkey % 97 <> 0) as n_target,
     (select count(*) from lineitem) = (select count(*) from lineitem where l_orderkey % 97 <> 0) as equal, true as self_equal
@@ -529,11 +597,34 @@ def key_signatures(spark, d):
     return derived_feed(spark, d).select("seq", scalar.key_signature(F.col("db"), F.col("tbl"), F.col("pk")).alias("signature"))
 
 
-@query("""
-  with i as (select unnest(range(0, 12)) as p) select p as partition_no, cast(least(floor((p + 0.5) / 2.4), 4) as int) as member from i
+_GROUPS = [(12, 5), (5, 2), (7, 3), (3, 5), (9, 6), (10, 4)]
+
+
+@query(f"""
+  with g(partitions, members) as (values {', '.join(map(str, _GROUPS))}),
+  m as (select partitions, members, unnest(range(0, members)) as member from g),
+  r as (select *, cast(floor(member * (partitions / members) + 0.5) as bigint) as lo, cast(floor((member + 1) * (partitions / members) + 0.5) as bigint) as hi from m)
+  select partitions, members, unnest(range(lo, hi)) as partition_no, cast(member as int) as member from r
 """)
 def consumer_ranges(spark, d):
-    return spark.range(12).select(F.col("id").alias("partition_no"), scalar.range_partition(F.col("id"), 5, 12).alias("member"))
+    parts = [spark.range(p).select(F.lit(p).alias("partitions"), F.lit(m).alias("members"), F.col("id").alias("partition_no"), scalar.range_partition(F.col("id"), m, p).alias("member")) for p, m in _GROUPS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("select i as partition_no, cast(i % 5 as int) as member from range(0, 12) t(i)")
+def consumer_round_robin(spark, d):
+    return spark.range(12).select(F.col("id").alias("partition_no"), scalar.round_robin(F.col("id"), 5).alias("member"))
+
+
+@query("""
+  with p as (select l_orderkey, l_linenumber, 'bin.' || l_linenumber as a, 'bin.' || (l_partkey % 7 + 1) as b, l_suppkey as x, l_partkey as y from lineitem)
+  select l_orderkey, l_linenumber, cast(case when a < b then -1 when a > b then 1 when abs(x - y) <= 5 then 0 when x < y then -1 else 1 end as int) as c from p
+""")
+def compare_log_positions(spark, d):
+    li = table(spark, d, "lineitem")
+    name = lambda n: F.concat(F.lit("bin."), n.cast("string"))
+    c = scalar.compare_positions(name(F.col("l_linenumber")), F.col("l_suppkey"), name(F.pmod("l_partkey", F.lit(7)) + 1), F.col("l_partkey"), 5)
+    return li.select("l_orderkey", "l_linenumber", c.alias("c"))
 
 
 @query(_LWW)
@@ -646,10 +737,8 @@ def doc_children_of_changes(spark, d):
     return docs.select("pk", F.array_join(F.transform("parts", lambda p: F.concat(p["k"].cast("string"), F.lit("="), p["t"])), ",").alias("parts"))
 
 
-@query("""
-  with {feed}, p as (select distinct pk from feed where op <> 'delete') select c_custkey as pk, c_custkey in (select pk from p) as there from customer
-""")
+@query("with {feed} select distinct pk, 'pipe-a' as txn_tag, " + str(zlib.crc32(b"pipe-a") % 999 + 1) + " as txn_slot from feed where op <> 'delete'")
 def txn_tagged_rows(spark, d):
-    marked = apply.tagged(derived_feed(spark, d).where("op <> 'delete'").select("pk").distinct(), "pipe-a")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pk"))
-    return c.join(marked, "pk", "left").select("pk", F.col("txn_tag").isNotNull().alias("there"))
+    return apply.tagged(derived_feed(spark, d).where("op <> 'delete'").select("pk").distinct(), "pipe-a")
+
+

@@ -292,6 +292,35 @@ SQL: dict[str, str] = {
         )
         select db, tbl, pk, seq_no from l where rn = 1 and op <> 'delete'
     """,
+    "p1_rows": """
+        with f as (
+          select lower(trim(replace(db, '`', ''))) as db, lower(trim(replace(tbl, '`', ''))) as tbl, event_ts, seq_no, stream_key,
+                 lower(trim(dml_op)) as op, pks_json, old_json, data_json, list_sort(json_keys(pks_json)) as ks
+          from change_feed where msg_type = 'dml'
+        ), k as (
+          select *, array_to_string(list_transform(ks, lambda k: json_extract_string(pks_json, '$.' || k)), '|') as pk,
+                 case when op = 'update' then array_to_string(list_transform(ks, lambda k: coalesce(json_extract_string(old_json, '$.' || k), json_extract_string(pks_json, '$.' || k))), '|') end as old_pk
+          from f
+        ), c as (
+          select db, tbl, pk, event_ts, seq_no, stream_key, case when old_pk is not null and old_pk <> pk then 'insert' else op end as op,
+                 data_json as data, case when old_pk is not null and old_pk <> pk then old_json end as prior from k
+          union all
+          select db, tbl, old_pk, event_ts, seq_no, stream_key, 'delete', null, null from k where old_pk is not null and old_pk <> pk
+        ), n as (
+          select *, dense_rank() over (partition by db, tbl, pk order by event_ts, seq_no, stream_key) as n from c
+        ), z as (
+          select *, max(case when op <> 'update' then n else 0 end) over (partition by db, tbl, pk) as reset, max(n) over (partition by db, tbl, pk) as newest from n
+        ), live as (select distinct db, tbl, pk, seq_no from z where n = newest and op <> 'delete'),
+        e as (
+          select db, tbl, pk, 2 * n + 1 as n, data, unnest(json_keys(data)) as col from z where n >= reset and op <> 'delete' and data is not null
+          union all
+          select db, tbl, pk, 2 * n, prior, unnest(json_keys(prior)) from z where n >= reset and op <> 'delete' and prior is not null
+        ),
+        x as (select db, tbl, pk, col, n, coalesce(cast(json_extract(data, '$."' || col || '"') as varchar), 'null') as val, max(n) over (partition by db, tbl, pk, col) as top from e),
+        v as (select db, tbl, pk, col, min(val) as val from x where n = top group by all),
+        i as (select db, tbl, pk, '{' || string_agg('"' || col || '": ' || val, ', ' order by col) || '}' as image from v group by all)
+        select l.db, l.tbl, l.pk, l.seq_no, coalesce(i.image, '{}') as image from live l left join i on l.db = i.db and l.tbl = i.tbl and l.pk = i.pk
+    """,
     "p6_table_stats": f"""
         with f as (
           select {_NAMES}, event_ts,

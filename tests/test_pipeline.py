@@ -201,11 +201,10 @@ def test_repeated_statements(spark):
 
 
 def test_mysql_types():
-    from driftline.functions.mysql_types import column_kind, spark_type
+    from driftline.functions.mysql_types import declaration, spark_type
 
-    kinds = {"double(25,3)": "float", "decimal(11,3)": "decimal", "enum('a')": "enum", "datetime(6)": "datetime", "timestamp": "timestamp", "time": "time", "date": "date", "bit(1)": "bit", "json": "json", "mediumint(8) unsigned": "mediumint", "bigint(20)": "number", "year(4)": "number", "varchar(9)": "string", "tinyblob": "string"}
-    assert {t: column_kind(t) for t in kinds} == kinds
-    types = {"decimal(11,3)": "decimal(11,3)", "decimal": "decimal(10,0)", "bigint unsigned": "decimal(20,0)", "int unsigned": "bigint", "tinyint(4)": "tinyint", "int(11)": "int", "double": "double", "float(11,3)": "float", "datetime(6)": "timestamp_ntz", "time": "string", "text": "string"}
+    assert declaration("BIGINT(20) unsigned") == ("bigint", (20,), True) and declaration("enum('1','2')") == ("enum", (), False)
+    types = {"decimal(11,3)": "decimal(11,3)", "decimal": "decimal(10,0)", "bigint unsigned": "decimal(20,0)", "int unsigned": "bigint", "tinyint(4)": "tinyint", "int(11)": "int", "double": "double", "float(11,3)": "float", "datetime(6)": "timestamp_ntz", "time": "string", "text": "string", "enum('a')": "string", "date": "date", "bit(1)": "bigint", "json": "string", "mediumint(8) unsigned": "int", "smallint unsigned": "int", "year(4)": "int", "varchar(9)": "string", "double(25,3)": "double", "timestamp": "timestamp", "tinyblob": "binary", "": "string"}
     assert {t: spark_type(t) for t in types} == types
 
 
@@ -331,10 +330,11 @@ def test_stream_keeps_earlier_batches(spark, tmp_path, engine):
 
 def test_mongo_documents(spark, tmp_path):
     """Whole documents with quotes, backslashes and line feeds come back as they were."""
-    from driftline.plans.catalogue import encode_mongo_documents
+    from driftline.plans.catalogue import encode_mongo
 
     texts = ['{"a": "x\\"y\\\\z\\n", "b": [{"c": "é/\U0001f600"}]}', '{"long": "' + "w" * 100_000 + '"}', "line\nfeed\ttab", "", None]
     rows = [(i, "u", "d.c", t, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "op_no bigint, operation string, op_ns string, data_json string, row_json string").write.parquet(str(tmp_path / "oplog_ops.parquet"))
-    got = {r.op_no: json.loads(r.json) for r in encode_mongo_documents(spark, str(tmp_path)).collect()}
-    assert got == {i: {"version": "2.0", "op": "u", "ns": "d.c", "data": t, "row": t} for i, t in enumerate(texts)}
+    got = {r.op_no: json.loads(r.json) for r in encode_mongo(spark, str(tmp_path)).collect()}
+    documents = [json.loads(texts[0]), json.loads(texts[1]), *texts[2:]]
+    assert got == {i: {"version": "2.0.alpha", "database": "d", "collection": "c", "data": t, "row": t} for i, t in enumerate(documents)}

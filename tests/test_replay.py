@@ -95,3 +95,27 @@ def test_very_long_value(spark):
     big = "x" * 2_000_000
     got = current_rows(feed(spark, [row("insert", '{"id":1}', 1, json.dumps({"id": 1, "v": big}))]), with_image=True).collect()
     assert json.loads(got[0].image)["v"] == big
+
+
+def test_key_change_brings_the_old_image(spark):
+    """The row goes on under its new key with the columns of its old image; what the new key held before is gone."""
+    rows = [
+        (1, "insert", '{"id":1}', '{"id":1,"a":"x","b":"y"}', None),
+        (2, "insert", '{"id":2}', '{"id":2,"a":"other","c":"z"}', None),
+        (3, "update", '{"id":2}', '{"id":2,"a":"new"}', '{"id":1,"a":"x","b":"y"}'),
+        (4, "update", '{"id":2}', '{"d":null}', '{"id":2}'),
+    ]
+    df = spark.createDataFrame([("dml", "d", "t", datetime(2023, 3, 1), n, "s", op, k, data, old) for n, op, k, data, old in rows], FEED)
+    got = [(r.pk, json.loads(r.image)) for r in current_rows(df, with_image=True).collect()]
+    assert got == [("2", {"id": 2, "a": "new", "b": "y", "d": None})]
+
+
+def test_repeats_that_differ(spark):
+    """The same rows come out however the repeats lie."""
+    rows = [("dml", "d", "t", T0, 1, "s", "insert", '{"id":1}', t, None) for t in ('{"id":1,"a":"x"}', '{"a": "x", "id": "1"}', '{"id":1,"a":"w"}')]
+    images = set()
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        for parts in (1, 3):
+            df = spark.createDataFrame([rows[i] for i in order], FEED).repartition(parts)
+            images |= {r.image for r in current_rows(df, with_image=True).collect()}
+    assert images == {'{"a": "w", "id": "1"}'}

@@ -28,3 +28,23 @@ def test_edges(spark):
     assert sorted(r.rn for r in running(one, [], ["o"], F.col("o"), rn=("row_number",)).collect()) == [1, 2]
     with pytest.raises(ValueError):
         running(one, ["k"], ["o"], F.col("o"), x=("median",))
+
+
+def test_bins_are_even_beside_outliers(spark):
+    from driftline.operators.ordering import binned
+
+    df = spark.range(20_000).select(F.when(F.col("id") == 7, F.lit(10**15)).when(F.col("id") == 8, F.lit(-(10**15))).otherwise(F.col("id") * F.col("id")).alias("o"))
+    sizes = [r["count"] for r in binned(df, F.col("o"), 16).groupBy("_bin").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * 20_000 / 16
+
+
+def test_streams_of_any_length(spark, monkeypatch):
+    """Short streams are one window, long ones are binned: the same results."""
+    from driftline.operators import ordering
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").alias("k"), F.col("id").alias("o"), (F.col("id") % 7).alias("v"))
+    run = lambda: sorted(map(tuple, running(df, ["k"], ["o"], F.col("o"), n=("row_number",), s=("sum", F.col("v"))).collect()), key=str)
+    plain = run()
+    monkeypatch.setattr(ordering, "PLAIN", 100)
+    monkeypatch.setattr(ordering, "ROWS", 150)
+    assert run() == plain

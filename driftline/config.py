@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline import registry
 from driftline.functions.names import plain_op
 from driftline.operators import apply, filters, routing
 
@@ -25,6 +26,25 @@ def config_hash(text: str) -> str:
     return "".join(SAFE_LETTERS[ord(c) % len(SAFE_LETTERS)] for c in str(h))
 
 
+def upgraded(c: dict) -> dict:
+    """Settings of the older form, in which the name of a plugin is the key of
+    its settings (``input: {mysql: {...}}``), in the newer one (``input:
+    {type: mysql, mode: ..., config: {...}}``).  Only the relational input
+    had a mode; all others were streams."""
+    inputs = c.get("input") or {}
+    if c.get("version") == "1.0" or "type" in inputs or not (len(inputs) == 1 and isinstance(next(iter(inputs.values())), dict)):
+        return c
+    out = {k: v for k, v in c.items() if k != "scheduler"}
+    ((kind, settings),) = inputs.items()
+    out["input"] = {"type": kind, "mode": settings["mode"] if kind == "mysql" else "stream", "config": settings}
+    out["filters"] = [f if "config" in f else {"type": f["type"], "config": {k: v for k, v in f.items() if k != "type"}} for f in c.get("filters") or []]
+    outputs = c.get("output") or {}
+    if len(outputs) == 1 and isinstance(next(iter(outputs.values())), dict):
+        ((kind, settings),) = outputs.items()
+        out["output"] = {"sink": kind, **settings}
+    return out
+
+
 @dataclass
 class Pipeline:
     """name, input, filters in order, output with its routes and engine."""
@@ -46,6 +66,7 @@ class Pipeline:
 
     @classmethod
     def of(cls, c: dict) -> "Pipeline":
+        c = upgraded(c)
         if not c.get("name"):
             raise ValueError("a pipeline needs a name")
         known = {"name", "input", "filters", "output", "version"}
@@ -61,12 +82,14 @@ class Pipeline:
         """Filters, then routes to tables."""
         return routing.route_tables(filters.chain(changes, self.filters), self.output.get("routes", []))
 
+    def engine(self):
+        """The apply engine named: built in, or a plugin."""
+        name = self.output.get("engine", "replace")
+        return apply.ENGINES[name] if name in apply.ENGINES else registry.plugin("sqlExecutionEngine", name)
+
     def fold(self, changes: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
         """The target's rows after all changes, by the engine named."""
-        engine = self.output.get("engine", "replace")
-        if engine not in apply.ENGINES:
-            raise ValueError(f"unknown engine {engine!r}")
-        return apply.ENGINES[engine](self.transform(changes).where(F.col("op").isNotNull()), ["tgt_db", "tgt_tbl", *keys], order, columns)
+        return self.engine()(self.transform(changes).where(F.col("op").isNotNull()), ["tgt_db", "tgt_tbl", *keys], order, columns)
 
     def flat(self, changes: DataFrame) -> DataFrame:
         """Filtered and routed changes with the keys and columns of the output
@@ -78,10 +101,7 @@ class Pipeline:
 
     def rows(self, flat: DataFrame) -> DataFrame:
         """The target's rows after flat changes."""
-        engine = self.output.get("engine", "replace")
-        if engine not in apply.ENGINES:
-            raise ValueError(f"unknown engine {engine!r}")
-        return apply.ENGINES[engine](flat, ["tgt_db", "tgt_tbl", *self.output["keys"]], self.output["order"], self.output.get("columns", []))
+        return self.engine()(flat, ["tgt_db", "tgt_tbl", *self.output["keys"]], self.output["order"], self.output.get("columns", []))
 
     def folded(self, changes: DataFrame) -> DataFrame:
         return self.rows(self.flat(changes))

@@ -79,3 +79,9 @@ def retarget(sql: str, db: str, route: Route) -> list[str]:
                 out.append(f"RENAME TABLE {a} TO {b}")
         return out
     return []
+
+
+def annotated(sql: str, note: str) -> str:
+    """The statement with a comment before it that tells who wrote it; the
+    note can't end the comment."""
+    return f"/*{note.replace('*/', '* /')}*/{sql}" if note else sql

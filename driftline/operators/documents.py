@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.joins import null_safe_join
+
 
 def document_id(*key: Column) -> Column:
     """Key values in schema order joined with ``_``."""
@@ -45,6 +47,22 @@ def index_mapping(schema: T.StructType) -> dict:
     return {"properties": {f.name: one(f.dataType) for f in schema}}
 
 
+def merged_fields(changes: DataFrame, keys: Sequence[str], order: str, fields: str = "data") -> DataFrame:
+    """(keys, fields): an insert replaces the element of its key, an update
+    merges the fields it carries (a map) into it or, without one, makes it, a
+    delete removes it.  Each field is that of the latest change that carries
+    it since the last insert or delete: aggregates with map-side combine, no
+    key is gathered."""
+    reset = F.max(F.when(F.col("op") != "update", F.col(order)))
+    last = changes.groupBy(*keys).agg(reset.alias("_reset"), F.max_by("op", order).alias("_op"))
+    live = last.where("_op <> 'delete'").drop("_op")
+    since = null_safe_join(changes.where("op <> 'delete'"), live, keys, "inner").where(F.col("_reset").isNull() | (F.col(order) >= F.col("_reset")))
+    each = since.select(*keys, order, F.explode_outer(fields).alias("_f", "_v"))
+    latest = each.groupBy(*keys, "_f").agg(F.max_by(F.struct("_v"), order).alias("_v"))
+    entries = F.collect_list(F.when(F.col("_f").isNotNull(), F.struct("_f", F.col("_v._v").alias("_v"))))
+    return latest.groupBy(*keys).agg(F.map_from_entries(F.array_sort(entries)).alias(fields))
+
+
 def attach_object(main: DataFrame, other: DataFrame, on: Sequence[str], name: str, columns: list[tuple[str, str]]) -> DataFrame:
     """One-to-one as a nested object, null where there is none."""
     o = other.select(*on, F.struct(*[F.col(c).alias(n) for c, n in columns]).alias(name))

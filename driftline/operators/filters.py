@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline import registry
 from driftline.operators.predicates import matcher
 
 
@@ -58,51 +59,39 @@ def sidecar(df: DataFrame, fn: Callable[[Iterator], Iterator], schema) -> DataFr
     return df.mapInPandas(fn, schema)
 
 
-REGISTRY: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+CONTROL = ("ctl", "closeInput")
 
-
-def register(kind: str):
-    """Adds a filter under a name; user filters are Python callables."""
-
-    def add(fn):
-        REGISTRY[kind] = fn
-        return fn
-
-    return add
-
-
-@register("accept")
-def _accept(df: DataFrame, c: dict) -> DataFrame:
-    return accept(df, matcher(c))
+BUILT_IN: dict[str, Callable[[DataFrame, dict, Column], DataFrame]] = {
+    "accept": lambda df, c, passing: accept(df, matcher(c) | passing),
+    "reject": lambda df, c, passing: reject(df, matcher(c) & ~passing),
+    "delete-dml-column": lambda df, c, passing: delete_map_columns(df, matcher(c) & ~passing, c["columns"]),
+    "rename-dml-column": lambda df, c, passing: rename_map_columns(df, matcher(c) & ~passing, c["from"], c["to"]),
+}
 
 
-@register("reject")
-def _reject(df: DataFrame, c: dict) -> DataFrame:
-    return reject(df, matcher(c))
-
-
-@register("delete-dml-column")
-def _delete(df: DataFrame, c: dict) -> DataFrame:
-    return delete_map_columns(df, matcher(c), c["columns"])
-
-
-@register("rename-dml-column")
-def _rename(df: DataFrame, c: dict) -> DataFrame:
-    return rename_map_columns(df, matcher(c), c["from"], c["to"])
+def register(kind: str):
+    """Adds a filter under a name; user filters are Python callables of the
+    rows and the filter's settings."""
+    if kind in BUILT_IN:
+        raise ValueError(f"filter {kind!r} is built in")
+    return registry.register("filters", kind, replace=True)
 
 
 def chain(df: DataFrame, configs: Sequence[dict]) -> DataFrame:
-    """Filters in order; control messages pass by.  A filter without a matcher
-    is a mistake in the configuration."""
-    control = None
-    if "msg_type" in df.columns:
-        control = df.where(F.col("msg_type").isin("ctl", "closeInput"))
-        df = df.where(~F.coalesce(F.col("msg_type").isin("ctl", "closeInput"), F.lit(False)))
+    """Filters in order; control messages pass by: built-in filters let them
+    through in the same pass over the rows, users' filters don't see them.  A
+    filter without a matcher is a mistake in the configuration."""
+    passing = F.coalesce(F.col("msg_type").isin(*CONTROL), F.lit(False)) if "msg_type" in df.columns else None
     for c in configs:
         kind, conf = c["type"], c.get("config", {})
-        if kind not in REGISTRY:
+        if kind not in BUILT_IN and kind not in registry.names("filters"):
             raise ValueError(f"unknown filter {kind!r}")
         if not any(k.startswith("match") for k in conf):
             raise ValueError(f"filter {kind!r} has no matcher")
-        df = REGISTRY[kind](df, conf)
-    return df if control is None else df.unionByName(control, allowMissingColumns=True)
+        if kind in BUILT_IN:
+            df = BUILT_IN[kind](df, conf, F.lit(False) if passing is None else passing)
+        elif passing is None:
+            df = registry.plugin("filters", kind)(df, conf)
+        else:
+            df = registry.plugin("filters", kind)(df.where(~passing), conf).unionByName(df.where(passing), allowMissingColumns=True)
+    return df

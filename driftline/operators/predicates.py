@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftline import registry
 from driftline.functions.glob import glob
 
 OPS = ("insert", "update", "delete")
@@ -56,11 +57,12 @@ MATCHERS = {
 
 
 def matcher(config: dict) -> Column:
-    """AND of all keys that begin with ``match``; none matches everything."""
+    """AND of all keys that begin with ``match``; none matches everything.
+    Further matchers are plugins: callables of the value that give a condition."""
     found = []
     for k, v in config.items():
         if k.startswith("match"):
-            if k not in MATCHERS:
+            if k not in MATCHERS and k not in registry.names("matcher"):
                 raise ValueError(f"unknown matcher {k!r}")
-            found.append(MATCHERS[k](v))
+            found.append((MATCHERS.get(k) or registry.plugin("matcher", k))(v))
     return reduce(lambda a, b: a & b, found, F.lit(True))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.options import option
 from driftline.operators.predicates import matcher
 
 
@@ -34,11 +35,30 @@ def route_tables(df: DataFrame, routes: Sequence[dict]) -> DataFrame:
 
 
 def route_topics(df: DataFrame, routes: Sequence[dict], key: Column, partitions: int) -> DataFrame:
-    """Adds topic and partition (key modulo the number of partitions); rows
-    without a route, and everything if there is none, are dropped."""
+    """Adds topic and partition (key modulo the number of partitions, a random
+    one without key); rows without a route, and everything if there is none,
+    are dropped."""
     if not routes:
         return df.withColumns({"topic": F.lit(None).cast("string"), "partition": F.lit(None).cast("int")}).where("false")
-    return df.withColumn("topic", first_match(routes, lambda r: F.lit(r["dml-topic"]))).where("topic is not null").withColumn("partition", F.pmod(key, F.lit(partitions)).cast("int"))
+    return df.withColumn("topic", first_match(routes, lambda r: F.lit(r["dml-topic"]))).where("topic is not null").withColumn("partition", F.coalesce(F.pmod(key, F.lit(partitions)), F.floor(F.rand() * partitions)).cast("int"))
+
+
+def route_documents(df: DataFrame, routes: Sequence[dict], default_index: Column) -> DataFrame:
+    """Adds index, doc_type and ignore_without_key of the first matching
+    route: ``target-index`` (else ``default_index``), ``target-type`` (else
+    ``doc``) and ``ignore-no-primary-key``.  Rows without a route are dropped."""
+
+    def target(r: dict) -> Column:
+        index = option(r, "target-index", str, "")
+        return F.struct(
+            (F.lit(index) if index else default_index).alias("index"),
+            F.lit(option(r, "target-type", str, "doc")).alias("doc_type"),
+            F.lit(option(r, "ignore-no-primary-key", bool, False)).alias("ignore_without_key"),
+        )
+
+    if not routes:
+        return df.withColumns({"index": F.lit(""), "doc_type": F.lit(""), "ignore_without_key": F.lit(False)}).where("false")
+    return df.withColumn("_t", first_match(routes, target)).where("_t is not null").withColumns({c: F.col(f"_t.{c}") for c in ("index", "doc_type", "ignore_without_key")}).drop("_t")
 
 
 def route_models(df: DataFrame, models: Sequence[dict]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +38,50 @@ def key_bounds(df: DataFrame, key: Sequence[str], where: str | None = None) -> D
     return df.agg(F.min(k).alias("lo"), F.max(k).alias("hi")).select(*[F.col(f"lo.{c}").alias(f"min_{c}") for c in key], *[F.col(f"hi.{c}").alias(f"max_{c}") for c in key])
 
 
-def page_after(df: DataFrame, key: Sequence[str], last: Sequence | None, size: int) -> DataFrame:
+def page_after(df: DataFrame, key: Sequence[str], last: Sequence | None, size: int, collation: str | None = None) -> DataFrame:
     """The next page of a keyset scan.  The first column's bound is stated
-    beside the lexicographic one so that it reaches the file scan."""
+    beside the lexicographic one so that it reaches the file scan.  With a
+    ``collation`` (such as UTF8_LCASE) text columns compare and sort by it."""
+    if collation:
+        text = {k for k in key if dict(df.dtypes)[k].startswith("string")}
+        by = lambda c, k: F.collate(c, collation) if k in text else c
+        if last is not None:
+            at, out = F.lit(False), F.lit(True)
+            for k, v in zip(key, last):
+                at = at | (out & (by(F.col(k), k) > by(F.lit(v), k)))
+                out = out & (by(F.col(k), k) == by(F.lit(v), k))
+            df = df.where(at)
+        return df.orderBy(*[by(F.col(k), k) for k in key]).limit(size)
     if last is not None:
         df = df.where((F.col(key[0]) >= F.lit(last[0])) & (F.struct(*key) > F.struct(*[F.lit(v).alias(k) for k, v in zip(key, last)])))
     return df.orderBy(*key).limit(size)
 
 
+def full_scan(df: DataFrame, key: Sequence[str], size: int, start: Sequence | None = None) -> Iterator[tuple[list, DataFrame]]:
+    """Pages of a whole table in the order of its key, each with the key it
+    ends with (the position from which a scan can go on), for a source that
+    gives only pages.  Where Spark reads the table itself, ranged_scan reads
+    all ranges at once."""
+    last = start
+    while True:
+        page = page_after(df, key, last, size).persist()
+        ends = page.orderBy(*[F.desc(k) for k in key]).select(*key).first()
+        if ends is None:
+            page.unpersist()
+            return
+        last = list(ends)
+        yield last, page
+        page.unpersist()
+
+
+def resume(df: DataFrame, key: Sequence[str], current: Sequence | None) -> DataFrame:
+    """What is left of a table's scan: rows from the current key on, which is
+    read once more, as it may not have been written."""
+    if current is None:
+        return df
+    return df.where((F.col(key[0]) >= F.lit(current[0])) & (F.struct(*key) >= F.struct(*[F.lit(v).alias(k) for k, v in zip(key, current)])))
+
+
 def ranged_scan(df: DataFrame, key: Sequence[str], parts: int) -> DataFrame:
     """The whole table in key ranges, each sorted; bounds are half-open, so no
     row comes twice."""

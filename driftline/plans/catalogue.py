@@ -629,19 +629,22 @@ def compare_log_positions(spark, d):
 
 @query(_LWW)
 def stream_cdc_lww(spark, d):
-    """The batch fold run as a stream over the same files.  The target is a
-    folder of versions below the shared checkpoint folder."""
+    """The batch fold run as a stream of several batches over the same rows.
+    The target lies below the shared checkpoint folder."""
     import uuid
 
     from driftline.session import ensure_checkpoint_dir
     from driftline.sources.feeds import events_as_changes
-    from driftline.streaming.changes import VersionedTable, apply_batches, live_rows, run_to_end
+    from driftline.streaming.changes import apply_batches, live_rows, run_to_end
+    from driftline.streaming.tables import KeyedTable
 
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    target = VersionedTable(spark, f"{base}/target")
-    run_to_end(stream, f"{base}/checkpoint", apply_batches(target, ["pk"], "seq", ["value", "event_type"], events_as_changes))
+    events = table(spark, d, "events")
+    # arrives in four files, each a batch of its own, in no order
+    events.repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    target = KeyedTable(spark, f"{base}/target", ["pk"], 16)
+    run_to_end(stream, f"{base}/checkpoint", apply_batches(target, "seq", ["value", "event_type"], events_as_changes))
     return live_rows(target).select("pk", "value", "event_type", "seq")
 
 
@@ -742,3 +745,43 @@ def txn_tagged_rows(spark, d):
     return apply.tagged(derived_feed(spark, d).where("op <> 'delete'").select("pk").distinct(), "pipe-a")
 
 
+@query("""
+  with {feed}, t as (select case when tbl = 'events_0' then 'zero' when op = 'delete' then lower(tbl) when tbl in ('events_1', 'events_2') then lower(tbl) end as index,
+    case when tbl = 'events_0' then 'row' else 'doc' end as doc_type, tbl <> 'events_0' and op = 'delete' as ignore_without_key from feed)
+  select index, doc_type, ignore_without_key, count(*) as n from t where index is not null group by 1, 2, 3
+""")
+def route_to_indexes(spark, d):
+    routes = [{"match-table": "events_0", "target-index": "zero", "target-type": "row"}, {"match-dml-op": "delete", "ignore-no-primary-key": True}, {"match-table": ["events_1", "events_2"]}]
+    routed = routing.route_documents(derived_feed(spark, d), routes, documents.index_name(F.col("tbl")))
+    return routed.groupBy("index", "doc_type", "ignore_without_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+  with {feed}, z as (select *, max(case when op <> 'update' then seq end) over (partition by pk) as reset, arg_max(op, seq) over (partition by pk) as last_op from feed),
+  l as (select * from z where last_op <> 'delete' or op = 'x'), s as (select * from l where op <> 'delete' and (reset is null or seq >= reset)),
+  e as (select pk, seq, 'kind' as f, event_type as v from s union all select pk, seq, 'k', cast(k as varchar) from s where seq % 2 = 0 union all select pk, seq, 'uk', cast(uk as varchar) from s where seq % 3 = 0)
+  select pk, string_agg(f || '=' || coalesce(v, '-'), ',' order by f) as fields from (select pk, f, arg_max(coalesce(v, '-'), seq) as v from e group by pk, f) group by pk
+""")
+def doc_children_merged(spark, d):
+    """Updates carry some fields only and are merged field by field."""
+    text = lambda c: F.col(c).cast("string")
+    some = F.map_filter(F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.when(F.pmod("seq", F.lit(2)) == 0, F.coalesce(text("k"), F.lit("-"))), F.lit("uk"), F.when(F.pmod("seq", F.lit(3)) == 0, F.coalesce(text("uk"), F.lit("-")))), lambda k, v: v.isNotNull())
+    merged = documents.merged_fields(derived_feed(spark, d).select("pk", "seq", "op", some.alias("data")), ["pk"], "seq")
+    return merged.select("pk", F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
+
+
+@query("select o_orderkey, o_custkey from orders where (o_orderkey, o_custkey) >= (100, 7)")
+def snapshot_resumed(spark, d):
+    return snapshot.resume(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], (100, 7))
+
+
+@query("""
+  with h as (select json_extract_string(pks_json, '$.name') as name, try_cast(json_extract_string(data_json, '$.offset') as bigint) as o, (epoch_us(recv_ts) - epoch_us(event_ts)) / 1000000.0 as s from change_feed where msg_type = 'dml' and lower(tbl) like '%heartbeat%')
+  select name, count(*) as n, max(o) as "offset", cast(min(s) as double) as least_s, cast(avg(s) as double) as mean_s, cast(quantile_cont(s, 0.95) as double) as p95_s, cast(max(s) as double) as most_s from h group by name
+""")
+def probe_latencies(spark, d):
+    from driftline.streaming.changes import probe_latency
+
+    h = table(spark, d, "change_feed").where("msg_type = 'dml'").where(F.lower("tbl").contains("heartbeat"))
+    seen = h.select(F.get_json_object("pks_json", "$.name").alias("name"), F.get_json_object("data_json", "$.offset").try_cast("bigint").alias("offset"), "event_ts", "recv_ts")
+    return probe_latency(seen, "name", "event_ts", "recv_ts")

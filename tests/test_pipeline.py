@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.config import Pipeline
+from driftline.streaming.tables import KeyedTable
 from driftline.functions import scalar
 from driftline.functions.glob import glob, glob_matches
 from driftline.operators import changes, documents, encode, filters, predicates, routing, snapshot, verify
@@ -182,15 +183,15 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "pk int, v int, op string, seq bigint"
     files = [[(1, 1, "insert", 1), (2, 1, "insert", 2)], [(1, 2, "update", 5), (2, 0, "delete", 4)], [(2, 9, "update", 3), (3, 1, "insert", 6)]]
     src = str(tmp_path / "in")
-    target = streaming.VersionedTable(spark, str(tmp_path / "target"))
+    target = KeyedTable(spark, str(tmp_path / "target"), ["pk"], 8)
     for i, rows in enumerate(files):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        q = streaming.run_to_end(stream, str(tmp_path / "check"), streaming.apply_batches(target, ["pk"], "seq", ["v"]))
+        q = streaming.run_to_end(stream, str(tmp_path / "check"), streaming.apply_batches(target, "seq", ["v"]))
     assert sorted((r.pk, r.v, r.seq) for r in streaming.live_rows(target).collect()) == [(1, 2, 5), (3, 1, 6)]
     assert streaming.status(q, "p")["stage"] == "ended"
     # a batch that is run again writes the same version
-    streaming.apply_batches(target, ["pk"], "seq", ["v"])(spark.createDataFrame(files[2], schema), target.current())
+    streaming.apply_batches(target, "seq", ["v"])(spark.createDataFrame(files[2], schema), target.current())
     assert sorted((r.pk, r.v) for r in streaming.live_rows(target).collect()) == [(1, 2), (3, 1)]
 
 
@@ -324,7 +325,7 @@ def test_stream_keeps_earlier_batches(spark, tmp_path, engine):
     if engine is None:
         assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 4, 6, 7]
         return
-    rows = streaming.VersionedTable(spark, str(tmp_path / "out/rows")).read().collect()
+    rows = KeyedTable(spark, str(tmp_path / "out/rows"), ["tgt_db", "tgt_tbl", "id"]).read().collect()
     assert {(r.id, r.a) for r in rows} == {("1", "v" if engine == "replace" else "x"), ("2", "z")}
 
 

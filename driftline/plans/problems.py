@@ -266,6 +266,21 @@ SQL: dict[str, str] = {
       select src_file, db, tbl, lower(k) as field, case when not typed then '' else case json_type(j, '$."' || k || '"') when 'NULL' then '' when 'VARCHAR' then 't' when 'BOOLEAN' then 'b' when 'OBJECT' then 'o' when 'ARRAY' then 'o' when 'DOUBLE' then 'f' else 'i' end end as kind, count(*) as n
       from e group by 1, 2, 3, 4, 5
     """,
+    "p2_failed_casts": r"""
+      with m as (select lower(trim(replace(db, '`', ''))) as db, lower(trim(replace(tbl, '`', ''))) as tbl, data_json as j, msg_version <> '0.1' as typed from schema_feed where msg_type = 'dml' and dml_op in ('insert', 'update') and data_json is not null),
+      e as (select *, unnest(json_keys(j)) as k from m),
+      v as (select db, tbl, lower(k) as field, json_extract_string(j, '$."' || k || '"') as x, case when not typed then '' else case json_type(j, '$."' || k || '"') when 'NULL' then '' when 'VARCHAR' then 't' when 'BOOLEAN' then 'b' when 'OBJECT' then 'o' when 'ARRAY' then 'o' when 'DOUBLE' then 'f' else 'i' end end as kind from e),
+      c as (select db, tbl, field, kind, count(*) as n from v where kind <> '' group by all),
+      best as (select db, tbl, field, kind from (select *, row_number() over (partition by db, tbl, field order by n desc, kind desc) as rn from c) where rn = 1)
+      select v.db, v.tbl, v.field, best.kind, count(*) as n, cast(sum(case when
+          best.kind = 't' then 0
+          when best.kind = 'b' then case when lower(trim(x)) in ('t', 'true', 'y', 'yes', '1', 'f', 'false', 'n', 'no', '0') then 0 else 1 end
+          when best.kind = 'o' then case when json_valid(x) and json_type(case when json_valid(x) then x end) in ('OBJECT', 'ARRAY') then 0 else 1 end
+          when not regexp_full_match(x, '\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*') then 1
+          when best.kind = 'f' then 0
+          else case when try_cast(x as decimal(38, 18)) = floor(try_cast(x as decimal(38, 18))) then 0 else 1 end end) as bigint) as failed
+      from v join best on v.db = best.db and v.tbl = best.tbl and v.field = best.field where x is not null group by all
+    """,
     "p3_found": _COPIES + " select rec_no from r where rn > 1",
     "p3_kept": _COPIES + " select rec_no, msg_id, msg_tag, payload_id, msg_time from r where rn = 1",
     "p6_found": f"""

@@ -21,10 +21,12 @@ def source_tokens(sized: DataFrame) -> DataFrame:
 
 def rates(per_source: DataFrame, specs: DataFrame) -> DataFrame:
     """Specs with wanted_tokens, source_tokens (0 where a source has no
-    documents) and rate."""
+    documents) and rate.  A source listed twice in a mix is one listing with
+    the sum of its shares and the larger max_repeat and corpus_fraction."""
     total = per_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).scalar()
+    once = specs.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"), F.max("corpus_fraction").alias("corpus_fraction"))
     wanted = F.col("corpus_fraction") * total * F.col("target_share")
-    joined = specs.select("mix_id", "source", "target_share", "max_repeat", "corpus_fraction").join(per_source, "source", "left")
+    joined = once.join(per_source, "source", "left")
     have = F.coalesce("source_tokens", F.lit(0))
     rate = F.when(have > 0, F.least(F.col("max_repeat").cast("double"), F.greatest(wanted / have, F.lit(0.0)))).otherwise(0.0)
     return joined.select("mix_id", "source", "target_share", "max_repeat", wanted.alias("wanted_tokens"), have.alias("source_tokens"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
@@ -39,7 +41,7 @@ def mix(sized: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
     """(mix_id, source, doc_id, copy, n_tokens), copies from 1.
 
     Documents of a null source, or of one that no mix names, are in no mix.
-    A source listed twice in a mix counts for each listing.  ``rated`` has one
+    ``rated`` has one
     row a mix and source (checked against MAX_SPECS) and is broadcast, so hot
     sources aren't gathered anywhere.
     """

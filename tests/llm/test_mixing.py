@@ -46,3 +46,11 @@ def test_edges(spark):
     assert run(spark, [(1, "a", 5)], [])[1] == {}
     nulls = run(spark, [(1, "a", 5)], [("m", "a", None, None, None), (None, None, 1.0, 1, 1.0)])
     assert nulls[0].collect() == []
+
+
+def test_source_listed_twice(spark):
+    docs = [(i, "a" if i % 2 else "b", 10) for i in range(1000)]
+    mixed, report = run(spark, docs, [("m", "a", 0.25, 1, 0.4), ("m", "a", 0.25, 3, 0.4), ("m", "b", 0.5, 1, 0.4)])
+    a = report["m", "a"]
+    assert (a.target_share, a.max_repeat, len(report)) == (0.5, 3, 2)
+    assert a.tokens == sum(r.n_tokens for r in mixed.where("source = 'a'").collect()) and abs(a.reached_share - 0.5) < 0.1

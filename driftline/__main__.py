@@ -56,7 +56,7 @@ def read(spark: SparkSession, c: dict, streaming: bool) -> DataFrame:
 
 def run(spark: SparkSession, p: Pipeline) -> dict:
     """Runs to the end of the input and returns the pipeline's status."""
-    name, options = p.output.get("sink", "discard"), p.output.get("options", {})
+    name, options = p.output.get("sink", p.output.get("type", "discard")), p.output.get("options", {})
     sink = sinks.SINKS[name] if name in sinks.SINKS else registry.plugin("output", name)
     folded = bool(p.output.get("keys") and p.output.get("order"))
     if not folded and "engine" in p.output:

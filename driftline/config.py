@@ -34,7 +34,7 @@ def upgraded(c: dict) -> dict:
     inputs = c.get("input") or {}
     if c.get("version") == "1.0" or "type" in inputs or not (len(inputs) == 1 and isinstance(next(iter(inputs.values())), dict)):
         return c
-    out = {k: v for k, v in c.items() if k != "scheduler"}
+    out = dict(c)
     ((kind, settings),) = inputs.items()
     out["input"] = {"type": kind, "mode": settings["mode"] if kind == "mysql" else "stream", "config": settings}
     out["filters"] = [f if "config" in f else {"type": f["type"], "config": {k: v for k, v in f.items() if k != "type"}} for f in c.get("filters") or []]
@@ -42,18 +42,32 @@ def upgraded(c: dict) -> dict:
     if len(outputs) == 1 and isinstance(next(iter(outputs.values())), dict):
         ((kind, settings),) = outputs.items()
         out["output"] = {"sink": kind, **settings}
+    schedulers = c.get("scheduler") or {}
+    if len(schedulers) == 1 and isinstance(next(iter(schedulers.values())), dict):
+        ((kind, settings),) = schedulers.items()
+        out["scheduler"] = {"type": kind, "config": settings}
     return out
 
 
+def plain(settings):
+    """``{type, mode, config: {...}}`` as one dict; what stands outside wins."""
+    if isinstance(settings, dict) and isinstance(settings.get("config"), dict):
+        return {**settings["config"], **{k: v for k, v in settings.items() if k != "config"}}
+    return settings
+
+
 @dataclass
 class Pipeline:
-    """name, input, filters in order, output with its routes and engine."""
+    """name, input, filters in order, output with its routes and engine.  The
+    scheduler is Spark; its settings are kept, not used."""
 
     name: str
     input: dict = field(default_factory=dict)
     filters: list[dict] = field(default_factory=list)
     output: dict = field(default_factory=dict)
     version: str = "1.0"
+    internal_db_name: str = "_driftline"
+    scheduler: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> "Pipeline":
@@ -69,10 +83,10 @@ class Pipeline:
         c = upgraded(c)
         if not c.get("name"):
             raise ValueError("a pipeline needs a name")
-        known = {"name", "input", "filters", "output", "version"}
+        known = {"name", "input", "filters", "output", "version", "internal-db-name", "scheduler"}
         if unknown := set(c) - known:
             raise ValueError(f"unknown settings {sorted(unknown)}")
-        return cls(**c)
+        return cls(**{k.replace("-", "_"): plain(v) for k, v in c.items()})
 
     def hash(self) -> str:
         """Short digest of the settings, to see that they changed."""

@@ -139,7 +139,7 @@ def test_scan_in_pages(spark):
 def test_older_settings():
     c = {"name": "p", "input": {"mysql": {"mode": "replication", "x": 1}}, "filters": [{"type": "reject", "match-table": "a"}], "output": {"stdout": {"routes": []}}, "scheduler": {"batch": {}}}
     p = Pipeline.of(c)
-    assert p.input == {"type": "mysql", "mode": "replication", "config": {"mode": "replication", "x": 1}}
+    assert p.input == {"type": "mysql", "mode": "replication", "x": 1}
     assert p.filters == [{"type": "reject", "config": {"match-table": "a"}}] and p.output == {"sink": "stdout", "routes": []}
     assert Pipeline.of({"name": "p", "input": {"kafka": {}}}).input["mode"] == "stream"
 

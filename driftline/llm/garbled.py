@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from driftline.session import cut, shuffle_partitions
 
 WORD = r"[^\s!-/:-@\[-`{-~]+"
+BETWEEN_WORDS = r"[\s!-/:-@\[-`{-~]+"
 NON_ASCII = r"[^\x00-\x7F]+"
 LEAST_SPOILT = 3  # original characters
 TWIN_LETTERS = 10  # ASCII letters a line must keep to have twins
 WORD_LETTERS = 2  # ASCII letters a word must keep to have twins
 TWIN_SUPPORT = 3  # aligned twin lines that accept a transformation
 WORD_SUPPORT = 8  # distinct words that accept a transformation
+SLICE = 1_000  # words restored at once; a word has up to some dozens of restorations
 MORE_COMMON = 3  # times as many documents must have the restored word, or times as many words go one way as the other
 
 # Encodings in which text is commonly kept or wrongly read, by script.
@@ -236,11 +238,12 @@ def spoilable_lines(docs: DataFrame, text: Column) -> DataFrame:
     them, null where that is too short), their words with such characters as
     often as they occur, and the number of replacement characters."""
     stripped = lambda x: F.regexp_replace(x, NON_ASCII, "")
-    letters = lambda x: F.char_length(F.regexp_replace(x, "[^A-Za-z]+", ""))
-    line = lambda x: F.struct(x.alias("line"), F.when(letters(x) >= TWIN_LETTERS, F.xxhash64(stripped(x))).alias("key"))
+    long = lambda x: x.rlike(f"(?:[A-Za-z][^A-Za-z]*+){{{TWIN_LETTERS}}}")
+    line = lambda x: F.struct(x.alias("line"), F.when(long(x), F.xxhash64(stripped(x))).alias("key"))
     some = docs.where(spoilt_form(text)).select("doc_id", text.alias("_t"), F.filter(F.split(text, "\n", -1), spoilt_form).alias("_lines"))
     lost = F.char_length("_t") - F.char_length(F.replace("_t", F.lit("\ufffd"), F.lit("")))
-    found = F.filter(F.regexp_extract_all(F.array_join("_lines", "\n"), F.lit(f"({WORD})"), 1), spoilt_form)
+    # line by line, so that a very long text makes no long array of all its words
+    found = F.flatten(F.transform("_lines", lambda x: F.filter(F.split(x, BETWEEN_WORDS), spoilt_form)))
     return some.select("doc_id", F.xxhash64("_lines").alias("h"), F.transform("_lines", line).alias("lines"), found.alias("words"), lost.cast("bigint").alias("lost"))
 
 
@@ -337,7 +340,7 @@ def _of_bits(bits: int) -> list[str]:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     utf8 = sum(1 << k for k, t in enumerate(transformations()) if t.startswith("utf-8"))
-    for b in batches:
+    for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
         out = []
         batch_words, dfs = (c.to_pylist() for c in b.columns)
         for word, df, by in zip(batch_words, dfs, _restorations(batch_words)):

@@ -120,3 +120,22 @@ def test_stretch_repair():
     known = {swap("größer"): "größer"}
     dirty = "clean café — über\n" + swap("größer „kufögung“ süß") + "\nclean café — über"
     assert garbled.repair(dirty, "cp1252>mac_roman", known, {"šö"}) == ("clean café — über\ngrößer „kufögung“ süß\nclean café — über", 7)
+
+
+def test_words_and_lines_with_other_characters(spark):
+    """Exactly the words and lines that hold non-ASCII characters, as Python finds them."""
+    import re
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab Z9é§-_'\t\n\x0b\x1c\x7f\x85 ’дя�😀.") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "plain\nascii"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in garbled.spoilable_lines(df, F.col("text")).collect()}
+    for i, t in enumerate(texts):
+        if t.isascii():
+            assert i not in got
+            continue
+        assert [x.line for x in got[i].lines] == [x for x in t.split("\n") if not x.isascii()]
+        assert got[i].words == [w for w in re.findall(garbled.WORD, "\n".join(x for x in t.split("\n") if not x.isascii()), re.ASCII) if not w.isascii()]
+        assert got[i].lost == t.count("�")
+        keyed = [len(re.findall("[A-Za-z]", x.line)) >= garbled.TWIN_LETTERS for x in got[i].lines]
+        assert keyed == [x.key is not None for x in got[i].lines]

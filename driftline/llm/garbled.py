@@ -254,7 +254,8 @@ def twin_evidence(parts: DataFrame) -> DataFrame:
     with vote 1."""
     lines = parts.select(F.explode("lines").alias("_l")).where("_l.key is not null")
     keyed = lines.select("_l.line", "_l.key", F.xxhash64("_l.line").alias("h"))
-    varied = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    # stored, so that Spark knows how few they are before lines are moved
+    varied = cut(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
     # count variants before gathering them; the commonest stands for the line
     variants = keyed.join(varied, "key", "left_semi").groupBy("key", "line").agg(F.count(F.lit(1)).alias("n"))
     clean = variants.groupBy("key").agg(F.max_by(F.struct(F.col("line").alias("clean"), F.col("n").alias("most")), F.struct("n", -F.length("line"), "line")).alias("_c")).select("key", "_c.*")
@@ -266,8 +267,11 @@ def twin_evidence(parts: DataFrame) -> DataFrame:
 
 
 def word_types(parts: DataFrame) -> DataFrame:
-    """(word, df): in how many different texts each word is; copies count once."""
-    return parts.select("h", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(word, df): in how many different texts each word is; copies count
+    once, in the text of the least doc_id."""
+    copies = cut(parts.groupBy("h").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", "_first"))
+    once = parts.select("h", "doc_id", F.array_distinct("words").alias("words")).join(copies, "h", "left").where("_first is null or _first = doc_id")
+    return once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _long_sequences() -> str:
@@ -491,9 +495,11 @@ def garbled_documents(docs: DataFrame, repairs: bool = True) -> DataFrame:
     usable = F.array_intersect("ts", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
     # a stored table: Spark knows its size and broadcasts it only if that is small
     mapped = cut(learned.withColumn("ts", usable).where(F.size("ts") > 0).select("word", "restored", "ts", F.when(F.col("known"), F.col("spoilt")).otherwise(0).alias("spoilt"), "strong"))
-    tokens = parts.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).join(mapped, "word")
+    tokens = parts.select("doc_id", F.explode("words").alias("word")).join(mapped, "word")
     per = (
-        tokens.select("doc_id", "word", "restored", (F.col("spoilt") * F.col("n")).alias("spoilt"), "strong", F.explode("ts").alias("transformation"))
+        tokens.select("doc_id", "word", "restored", "spoilt", "strong", F.explode("ts").alias("transformation"))
+        .groupBy("doc_id", "transformation", "word")
+        .agg(F.sum("spoilt").alias("spoilt"), F.bool_or("strong").alias("strong"), F.max("restored").alias("restored"))
         .groupBy("doc_id", "transformation")
         .agg(F.sum("spoilt").alias("spoilt"), F.sum(F.col("strong").cast("int")).alias("strong"), F.sum((F.col("spoilt") > 0).cast("int")).alias("known"), F.collect_list(F.struct("word", "restored")).alias("words"))
     )

@@ -111,21 +111,17 @@ def path_values(df: DataFrame) -> DataFrame:
     """Adds ``paths``: array of (field, kind, value as text) with kind i (integer), f (number
     with fraction), t (text), b (boolean), o (object or array) or empty (null,
     or a version that writes every value as text)."""
-    raw, var = F.from_json("data_json", "map<string,string>"), F.from_json("data_json", "map<string,variant>")
+    raw, var = F.from_json("data_json", "map<string,string>"), F.map_values(F.from_json("data_json", "map<string,variant>"))
+    # by the first letters of a value's type; numbers are told apart by their text
+    kinds = F.create_map(*[F.lit(x) for pair in {"VOI": "", "STR": "t", "BOO": "b", "OBJ": "o", "ARR": "o"}.items() for x in pair])
 
-    def kind(k: Column, v: Column) -> Column:
-        s, text = F.schema_of_variant(v), F.element_at(F.col("_raw"), k)
-        return (
-            F.when(v.isNull() | (s == "VOID") | ~F.col("typed"), "")
-            .when(s == "STRING", "t")
-            .when(s == "BOOLEAN", "b")
-            .when(s.startswith("OBJECT") | s.startswith("ARRAY"), "o")
-            .when(text.rlike("[.eE]"), "f")
-            .otherwise("i")
-        )
+    def kind(v: Column, text: Column) -> Column:
+        code = F.coalesce(F.try_element_at(kinds, F.substring(F.schema_of_variant(v), 1, 3)), F.when(v.isNotNull(), "n"), F.lit(""))
+        return F.when(text.rlike("^[-+0-9.]*[.eE]"), F.replace(code, F.lit("n"), F.lit("f"))).otherwise(F.replace(code, F.lit("n"), F.lit("i")))
 
-    each = F.transform(F.map_entries(F.col("_var")), lambda e: F.struct(F.lower(F.btrim(e["key"])).alias("field"), kind(e["key"], e["value"]).alias("kind"), F.element_at(F.col("_raw"), e["key"]).alias("value")))
-    return df.withColumns({"_raw": raw, "_var": var}).withColumn("paths", F.coalesce(each, F.array().cast("array<struct<field:string,kind:string,value:string>>"))).drop("_raw", "_var")
+    each = F.transform(F.map_entries(F.col("_raw")), lambda e, i: F.struct(F.lower(F.btrim(e["key"])).alias("field"), F.when(F.col("_typed"), kind(F.get("_var", i), e["value"])).otherwise("").alias("kind"), e["value"].alias("value")))
+    read = df.withColumns({"_typed": F.col("typed"), "_raw": raw, "_var": F.when(F.col("typed"), var)})
+    return read.withColumn("paths", F.coalesce(each, F.array().cast("array<struct<field:string,kind:string,value:string>>"))).drop("_raw", "_var", "_typed")
 
 
 _SEQS = "1" + "0" * 19
@@ -500,7 +496,7 @@ def _silent_renames(found: DataFrame, placed: DataFrame, links: DataFrame, id_fi
     pairs = cut(removed.join(added, ["root", "g_first"]))
     tables = pairs.select("root", "f", "g", "f_last", "g_first")
     messages = _rooted(placed, links).join(tables.select("root").distinct(), "root", "left_semi")
-    low = F.from_json(F.lower(F.get_json_object("data_json", "$")), "map<string,string>")
+    low = F.from_json(F.lower("data_json"), "map<string,string>")
     values = messages.select("root", F.struct("ts", "seq").alias("at"), low.alias("m"))
     plain = lambda name: F.regexp_replace(F.regexp_replace(F.col("m")[F.col(name)], r"(\d)t(\d)", "$1 $2"), r"(\d)z$", "$1")
     each = values.join(tables, "root").select(

@@ -41,15 +41,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_registered: set[str] = set()
+
+
 def stored_under(spark: SparkSession) -> str:
-    """Where the tables of this application lie."""
-    return f"{ensure_checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+    """Where the tables of this application lie; they go when it ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+    if folder not in _registered:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _registered.add(folder)
+    return folder
 
 
 def release(spark: SparkSession) -> None:
-    """Removes the stored tables of this application; call it when results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored_under(spark))
+    """Removes the stored tables of this application before it ends; call it when results are written."""
+    folder = stored_under(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _registered.discard(folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

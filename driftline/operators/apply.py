@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,44 +53,55 @@ def insert_ignore(df: DataFrame, keys: Sequence[str], order: str, columns: Seque
 
 
 def insert_ignore_unique(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], unique: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """INSERT IGNORE with further unique keys depends on the order of all rows
-    that can collide.  ``group`` names columns that colliding rows share (a
-    shard, a tenant); each group is replayed in order by a streaming state
-    machine that keeps the live rows only."""
-    cols = list(dict.fromkeys([*group, *keys, *unique, *columns, order, "op"]))
-    src = df.select(*cols)
-    out_cols = [c for c in cols if c != "op"]
-    schema = src.select(*out_cols).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, rows, taken = None, {}, {}
-
-        def close():
-            return pd.DataFrame(list(rows.values()), columns=out_cols).astype({}) if rows else None
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v = r._asdict()
-                g = tuple(v[c] for c in group)
+    """INSERT IGNORE with further unique keys: what a write does depends on all
+    rows that can collide with it, so their order can't be split.  ``group``
+    names columns that colliding rows share (a shard, a tenant); each group is
+    replayed in sorted partitions.  Its state is the live keys and their
+    unique values; the rows themselves are joined to the winners afterwards.
+    Null unique values never collide, a null key is a key of its own; of
+    equal orders in a group any may come first."""
+    state = list(dict.fromkeys([*group, *keys, *unique, order, "op"]))
+    src = df.select(*state)
+    place = {c: i for i, c in enumerate(state)}
+    schema = src.select(*group, *keys, order).schema
+    names = schema.names
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        current, rows, taken = None, {}, set()
+        out: list[tuple] = []
+
+        def flush():
+            cols = list(zip(*out)) if out else [[] for _ in names]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        for b in batches:
+            for v in zip(*[c.to_pylist() for c in b.columns]):
+                g = tuple(v[place[c]] for c in group)
                 if g != current:
-                    done = close()
-                    if done is not None:
-                        yield done
-                    current, rows, taken = g, {}, {}
-                k = tuple(v[c] for c in keys)
-                if v["op"] == "delete":
+                    out.extend(r for r, _ in rows.values())
+                    current, rows, taken = g, {}, set()
+                k = tuple(v[place[c]] for c in keys)
+                mine = [(u, v[place[u]]) for u in unique if v[place[u]] is not None]
+                if v[place["op"]] == "delete":
                     gone = rows.pop(k, None)
                     if gone is not None:
-                        for u in unique:
-                            taken.pop((u, gone[u]), None)
-                elif k not in rows and not any(pd.notna(v[u]) and (u, v[u]) in taken for u in unique):
-                    rows[k] = {c: v[c] for c in out_cols}
-                    taken.update({(u, v[u]): k for u in unique if pd.notna(v[u])})
-        done = close()
-        if done is not None:
-            yield done
-
-    return src.repartition(*group).sortWithinPartitions(*group, order).mapInPandas(run, schema)
+                        taken.difference_update(gone[1])
+                elif k not in rows and taken.isdisjoint(mine):
+                    rows[k] = (tuple(v[place[c]] for c in names), mine)
+                    taken.update(mine)
+            if len(out) > 8192:
+                yield flush()
+        out.extend(r for r, _ in rows.values())
+        yield flush()
+
+    winners = src.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(run, schema)
+    rest = list(dict.fromkeys([*group, *keys, *unique, *columns, order]))
+    return null_safe_join(df.where("op <> 'delete'").select(*rest), winners, names, "inner").select(*rest)
 
 
 def upsert_rows(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], unique: Sequence[Sequence[str]] = ()) -> DataFrame:

@@ -81,6 +81,24 @@ def cdc_insert_ignore(spark, d):
     return apply.insert_ignore(derived_feed(spark, d), ["pk"], "seq", ["value", "event_type"]).select("pk", "value", "event_type", "seq")
 
 
+@query("""
+  with recursive {feed}, f as (select *, row_number() over (partition by stream order by seq) as rn from feed),
+  s as (
+    select distinct stream, cast(0 as bigint) as rn, cast([] as struct(pk bigint, uk int, seq bigint)[]) as live from f
+    union all
+    select s.stream, f.rn, case when f.op = 'delete' then list_filter(s.live, lambda x: x.pk <> f.pk)
+      when len(list_filter(s.live, lambda x: x.pk = f.pk or x.uk = f.uk)) > 0 then s.live
+      else list_append(s.live, cast({'pk': f.pk, 'uk': f.uk, 'seq': f.seq} as struct(pk bigint, uk int, seq bigint))) end
+    from s join f on f.stream = s.stream and f.rn = s.rn + 1
+  ), e as (select stream, unnest(live) as r from s where rn = (select max(rn) from f where f.stream = s.stream))
+  select e.stream, e.r.pk as pk, e.r.uk as uk, feed.value, e.r.seq as seq from e join feed on feed.seq = e.r.seq
+""")
+def cdc_insert_ignore_unique(spark, d):
+    """Keys and a further unique key, within each stream."""
+    rows = apply.insert_ignore_unique(derived_feed(spark, d), ["pk"], "seq", ["value"], ["uk"], ["stream"])
+    return rows.select("stream", "pk", "uk", "value", "seq")
+
+
 @query(_LWW)
 def cdc_upsert_single_key(spark, d):
     return apply.upsert_rows(derived_feed(spark, d), ["pk"], "seq", ["value", "event_type"]).select("pk", "value", "event_type", "seq")

@@ -183,12 +183,13 @@ def replay_changes(
 
 def keyed_changes(feed: DataFrame, with_data: bool = True) -> DataFrame:
     """Change messages as (db, tbl, pk, event_ts, seq_no, stream_key, op,
-    data_json), one row per row key touched: an update whose old image holds
-    another primary key also ends the row of the old key.  Names are in
+    data_json, other_pk), one row per row key touched: an update whose old
+    image holds another primary key also ends the row of the old key; either
+    row names the other's key in other_pk.  Names are in
     canonical form.  Messages that are no dml, lack a name, or whose key is
     missing or not a JSON object touch no row.  The row under the new key is
     begun anew (``insert``) with the old image and what the update sets, as a
-    pair ``[old, new]``; columns that neither carries are unknown to the feed.
+    pair ``[old, new]`` (see carried for columns that neither holds).
     Without ``with_data`` the bodies are null and not read."""
     from driftline.functions.names import key_entries, key_text, plain_name, plain_op
 
@@ -212,20 +213,71 @@ def keyed_changes(feed: DataFrame, with_data: bool = True) -> DataFrame:
         {"pk": key_text(F.col("_new")), "_old_pk": F.when(F.col("_old").isNotNull(), key_text(old_key))}
     )
     moved = F.col("_old_pk").isNotNull() & (F.col("_old_pk") != F.col("pk"))
-    this = F.struct(F.col("pk"), F.col("op"), F.col("data_json"))
-    begun = F.struct(F.col("pk"), F.lit("insert").alias("op"), F.concat(F.lit("["), "_before", F.lit(","), F.coalesce("data_json", F.lit("null")), F.lit("]")).alias("data_json"))
-    ended = F.struct(F.col("_old_pk").alias("pk"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("data_json"))
+    none = F.lit(None).cast("string")
+    this = F.struct(F.col("pk"), F.col("op"), F.col("data_json"), none.alias("other_pk"))
+    begun = F.struct(F.col("pk"), F.lit("insert").alias("op"), F.concat(F.lit("["), "_before", F.lit(","), F.coalesce("data_json", F.lit("null")), F.lit("]")).alias("data_json"), F.col("_old_pk").alias("other_pk"))
+    ended = F.struct(F.col("_old_pk").alias("pk"), F.lit("delete").alias("op"), none.alias("data_json"), F.col("pk").alias("other_pk"))
     # tested here: as a filter it would be pushed down and parse the key once more
     touched = F.when(F.size("_new") > 0, F.when(moved, F.array(begun, ended)).otherwise(F.array(this)))
     return keyed.select("db", "tbl", "event_ts", "seq_no", "stream_key", F.explode(touched).alias("_c")).select(
-        "db", "tbl", "_c.pk", "event_ts", "seq_no", "stream_key", "_c.op", "_c.data_json"
+        "db", "tbl", "_c.pk", "event_ts", "seq_no", "stream_key", "_c.op", "_c.data_json", "_c.other_pk"
     )
 
 
+_ROW, _MOVE = ["db", "tbl", "pk"], ["_mts", "_mseq", "_msrc"]
+
+
+def carried(changes: DataFrame) -> DataFrame:
+    """Changes of keyed_changes in which rows begun under a new key also bring
+    what the row held under its old key when it moved.
+
+    A move ends the old row, so what it held depends only on the changes since
+    the move before: changes of keys that moved are put in such epochs and each
+    epoch is replayed like any other key, partitions first.  A row that moves
+    on takes along what it was brought, so this is repeated until nothing
+    more is carried; moves go on in time, so that ends.
+    """
+    from driftline.functions.joins import null_safe_join
+    from driftline.operators.ordering import running
+    from driftline.session import cut
+
+    # stored, as keys are parsed once and rows are read four times
+    changes = cut(changes)
+    stamp = {"_mts": micros("event_ts"), "_mseq": F.col("seq_no"), "_msrc": F.coalesce("stream_key", F.lit(""))}
+    ends, begins = (F.col("op") == "delete") & F.col("other_pk").isNotNull(), (F.col("op") == "insert") & F.col("other_pk").isNotNull()
+    moves = cut(changes.where(ends).withColumns(stamp).select(*_ROW, "other_pk", *_MOVE).distinct())
+    if moves.isEmpty():
+        return changes
+    theirs = cut(null_safe_join(changes, moves.select(*_ROW).distinct(), _ROW, "inner"))
+    back = theirs.withColumns({"_nts": -micros("event_ts"), "_nseq": F.coalesce(-F.col("seq_no"), F.lit(2**62))})
+    seen = running(back, _ROW, ["_nts", "_nseq"], F.col("_nts"), _next=("last", F.when(ends, F.struct(*[v.alias(k) for k, v in stamp.items()]))))
+    epochs = cut(seen.where(F.col("_next").isNotNull() & ~ends).select(*theirs.columns, "_next.*"))
+    brought = None
+
+    def with_brought(rows: DataFrame) -> DataFrame:
+        """``rows`` are begun ones."""
+        own = rows.withColumns({f"_at{k}": v for k, v in stamp.items()})
+        names = {k: f"_at{k}" for k in _MOVE}
+        joined = null_safe_join(own, brought.withColumnsRenamed(names), [*_ROW, *names.values()], "left")
+        more = F.concat(F.lit("["), "_image", F.lit(","), F.substring(F.col("data_json"), 2, 2**30))
+        return joined.withColumn("data_json", F.coalesce(more, "data_json")).select(*rows.columns)
+
+    while True:
+        rows = epochs if brought is None else epochs.where(~begins).unionByName(with_brought(epochs.where(begins)))
+        held = replay_changes(rows, [*_ROW, *_MOVE], F.col("event_ts"), F.col("seq_no"), F.col("stream_key"), F.col("op"), F.col("data_json"), True)
+        now = cut(null_safe_join(held, moves, [*_ROW, *_MOVE], "inner").select("db", "tbl", F.col("other_pk").alias("pk"), *_MOVE, F.col("image").alias("_image")))
+        if brought is not None and now.exceptAll(brought).isEmpty():
+            break
+        brought = now
+    return changes.where(~begins | begins.isNull()).unionByName(with_brought(changes.where(begins)))
+
+
 def current_rows(feed: DataFrame, with_image: bool = False, partial: bool = True) -> DataFrame:
     """Rows that each table of a change feed holds after all messages:
     db, tbl, pk, seq_no and, with ``with_image``, the row as JSON."""
     changes = keyed_changes(feed, with_image)
+    if with_image and partial:
+        changes = carried(changes)
     rows = replay_changes(
         changes,
         ["db", "tbl", "pk"],

@@ -119,3 +119,22 @@ def test_repeats_that_differ(spark):
             df = spark.createDataFrame([rows[i] for i in order], FEED).repartition(parts)
             images |= {r.image for r in current_rows(df, with_image=True).collect()}
     assert images == {'{"a": "w", "id": "1"}'}
+
+
+def test_row_moves_on_with_all_it_holds(spark):
+    """Partial updates under changing keys: nothing is lost from key to key, and nothing is taken from before an earlier move."""
+    rows = [
+        (1, "insert", '{"id":1}', '{"id":1,"a":"x","b":"y"}', None),
+        (2, "update", '{"id":2}', '{"id":2,"a":"z"}', '{"id":1}'),
+        (3, "update", '{"id":2}', '{"c":5}', None),
+        (4, "update", '{"id":3}', '{"id":3}', '{"id":2}'),
+        (5, "insert", '{"id":1}', '{"id":1,"q":1}', None),
+        (6, "update", '{"id":4}', '{"id":4}', '{"id":1}'),
+        (7, "update", '{"id":5}', '{"id":5,"only":1}', '{"id":9}'),
+    ]
+    import itertools
+
+    for order in itertools.islice(itertools.permutations(rows), 0, 5040, 1700):
+        df = spark.createDataFrame([("dml", "d", "t", T0, n, "s", op, k, data, old) for n, op, k, data, old in (*order, rows[1])], FEED).repartition(3)
+        got = {r.pk: json.loads(r.image) for r in current_rows(df, with_image=True).collect()}
+        assert got == {"3": {"id": 3, "a": "z", "b": "y", "c": 5}, "4": {"id": 4, "q": 1}, "5": {"id": 5, "only": 1}}
